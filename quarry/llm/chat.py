@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import shared_dir, stored, table
+from quarry.llm.common import stored, table
 
 OPEN, BETWEEN, CLOSE = "### ", ": ", "</turn>\n"
 REPLY_ROLE = "assistant"
@@ -117,7 +117,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit(TRICKY[1]).alias("text")
     extra = spark.range(2).select(F.lit(TRICKY[0]).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
-    return chat_digest(stored(format_chats(turns.unionByName(extra)), shared_dir(spark)))
+    return chat_digest(stored(format_chats(turns.unionByName(extra)), codec="zstd"))
 
 
 OP3_SQL = r"""

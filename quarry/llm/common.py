@@ -35,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
-def stored(df: DataFrame, path: str | None = None, codec: str = "zstd") -> DataFrame:
+def stored(df: DataFrame, path: str | None = None, codec: str = "none") -> DataFrame:
     """``df`` written as a table in the shared folder and read again: lineage ends there."""
     spark = df.sparkSession
     path = path or shared_dir(spark)
