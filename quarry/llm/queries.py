@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat, sharding, urls
+from quarry.llm import chat, sharding, sstable, transducer, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_formatting": chat.op3_chat_formatting,
+    "op4_sstable": sstable.op4_sstable,
     "op6_url_filters": urls.op6_url_filters,
+    "op7_token_counts": transducer.op7_token_counts,
     "op9_sharding": sharding.op9_sharding,
 }
 
