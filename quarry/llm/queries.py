@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat, sharding, sstable, transducer, urls
+from quarry.llm import chat, packing, sharding, sstable, toxicity, transducer, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_sstable": sstable.op4_sstable,
     "op6_url_filters": urls.op6_url_filters,
     "op7_token_counts": transducer.op7_token_counts,
+    "op8_packing": packing.op8_packing,
     "op9_sharding": sharding.op9_sharding,
 }
 
