@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat, packing, sharding, sstable, toxicity, transducer, urls
+from quarry.llm import chat, decontaminate, packing, sharding, sstable, toxicity, transducer, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": transducer.op7_token_counts,
     "op8_packing": packing.op8_packing,
     "op9_sharding": sharding.op9_sharding,
+    "op10_decontamination": decontaminate.op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
