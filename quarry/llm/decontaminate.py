@@ -200,6 +200,15 @@ class Index:
         return [(t, self.items[i][0], a, b, d) for (t, i), (d, a, b) in sorted(best.items())]
 
 
+def indexes(benchmark: DataFrame, edit_rate: float = MAX_EDIT_RATE, items_per_pass: int = ITEMS_PER_PASS) -> Iterator[Index]:
+    """An index for each block of about ``items_per_pass`` items of ``benchmark`` (item_id, text); one at least."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).where("text != ''")
+    blocks = max(1, -(-items.count() // items_per_pass))
+    numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    for k in range(blocks):
+        yield Index([(r["item_id"], r["text"]) for r in numbered.where(F.col("block") == k).select("item_id", "text").collect()], edit_rate)
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, edit_rate: float = MAX_EDIT_RATE, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
     """Where ``docs`` (doc_id, text) hold items of ``benchmark`` (item_id, text), up to ``edit_rate`` edits a word of the item.
 
@@ -210,13 +219,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, edit_rate: float =
     each, so what the workers hold is bounded.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).where("text != ''")
-    count = items.count()
-    blocks = max(1, -(-count // items_per_pass))
-    numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     found = None
-    for k in range(blocks):
-        index = Index([(r["item_id"], r["text"]) for r in numbered.where(F.col("block") == k).select("item_id", "text").collect()], edit_rate)
+    for index in indexes(benchmark, edit_rate, items_per_pass):
 
         def search(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             size = {i: len(w) for i, w in index.items}
