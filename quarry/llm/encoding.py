@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import compress
 
 import numpy as np
 
@@ -16,8 +16,10 @@ PART = re.compile(r"[ \t-\r]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,!?;:#$%&*()\"\-]|[ \t
 PLAIN = re.compile(r" [A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: White space or separators of other kinds; texts that hold them are encoded in one piece.
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
+#: New words encoded in a row.
+WORDS_A_ROW = 400
 #: Longer parts are encoded each time.
-PART_CHARS, CACHED_PARTS = 48, 450_000
+PART_CHARS, CACHED_PARTS = 48, 500_000
 
 
 class Encoder:
@@ -44,22 +46,24 @@ class Encoder:
         self.fence, self.fence_id = max(special, key=lambda x: x[1], default=("", -1))
 
     def _encoded(self, parts: list[str]) -> list[bytes]:
-        """The ids of each part. Plain words go in one row: their first or last tokens show where each is."""
-        plain = [k for k, p in enumerate(parts) if PLAIN.fullmatch(p)]
-        if len(plain) < len(parts) or self.edge is None:
-            rest = sorted(set(range(len(parts))) - set(plain)) if self.edge is not None else range(len(parts))
-            plain = plain if self.edge is not None else []
-            out = [b""] * len(parts)
-            for ks, f in ((plain, self._encoded), (rest, self._fenced)):
-                for k, x in zip(ks, f([parts[k] for k in ks]) if len(ks) else (), strict=True):
-                    out[k] = x
-            return out
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, np.uint32)
-        at = np.flatnonzero(self.edge[ids]) + self.edge_after
-        if len(at) != len(parts):
+        """The ids of each part. Plain words go in rows: their first or last tokens show where each is."""
+        if self.edge is None:
             return self._fenced(parts)
-        cuts, raw = [0, *at.tolist()] if self.edge_after else [*at.tolist(), len(ids)], ids.astype("<u4").tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        plain = [p for p in parts if PLAIN.fullmatch(p)]
+        found: dict[str, bytes] = {}
+        for k in range(0, len(plain), WORDS_A_ROW):
+            row = plain[k : k + WORDS_A_ROW]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(row)], add_special_tokens=False)[0].ids, np.uint32)
+            at = (np.flatnonzero(self.edge[ids]) + self.edge_after).tolist()
+            if len(at) != len(row):
+                found.update(zip(row, self._fenced(row), strict=True))
+                continue
+            cuts, raw = [0, *at] if self.edge_after else [*at, len(ids)], ids.astype("<u4").tobytes()
+            found.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(row, cuts, cuts[1:], strict=False))
+        rest = [p for p in parts if p not in found]
+        if rest:
+            found.update(zip(rest, self._fenced(rest), strict=True))
+        return [found[p] for p in parts]
 
     def _fenced(self, parts: list[str]) -> list[bytes]:
         """The ids of each part, by one call: a special token between parts keeps them apart."""
@@ -70,37 +74,40 @@ class Encoder:
         cuts, raw = [-1, *np.flatnonzero(ids == self.fence_id).tolist(), len(ids)], ids.astype("<u4").tobytes()
         return [raw[4 * a + 4 : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def _learn(self, parts: set[str]) -> dict[str, bytes]:
-        """Caches the ids of new parts, those long unused making room; returns those of parts too long to keep."""
-        new = [p for p in parts if p not in self.cache]
-        if len(self.cache) + len(new) > CACHED_PARTS:
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """The ids of parts that the cache lacks; it keeps the short ones, those long unused making room."""
+        found = {p: self.older[p] for p in new if p in self.older} if self.older else {}
+        parts = [p for p in new if p not in found] if found else list(new)
+        found.update(zip(parts, self._encoded(parts), strict=True))
+        if len(self.cache) + len(found) > CACHED_PARTS:
             self.older, self.cache = self.cache, {}
-            new = list(parts)
-        again = {p: self.older[p] for p in new if p in self.older}
-        new = [p for p in new if p not in again]
-        fresh = dict(zip(new, self._encoded(new), strict=True)) if new else {}
-        self.cache.update(again)
-        self.cache.update((p, x) for p, x in fresh.items() if len(p) <= PART_CHARS)
-        return {p: x for p, x in fresh.items() if len(p) > PART_CHARS}
+        self.cache.update(found if max(map(len, new)) <= PART_CHARS else ((p, x) for p, x in found.items() if len(p) <= PART_CHARS))
+        return found
 
     def packed_all(self, texts: list[str], group: int = 1_000_000) -> Iterator[bytes]:
         """All ids of each text as little-endian unsigned 32-bit integers, in groups of about ``group`` characters."""
         k = 0
         while k < len(texts):
-            cut: list[list[str] | None] = []
+            cut: list[tuple[list[str], list[bytes | None]]] = []
+            new: set[str] = set()
             size = 0
             while k < len(texts) and (not cut or size + len(texts[k]) <= group):
-                size += len(texts[k])
-                cut.append(None if OTHER_SPACE.search(texts[k]) else PART.findall(texts[k]))
+                text = texts[k]
+                size += len(text)
                 k += 1
-            long = self._learn(set(chain.from_iterable(c for c in cut if c)))
-            for text, parts in zip(texts[k - len(cut) : k], cut, strict=True):
-                if parts is None:
-                    yield _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-                elif long:
-                    yield b"".join([long[p] if p in long else self.cache[p] for p in parts])
-                else:
-                    yield b"".join(map(self.cache.__getitem__, parts))
+                if OTHER_SPACE.search(text):
+                    cut.append(([], [_packed(self.tokenizer.encode(text, add_special_tokens=False).ids)]))
+                    continue
+                parts = PART.findall(text)
+                known = list(map(self.cache.get, parts))
+                if None in known:
+                    new.update(compress(parts, [x is None for x in known]))
+                cut.append((parts, known))
+            learned = self._learn(new) if new else {}
+            for parts, known in cut:
+                if None in known:
+                    known = [learned[p] if x is None else x for p, x in zip(parts, known, strict=True)]
+                yield b"".join(known)
 
     def packed(self, text: str) -> bytes:
         return next(self.packed_all([text]))

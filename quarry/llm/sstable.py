@@ -250,7 +250,8 @@ def read_tables(manifest: DataFrame, path: str) -> DataFrame:
                 cols = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return map_arrow(files.repartition("file"), read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return map_arrow(files.repartition(tasks, "file"), read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op4_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
