@@ -8,10 +8,11 @@ sub-class are indexed; a sub-class with c tokens of the prefix survives any c -
 is extended until all its sub-classes together survive every allowed number of misses. So no link is
 lost, and common passages make few candidates.
 
-Candidates of a signature aren't paired with each other. Each is paired with the signature's hub, the
-set that shares the most signatures; what links is joined to components. Only where members of one
-signature are still in different components do further rounds pair them, up to all such pairs. Every
-pair is verified on whole sets.
+Candidates of a signature aren't paired with each other at once. Each is paired with the signature's
+hub, the set that shares the most signatures; what links is joined to components. Only where members
+of a hub's group are still in different components are they paired with each other, in blocks. Bitmaps
+that bound how far two sets differ drop most pairs that can't link; all others are verified on whole
+sets.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,8 +37,8 @@ FREQUENT, MAX_FREQUENT = 64, 1_000_000
 BROADCAST_ROWS = 500_000
 #: Tokens that a task counts at once; pairs of one hub that one task verifies.
 COUNT_TOKENS, HUB_PAIRS = 2_000_000, 512
-#: Rounds that pair with hubs before all remaining pairs are taken.
-HUB_ROUNDS = 3
+#: Sets of a block of a hub's group, and the most blocks of a group.
+GROUP_BLOCK, GROUP_BLOCKS = 128, 64
 
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -84,7 +85,8 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     need = misses + 1 - len(rare)
     if need > 0:
         for g in sorted({spread(-(-n * PERCENT // 100)), spread(n), spread(n * 100 // PERCENT)}):
-            sub = (_mixed(often) >> np.uint64(7)) % np.uint64(g)
+            g = np.uint64(g)
+            sub = (_mixed(often) >> np.uint64(7)) % g
             _, first = np.unique(sub, return_index=True)
             new = np.zeros(len(often), np.int64)
             new[first] = 1
@@ -96,10 +98,67 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
                 same = np.flatnonzero(s[c:] == s[:-c])
                 if not len(same):
                     break
-                out.append(_mixed(t[same] * _M[0] + t[same + c] * _M[1] + np.uint64(g) * _M[4]))
+                out.append(_mixed(t[same] * _M[0] + t[same + c] * _M[1] + g * _M[4:]))
     return np.unique(np.concatenate(out))
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """A bitmap of about two bits a token; a bit tells if an odd number of tokens falls on it."""
+    bits = max(64, 1 << (2 * len(tokens) - 1).bit_length())
+    at, n = np.unique(_mixed(tokens ^ _M[2]) % np.uint64(bits), return_counts=True)
+    odd = np.zeros(bits, np.uint8)
+    odd[at[n % 2 == 1].astype(np.int64)] = 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def may_link(a: int, bits_a: bytes, b: int, bits_b: bytes) -> bool:
+    """False only if sets of ``a`` and ``b`` tokens can't link: bits that differ are tokens that only one of them has.
+
+    Bitmaps of unlike lengths are compared after the longer is folded, half on half.
+    """
+    while len(bits_a) != len(bits_b):
+        if len(bits_a) < len(bits_b):
+            bits_a, bits_b = bits_b, bits_a
+        half = len(bits_a) // 2
+        bits_a = (int.from_bytes(bits_a[:half], "little") ^ int.from_bytes(bits_a[half:], "little")).to_bytes(half, "little")
+    apart = (int.from_bytes(bits_a, "little") ^ int.from_bytes(bits_b, "little")).bit_count()
+    # a + b = both + union and apart <= union - both, so both <= (a + b - apart) / 2.
+    return 100 * (a + b - apart) >= PERCENT * (a + b + apart)
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def cell_pairs(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+    """Pairs of a cell's rows (hub, x, y, own block, fp, label, n, bits) that may link and aren't joined, the smaller fp first."""
+    _, x, y, *_ = rows[0]
+    names: dict[bytes, int] = {}
+    label = np.array([names.setdefault(r[5], len(names)) for r in rows])
+    if len(names) < 2:
+        return []
+    own, n, length = (np.array(v) for v in zip(*((r[3], r[6], len(r[7]) // 8) for r in rows), strict=True))
+    out = []
+    for words in np.unique(length):
+        small = np.flatnonzero(length == words)
+        both = np.flatnonzero((length == words) | (length == 2 * words))
+        bits = np.concatenate([_folded(np.frombuffer(b"".join(rows[k][7] for k in both if length[k] == w), np.uint64).reshape(-1, w), words) for w in (words, 2 * words) if (length[both] == w).any()])
+        both = np.concatenate([both[length[both] == w] for w in (words, 2 * words)])
+        place = {int(k): j for j, k in enumerate(both)}
+        for i in small:
+            ok = (label[both] != label[i]) & ((length[both] > words) | (both > i)) & ((own[both] != own[i]) | (x == y))
+            ok &= np.minimum(n[both], n[i]) * 100 >= np.maximum(n[both], n[i]) * PERCENT
+            at = np.flatnonzero(ok)
+            if len(at):
+                differ = np.bitwise_count(bits[at] ^ bits[place[int(i)]]).sum(1, dtype=np.int64)
+                total = n[both[at]] + n[i]
+                out += [tuple(sorted((rows[i][4], rows[k][4]))) for k in both[at[100 * (total - differ) >= PERCENT * (total + differ)]]]
+    return out
+
+
 def links(a: np.ndarray, b: np.ndarray) -> bool:
     if min(len(a), len(b)) * 100 < PERCENT * max(len(a), len(b)):
         return False
@@ -108,7 +167,7 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n, fp of each row; and, in rows without fp, tokens that several sets of a task's part have."""
+    """doc_id, n, fp and bits of each row; and, in rows without fp, tokens that several sets of a task's part have."""
     words = WordIds()
     held: list[np.ndarray] = []
     seen: set[bytes] = set()
@@ -119,20 +178,21 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = lambda t: pa.nulls(len(tokens), t)
         held.clear()
         seen.clear()
-        return pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.binary()), pa.array(tokens, pa.int64()), pa.array(n, pa.int64())], names)
+        return pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.binary()), none(pa.binary()), pa.array(tokens, pa.int64()), pa.array(n, pa.int64())], names)
 
-    names = ["doc_id", "n", "fp", "token", "df"]
+    names = ["doc_id", "n", "fp", "bits", "token", "df"]
     for b in batches:
-        sizes, fps = [], []
+        sizes, fps, bits = [], [], []
         for text in b.column(1).to_pylist():
             s = shingle_set(text, words)
             sizes.append(len(s))
             fps.append(fingerprint(s))
+            bits.append(parity(s))
             if len(s) and fps[-1] not in seen:
                 seen.add(fps[-1])
                 held.append(s)
         none = pa.nulls(len(sizes), pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), none, none], names)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(bits, pa.binary()), none, none], names)
         if sum(map(len, held)) > COUNT_TOKENS:
             yield repeated()
     yield repeated()
@@ -148,13 +208,13 @@ class Join:
     def __init__(self, docs: DataFrame) -> None:
         self.spark = docs.sparkSession
         self.rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-        scanned = stored(map_arrow(self.rows, _sets, "doc_id long, n long, fp binary, token long, df long"))
+        scanned = stored(map_arrow(self.rows, _sets, "doc_id long, n long, fp binary, bits binary, token long, df long"))
         self.docs = scanned.where("fp is not null").select("doc_id", "n", "fp")
         total = self.docs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         floor = max(FREQUENT, total // MAX_FREQUENT)
         often = scanned.where("fp is null").groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") >= floor).select("token")
         self.frequent = np.sort(np.array([r[0] for r in often.collect()], np.int64).view(np.uint64))  # at most MAX_FREQUENT
-        self.classes = stored(self.docs.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
+        self.classes = stored(scanned.where("fp is not null").where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")))
         self.shared = self._shared()
 
     def _shared(self) -> DataFrame:
@@ -186,6 +246,19 @@ class Join:
         once = signed.repartition("sig").dropDuplicates(["sig", "fp"])
         return stored(once.withColumn("members", members).where("members > 1"))
 
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a, b: fingerprints) whose bitmaps don't rule a link out."""
+
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.select(["a", "b"]).filter(pa.array([may_link(*x) for x in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True)], pa.bool_()))
+
+        pairs = _if_small(pairs, pairs.count())
+        for key in "ab":
+            side = self.classes.select(F.col("fp").alias(key), F.col("n").alias(f"n{key}"), F.col("bits").alias(f"bits{key}"))
+            pairs = side.join(pairs, key)
+        return stored(map_arrow(pairs.select("a", "b", "na", "bitsa", "nb", "bitsb"), check, "a binary, b binary"))
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b: fingerprints; a one of few hubs) that link."""
         n = pairs.count()
@@ -220,40 +293,52 @@ class Join:
         together = lists[0].union(lists[1]).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).select("a", "b", "tokens")
         return stored(map_arrow(together, compare, "a binary, b binary"))
 
+    def hub_groups(self) -> DataFrame:
+        """hub and fp: for each set the hubs of its signatures, a hub the set of most shared signatures (itself included)."""
+        scores = self.shared.groupBy("fp").agg(F.sum("members").alias("score"))
+        rows = self.shared.select("sig", "fp").join(scores, "fp")
+        top = F.max(F.struct("score", "fp")).over(W.partitionBy("sig"))["fp"]
+        return stored(rows.select(top.alias("hub"), "fp").distinct())
+
+    def apart(self, groups: DataFrame, labels: DataFrame) -> DataFrame:
+        """a, b: all pairs of a hub's group that ``labels`` doesn't join yet and whose bitmaps don't rule a link out.
+
+        A group is dealt into blocks, and each pair of blocks is a cell of its own that one task tests,
+        so a group of any size is spread; only pairs that pass leave the task.
+        """
+        named = groups.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        open_ = named.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi")
+        blocks = F.ceil(F.col("m") / F.greatest(F.lit(GROUP_BLOCK), F.ceil(F.col("m") / GROUP_BLOCKS))).cast("int")
+        dealt = named.join(open_.select("hub", blocks.alias("blocks")), "hub").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
+        cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cells = cells.select("hub", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "fp", "label")
+        cells = cells.join(self.classes.select("fp", "n", "bits"), "fp")
+
+        def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple] = []
+            for b in batches:
+                out: list[tuple[bytes, bytes]] = []
+                for row in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
+                    if held and row[:3] != held[0][:3]:
+                        out += cell_pairs(held)
+                        held = []
+                    held.append(row)
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+            out = cell_pairs(held) if held else []
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+        together = cells.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y").select("hub", "x", "y", "own", "fp", "label", "n", "bits")
+        return stored(map_arrow(together, test, "a binary, b binary").distinct())
+
     def labels(self) -> DataFrame:
         """fp and label (the smallest fingerprint of its component) of every set that links with another."""
+        groups = self.hub_groups()
+        near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * PERCENT
         sizes = self.classes.select("fp", "n")
-        hubs = self.shared.groupBy("fp").agg(F.sum("members").alias("score")).join(sizes, "fp")
-        members = stored(self.shared.select("sig", "fp").join(hubs, "fp"))
-        near: Column = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * PERCENT
-        edges = labels = None
-        for turn in range(HUB_ROUNDS + 1):
-            if labels is None:
-                left = members.withColumn("label", F.col("fp"))
-            else:
-                left = members.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-            by_sig = W.partitionBy("sig")
-            left = left.withColumns({"lo": F.min("label").over(by_sig), "hi": F.max("label").over(by_sig)}).where("lo != hi")
-            if turn < HUB_ROUNDS:
-                # In the first turn the best hub of all; then that of the component that a turn's own hash picks.
-                rank = F.struct("score", "fp") if turn == 0 else F.struct(F.xxhash64("label", F.lit(turn)), "score", "fp")
-                top = F.max(F.struct(rank.alias("r"), F.struct("fp", "n", "label").alias("hub"))).over(by_sig)["hub"]
-                pairs = left.withColumn("hub", top).select(F.col("hub.fp").alias("a"), F.col("fp").alias("b"), F.col("hub.n").alias("hub_n"), "n", F.col("hub.label").alias("hub_label"), "label")
-                pairs = pairs.where((F.col("label") != F.col("hub_label")) & near).select("a", "b").distinct()
-            else:
-                x = left.select("sig", F.col("fp").alias("a"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))
-                pairs = x.join(left.select("sig", F.col("fp").alias("b"), "n", "label"), "sig").where((F.col("hub_label") < F.col("label")) & near).select("a", "b").distinct()
-            pairs = stored(pairs if turn == 0 else pairs.join(tried, ["a", "b"], "left_anti"))
-            if pairs.isEmpty():
-                if turn == 0:
-                    break
-                continue
-            found = self.verified(pairs)
-            tried = pairs if turn == 0 else tried.union(pairs).union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            edges = found if edges is None else edges.union(found)
-            labels = components(edges)
-        empty = self.classes.select("fp", F.col("fp").alias("label")).limit(0)
-        return empty if labels is None else labels
+        starred = groups.where("hub != fp").join(sizes, "fp").join(sizes.toDF("hub", "hub_n"), "hub").where(near)
+        edges = self.verified(self.possible(starred.select(F.col("hub").alias("a"), F.col("fp").alias("b"))))
+        more = self.verified(self.apart(groups, components(edges)))
+        return components(edges.union(more))
 
 
 def components(edges: DataFrame) -> DataFrame:
