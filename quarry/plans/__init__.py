@@ -1,0 +1,6 @@
+"""All registered queries; importing the modules registers them."""
+
+from quarry.plans import relational
+from quarry.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "relational"]
