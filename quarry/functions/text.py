@@ -66,16 +66,20 @@ def lzw_text(codes: list[int]) -> str:
     return b"".join(out).decode()
 
 
-@F.pandas_udf("array<int>")
-def lzw_compress(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in texts:
-        yield s.map(lambda t: None if t is None else lzw_codes(t))
+def lzw_compress(text: Column | str) -> Column:
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            yield s.map(lambda t: None if t is None else lzw_codes(t))
 
+    return F.pandas_udf(run, "array<int>", F.PandasUDFType.SCALAR_ITER)(text)
 
-@F.pandas_udf("string")
-def lzw_decompress(codes: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in codes:
-        yield s.map(lambda c: None if c is None else lzw_text(list(c)))
+
+def lzw_decompress(codes: Column | str) -> Column:
+    def run(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in lists:
+            yield s.map(lambda c: None if c is None else lzw_text([int(x) for x in c]))
+
+    return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)(codes)
 
 
 def huffman_codes(counts: dict[str, int]) -> dict[str, str]:

@@ -82,9 +82,9 @@ def entropy_of(counts: Column) -> Column:
 def information_gain(df: DataFrame, target: str, attribute: str) -> DataFrame:
     """gain and gain_ratio of an attribute: one row. No spread in the attribute gives ratio 0."""
     cells = df.groupBy(attribute, target).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    per_value = cells.groupBy(attribute).agg(F.sum("n").alias("n"), entropy_of(F.collect_list("n")).alias("h"))
-    classes = cells.groupBy(target).agg(F.sum("n").alias("n")).agg(entropy_of(F.collect_list("n")).alias("h_all"))
-    split = per_value.agg((F.sum(F.col("n") * F.col("h")) / F.sum("n")).alias("h_split"), entropy_of(F.collect_list("n")).alias("intrinsic"))
+    per_value = cells.groupBy(attribute).agg(F.sum("n").alias("m"), F.collect_list("n").alias("ns")).select("m", entropy_of(F.col("ns")).alias("h"))
+    classes = cells.groupBy(target).agg(F.sum("n").alias("m")).agg(F.collect_list("m").alias("ms")).select(entropy_of(F.col("ms")).alias("h_all"))
+    split = per_value.agg((F.sum(F.col("m") * F.col("h")) / F.sum("m")).alias("h_split"), F.collect_list("m").alias("ms")).select("h_split", entropy_of(F.col("ms")).alias("intrinsic"))
     gain = F.col("h_all") - F.col("h_split")
     return classes.crossJoin(split).select(gain.alias("gain"), F.coalesce(F.try_divide(gain, F.col("intrinsic")), F.lit(0.0)).alias("gain_ratio"))  # one row each
 
