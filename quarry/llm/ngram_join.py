@@ -38,7 +38,7 @@ BROADCAST_ROWS = 500_000
 #: Tokens that a task counts at once; pairs of one hub that one task verifies.
 COUNT_TOKENS, HUB_PAIRS = 2_000_000, 512
 #: Sets of a block of a hub's group, and the most blocks of a group.
-GROUP_BLOCK, GROUP_BLOCKS = 128, 64
+GROUP_BLOCK, GROUP_BLOCKS = 192, 48
 
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -295,8 +295,8 @@ class Join:
 
     def hub_groups(self) -> DataFrame:
         """hub and fp: for each set the hubs of its signatures, a hub the set of most shared signatures (itself included)."""
-        scores = self.shared.groupBy("fp").agg(F.sum("members").alias("score"))
-        rows = self.shared.select("sig", "fp").join(scores, "fp")
+        scores = stored(self.shared.groupBy("fp").agg(F.sum("members").alias("score")))
+        rows = self.shared.select("sig", "fp").join(_if_small(scores, scores.count()), "fp")
         top = F.max(F.struct("score", "fp")).over(W.partitionBy("sig"))["fp"]
         return stored(rows.select(top.alias("hub"), "fp").distinct())
 
