@@ -31,7 +31,7 @@ def decimal_comma(c: Column) -> Column:
 
 def read_transactions(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """One basket to a line: items array<string>, trimmed and without empty ones."""
-    items = F.filter(F.transform(F.split("value", sep), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split("value", sep), lambda x: F.trim(x)), lambda x: x != "")
     return spark.read.text(path).select(items.alias("items"))
 
 
