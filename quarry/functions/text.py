@@ -15,15 +15,22 @@ def word_tokens(text: Column, least: int = 2) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(rf"(?U)\w{{{least},}}"), F.lit(0))
 
 
+def _grams(units: Column, n: int, between: str) -> Column:
+    """Runs of ``n`` neighbouring units; shifted arrays are zipped, so each unit is read ``n`` times, not once per gram."""
+    count = F.greatest(F.size(units) - n + 1, F.lit(0))
+    grams = F.slice(units, F.lit(1), count)
+    for k in range(1, n):
+        grams = F.zip_with(grams, F.slice(units, F.lit(k + 1), count), lambda g, u: F.concat(g, F.lit(between), u))
+    return grams
+
+
 def word_ngrams(words: Column, n: int) -> Column:
     """n-grams of an array of words, joined by a space; none if there are fewer words."""
-    last = F.size(words) - n + 1
-    return F.when(last < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " ")))
+    return _grams(words, n, " ")
 
 
 def char_ngrams(text: Column, n: int) -> Column:
-    last = F.length(text) - n + 1
-    return F.when(last < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+    return _grams(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), n, "")
 
 
 def sentences(text: Column) -> Column:

@@ -20,21 +20,22 @@ def frequent_itemsets(baskets: DataFrame, least: float, basket: str = "basket",
     rows = baskets.select(basket, item).distinct()
     total = rows.select(basket).distinct().count()
     level = rows.groupBy(item).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least * total).select(F.array(item).alias("items"), "n")
-    kept = rows.join(broadcast_if_small(level.select(F.col("items")[0].alias(item))), item).groupBy(basket).agg(F.sort_array(F.collect_set(item)).alias("has"))
+    has = rows.join(broadcast_if_small(level.select(F.col("items")[0].alias(item))), item).groupBy(basket).agg(F.sort_array(F.collect_set(item)).alias("has"))
+    held = has.select("has", F.explode(F.transform("has", lambda x: F.array(x))).alias("items"))
     found = level
     for k in range(2, most + 1):
         if level.isEmpty():
             break
         left = level.select(F.slice("items", 1, k - 2).alias("p") if k > 2 else F.lit("").alias("p"), F.col("items").alias("a"))
-        right = left.toDF("p", "b")
-        candidates = left.join(right, "p").where(F.element_at("a", -1) < F.element_at("b", -1)).select(F.concat("a", F.slice("b", k - 1, 1)).alias("items"))
+        candidates = left.join(left.toDF("p", "b"), "p").where(F.element_at("a", -1) < F.element_at("b", -1)).select(F.concat("a", F.slice("b", k - 1, 1)).alias("items"))
         if k > 2:
             subsets = candidates.select("items", F.explode(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.filter("items", lambda x, j: j != i))).alias("sub"))
-            whole = subsets.join(level.select(F.col("items").alias("sub")), "sub").groupBy("items").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") == k)
-            candidates = whole.select("items")
-        first = candidates.select("items", F.col("items")[0].alias("first"))
-        probes = kept.select("has", F.explode("has").alias("first")).join(broadcast_if_small(first), "first")
-        level = probes.where(F.size(F.array_except("items", "has")) == 0).groupBy("items").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least * total)
+            whole = subsets.join(level.select(F.col("items").alias("sub")), "sub").groupBy("items").agg(F.count(F.lit(1)).alias("c"))
+            candidates = whole.where(F.col("c") == k).select("items")
+        # Each basket extends the sets it holds by its own later items: nothing is shuffled before the counts.
+        longer = held.select("has", "items", F.explode(F.expr("filter(has, x -> x > element_at(items, -1))")).alias("next"))
+        held = longer.select("has", F.concat("items", F.array("next")).alias("items")).join(broadcast_if_small(candidates), "items")
+        level = held.groupBy("items").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least * total)
         found = found.unionByName(level)
     return found.select("items", F.col("n").cast("long").alias("n"), (F.col("n") / F.lit(total)).alias("support"))
 

@@ -1,6 +1,6 @@
 """All registered queries; importing the modules registers them."""
 
-from quarry.plans import analytics, relational
+from quarry.plans import analytics, models, relational
 from quarry.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "relational"]
+__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "models", "relational"]
