@@ -119,3 +119,37 @@ def cascade_delete(tables: list[tuple[DataFrame, str, str | None]], victims: Dat
         out.append(df.join(gone, df[at] == F.col("_gone"), "left_anti"))
         gone = hit.distinct()
     return out
+
+
+def label_slice(df: DataFrame, order: str, first, last) -> DataFrame:
+    """Rows from label ``first`` to label ``last``, both included."""
+    return df.where(F.col(order).between(first, last))
+
+
+def position_slice(df: DataFrame, order: str, begin: int, end: int) -> DataFrame:
+    """Rows at positions ``begin`` (from 0) up to but not including ``end``, in order."""
+    return df.orderBy(order).offset(begin).limit(max(0, end - begin))
+
+
+def check_option(rows: DataFrame, condition: Column) -> DataFrame:
+    """Rows that a view with this condition would refuse: those where it isn't true."""
+    return rows.where(~F.coalesce(condition, F.lit(False)))
+
+
+def guarded_delete(df: DataFrame, key: str, victims: DataFrame, children: DataFrame, child_key: str) -> DataFrame:
+    """``df`` without ``victims``, unless a victim still has children: then it raises."""
+    held = victims.select(key).join(children.select(F.col(child_key).alias(key)), key, "left_semi").limit(5).collect()
+    if held:
+        raise ValueError(f"rows still have children: {[r[0] for r in held]}")
+    return delete_matching(df, victims, key)
+
+
+def next_id(df: DataFrame, key: str) -> DataFrame:
+    return df.agg((F.coalesce(F.max(key), F.lit(0)) + 1).cast("long").alias("next_id"))
+
+
+def audited(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """What a row trigger would log between two states: key, action, and old and new values of what changed."""
+    o, n = old.select(F.col(key), F.struct(*columns).alias("old")), new.select(F.col(key), F.struct(*columns).alias("new"))
+    action = F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "delete").otherwise("update")
+    return o.join(n, key, "full").where(~F.col("old").eqNullSafe(F.col("new"))).select(key, action.alias("action"), "old", "new")

@@ -390,3 +390,22 @@ def alarms(t: Tables):
 @query("lookup_names", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def lookup_names(t: Tables):
     return t.customer.join(R.broadcast_if_small(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("gaussian_bayes", "SELECT label, round(count(*) / (SELECT count(*) FROM embeddings), 6) AS prior, round(avg(embedding[1]::DOUBLE), 6) AS mean, round(stddev_pop(embedding[1]::DOUBLE), 6) AS sd FROM embeddings GROUP BY 1")
+def gaussian_bayes(t: Tables):
+    x = F.col("embedding")[0].cast("double")
+    n = t.embeddings.agg(F.count(F.lit(1)).alias("rows"))
+    per = t.embeddings.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"))
+    return per.crossJoin(F.broadcast(n)).select("label", rounded(F.col("n") / F.col("rows")).alias("prior"), rounded(F.col("mean")).alias("mean"), rounded(F.col("sd")).alias("sd"))  # a one-row side
+
+
+@query("cluster_profile", "SELECT label, count(*) AS n, round(avg(embedding[1]::DOUBLE), 6) AS mean, round(min(embedding[1]::DOUBLE), 6) AS lo, round(max(embedding[1]::DOUBLE), 6) AS hi FROM embeddings GROUP BY 1")
+def cluster_profile(t: Tables):
+    x = F.col("embedding")[0].cast("double")
+    return t.embeddings.groupBy("label").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg(x)).alias("mean"), rounded(F.min(x)).alias("lo"), rounded(F.max(x)).alias("hi"))
+
+
+@query("seeded_numbers")
+def seeded_numbers(t: Tables):
+    return t.spark.range(1000).select("id", F.rand(7).alias("uniform"), F.randn(7).alias("normal"))

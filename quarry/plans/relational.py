@@ -217,3 +217,44 @@ def cascade(t: Tables):
     _, customers, orders = R.cascade_delete([(t.nation, "n_nationkey", None), (t.customer, "c_custkey", "c_nationkey"), (t.orders, "o_orderkey", "o_custkey")], victims)
     counted = lambda df, name: df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
     return counted(customers, "customer").unionByName(counted(orders, "orders"))
+
+
+@query("slices", "SELECT * FROM (SELECT 'label' AS kind, p_partkey FROM part WHERE p_partkey BETWEEN 10 AND 20) UNION ALL (SELECT 'position', p_partkey FROM part ORDER BY p_partkey LIMIT 10 OFFSET 10)")
+def slices(t: Tables):
+    rows = t.part.select("p_partkey")
+    return R.label_slice(rows, "p_partkey", 10, 20).select(F.lit("label").alias("kind"), "p_partkey").union(R.position_slice(rows, "p_partkey", 10, 20).select(F.lit("position"), "p_partkey"))
+
+
+@query("count_in_range", "SELECT user_id, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12' AND event_type = 'view' GROUP BY 1")
+def count_in_range(t: Tables):
+    inside = (F.col("ts") >= F.lit("2024-01-05").cast("timestamp_ntz")) & (F.col("ts") < F.lit("2024-01-12").cast("timestamp_ntz"))
+    return t.events.where(inside & (F.col("event_type") == "view")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("next_id", "SELECT CAST(max(o_orderkey) + 1 AS BIGINT) AS next_id FROM orders")
+def next_id(t: Tables):
+    return R.next_id(t.orders, "o_orderkey")
+
+
+@query("check_option", "SELECT c_custkey FROM customer WHERE NOT coalesce(nullif(c_acctbal, abs(c_acctbal)) < 0, false)")
+def check_option(t: Tables):
+    return R.check_option(t.customer, F.nullif("c_acctbal", F.abs("c_acctbal")) < 0).select("c_custkey")
+
+
+@query("guarded_delete", "SELECT r_regionkey FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)")
+def guarded_delete(t: Tables):
+    childless = t.region.join(t.nation, F.col("r_regionkey") == F.col("n_regionkey"), "left_anti")
+    return R.guarded_delete(t.region, "r_regionkey", childless, t.nation, "n_regionkey").select("r_regionkey")
+
+
+@query("audited_update", "SELECT s_suppkey, 'update' AS action, round(s_acctbal, 2) AS before, round(s_acctbal + 100, 2) AS after FROM supplier WHERE s_acctbal < 0")
+def audited_update(t: Tables):
+    new = t.supplier.withColumn("s_acctbal", F.when(F.col("s_acctbal") < 0, F.col("s_acctbal") + 100).otherwise(F.col("s_acctbal")))
+    log = R.audited(t.supplier, new, "s_suppkey", ["s_acctbal"])
+    return log.select("s_suppkey", "action", rounded(F.col("old.s_acctbal"), 2).alias("before"), rounded(F.col("new.s_acctbal"), 2).alias("after"))
+
+
+@query("stratified_bands", "SELECT o_custkey, CASE WHEN n >= 15 THEN 'often' WHEN n >= 8 THEN 'sometimes' ELSE 'seldom' END AS band FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)")
+def stratified_bands(t: Tables):
+    n = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("o_custkey", F.when(F.col("n") >= 15, "often").when(F.col("n") >= 8, "sometimes").otherwise("seldom").alias("band"))
