@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.operators.relational import broadcast_if_small
+from quarry.session import cut_lineage
 
 
 def frequent_itemsets(baskets: DataFrame, least: float, basket: str = "basket", item: str = "item", most: int = 3) -> DataFrame:
@@ -19,7 +20,7 @@ def frequent_itemsets(baskets: DataFrame, least: float, basket: str = "basket",
     """
     rows = baskets.select(basket, item).distinct()
     total = rows.select(basket).distinct().count()
-    level = rows.groupBy(item).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least * total).select(F.array(item).alias("items"), "n")
+    level = cut_lineage(rows.groupBy(item).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least * total).select(F.array(item).alias("items"), "n"))
     has = rows.join(broadcast_if_small(level.select(F.col("items")[0].alias(item))), item).groupBy(basket).agg(F.sort_array(F.collect_set(item)).alias("has"))
     held = has.select("has", F.explode(F.transform("has", lambda x: F.array(x))).alias("items"))
     found = level
@@ -35,7 +36,7 @@ def frequent_itemsets(baskets: DataFrame, least: float, basket: str = "basket",
         # Each basket extends the sets it holds by its own later items: nothing is shuffled before the counts.
         longer = held.select("has", "items", F.explode(F.expr("filter(has, x -> x > element_at(items, -1))")).alias("next"))
         held = longer.select("has", F.concat("items", F.array("next")).alias("items")).join(broadcast_if_small(candidates), "items")
-        level = held.groupBy("items").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least * total)
+        level = cut_lineage(held.groupBy("items").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least * total))
         found = found.unionByName(level)
     return found.select("items", F.col("n").cast("long").alias("n"), (F.col("n") / F.lit(total)).alias("support"))
 

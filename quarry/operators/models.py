@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import char_ngrams
+from quarry.session import cut_lineage
 
 CLASSIFIERS = {
     "logistic": LogisticRegression, "tree": lambda **k: DecisionTreeClassifier(impurity="entropy", **k), "forest": lambda **k: RandomForestClassifier(seed=1, **k),
@@ -94,11 +95,11 @@ def density_clusters(points: DataFrame, eps: float, least: int, x: str = "x", y:
     spread = cells.select(F.col(key).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"), around.alias("c")).select("a", "ax", "ay", "c.cx", "c.cy")
     near = spread.join(cells, ["cx", "cy"]).where(F.pow(F.col("ax") - F.col(x), 2) + F.pow(F.col("ay") - F.col(y), 2) <= eps * eps).select("a", F.col(key).alias("b"))
     core = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("a")
-    edges = near.join(core, "a").join(core.toDF("b"), "b").select("a", "b").checkpoint()
+    edges = cut_lineage(near.join(core, "a").join(core.toDF("b"), "b").select("a", "b"))
     labels = core.select("a", F.col("a").alias("label"))
     for _ in range(rounds):
         least_near = edges.join(labels.toDF("b", "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        merged = labels.join(least_near, "a").select("a", F.least("label", "m").alias("label"), F.col("label").alias("old")).checkpoint()
+        merged = cut_lineage(labels.join(least_near, "a").select("a", F.least("label", "m").alias("label"), F.col("label").alias("old")))
         labels = merged.select("a", "label")
         if merged.where("label != old").isEmpty():
             break

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import mining as M
 from quarry.plans.registry import Tables, query, rounded
+from quarry.session import cut_lineage
 from quarry.sources import tables as S
 from quarry.streaming import windows as ST
 
@@ -71,12 +72,12 @@ def kernel(outranks: DataFrame, names: DataFrame) -> DataFrame:
     left, kept = names.select("name"), names.select("name").limit(0)
     for _ in range(64):
         edges = outranks.join(left.select(F.col("name").alias("a")), "a").join(left.select(F.col("name").alias("b")), "b")
-        free = left.join(edges.select(F.col("b").alias("name")).distinct(), "name", "left_anti").checkpoint()
+        free = cut_lineage(left.join(edges.select(F.col("b").alias("name")).distinct(), "name", "left_anti"))
         if free.isEmpty():
             return kept
         kept = kept.union(free)
         beaten = outranks.join(free.select(F.col("name").alias("a")), "a").select(F.col("b").alias("name")).distinct()
-        left = left.join(free, "name", "left_anti").join(beaten, "name", "left_anti").checkpoint()
+        left = cut_lineage(left.join(free, "name", "left_anti").join(beaten, "name", "left_anti"))
     return kept
 
 
@@ -84,7 +85,7 @@ def kernel(outranks: DataFrame, names: DataFrame) -> DataFrame:
 def outranking_kernel(t: Tables):
     criteria = {"n": {"gain": True, "weight": 2.0, "q": 0, "p": 30, "v": 2000}, "m": {"gain": False, "weight": 1.0, "q": 0.0, "p": 800.0, "v": 30000.0}}
     alternatives = t.customer.groupBy(F.col("c_mktsegment").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.avg("c_acctbal").alias("m"))
-    edges = M.outranking(alternatives, criteria, 0.7).where("outranks").select("a", "b").checkpoint()
+    edges = cut_lineage(M.outranking(alternatives, criteria, 0.7).where("outranks").select("a", "b"))
     strict = edges.join(edges.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     return kernel(strict, alternatives)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -19,3 +21,13 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **extra
     """A session with UTC, adaptive execution and Arrow on; ``extra`` overrides any key."""
     conf = DEFAULTS | {"spark.sql.shuffle.partitions": str(shuffle_partitions)} | extra
     return SparkSession.builder.master(master).config(map=conf).getOrCreate()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in the shared folder that ``spark.checkpoint.dir`` names; a local master without one gets a folder."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
+    return df.checkpoint()
