@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 
@@ -19,7 +18,7 @@ OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]"
 #: New words encoded in a row.
 WORDS_A_ROW = 400
 #: Longer parts are encoded each time.
-PART_CHARS, CACHED_PARTS = 48, 500_000
+PART_CHARS, CACHED_PARTS = 48, 300_000
 
 
 class Encoder:
@@ -84,11 +83,11 @@ class Encoder:
         self.cache.update(found if max(map(len, new)) <= PART_CHARS else ((p, x) for p, x in found.items() if len(p) <= PART_CHARS))
         return found
 
-    def packed_all(self, texts: list[str], group: int = 1_000_000) -> Iterator[bytes]:
+    def packed_all(self, texts: list[str], group: int = 500_000) -> Iterator[bytes]:
         """All ids of each text as little-endian unsigned 32-bit integers, in groups of about ``group`` characters."""
         k = 0
         while k < len(texts):
-            cut: list[tuple[list[str], list[bytes | None]]] = []
+            cut: list[tuple[list[str], list[bytes | None], list[int]]] = []
             new: set[str] = set()
             size = 0
             while k < len(texts) and (not cut or size + len(texts[k]) <= group):
@@ -96,17 +95,17 @@ class Encoder:
                 size += len(text)
                 k += 1
                 if OTHER_SPACE.search(text):
-                    cut.append(([], [_packed(self.tokenizer.encode(text, add_special_tokens=False).ids)]))
+                    cut.append(([], [_packed(self.tokenizer.encode(text, add_special_tokens=False).ids)], []))
                     continue
                 parts = PART.findall(text)
                 known = list(map(self.cache.get, parts))
-                if None in known:
-                    new.update(compress(parts, [x is None for x in known]))
-                cut.append((parts, known))
+                missing = _places_of_none(known)
+                new.update([parts[i] for i in missing])
+                cut.append((parts, known, missing))
             learned = self._learn(new) if new else {}
-            for parts, known in cut:
-                if None in known:
-                    known = [learned[p] if x is None else x for p, x in zip(parts, known, strict=True)]
+            for parts, known, missing in cut:
+                for i in missing:
+                    known[i] = learned[parts[i]]
                 yield b"".join(known)
 
     def packed(self, text: str) -> bytes:
@@ -116,6 +115,16 @@ class Encoder:
         return np.frombuffer(self.packed(text), "<u4")
 
 
+def _places_of_none(values: list) -> list[int]:
+    places, at = [], -1
+    try:
+        while True:
+            at = values.index(None, at + 1)
+            places.append(at)
+    except ValueError:
+        return places
+
+
 def _packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
