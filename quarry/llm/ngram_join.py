@@ -368,8 +368,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     join = Join(docs)
     labels = join.labels()
-    least = join.classes.join(labels, "fp").groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = join.classes.join(labels, "fp", "left").join(least, "label", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    linked = stored(join.classes.join(_if_small(labels, labels.count()), "fp").select("fp", "label", "rep"))
+    least = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
+    # A component may be large, so its members aren't dealt by it where the components' own table is small.
+    own_least = linked.join(_if_small(least, least.count()), "label").select("fp", "component_id")
+    named = join.classes.join(own_least, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     joined = join.docs.join(named, "fp", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
