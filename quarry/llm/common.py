@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import partial
 from pathlib import Path
 
 import numpy as np
@@ -15,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of an Arrow batch sent to a Python worker, so that one batch of very long texts stays small.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,17 +48,20 @@ def stored(df: DataFrame, path: str | None = None, codec: str = "none") -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a table of ``stored`` that no result reads any more."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with batches bounded by bytes, not only by rows."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(partial(_trimmed, f), schema)
+
+
+def _trimmed(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs ``f``, then hands freed memory back to the system: workers are kept from task to task."""
+    yield from f(batches)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def text_or_empty(c: str = "text") -> Column:
@@ -64,7 +71,7 @@ def text_or_empty(c: str = "text") -> Column:
 class WordIds(dict):
     """64-bit hashes of words (bytes), kept up to ``limit`` distinct words."""
 
-    def __init__(self, limit: int = 1_000_000) -> None:
+    def __init__(self, limit: int = 250_000) -> None:
         super().__init__()
         self.limit = limit
 

@@ -168,8 +168,22 @@ class Index:
                 for item, offset in whole[k]:
                     yield item, offset, s
 
-    def matches(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
-        """Text number, item id, first and last word and edit distance: for each text and item the nearest, if near enough."""
+    def matches(self, texts: list[str], group: int = 500_000) -> list[tuple[int, int, int, int, int]]:
+        """Text number, item id, first and last word and edit distance: for each text and item the nearest, if near enough.
+
+        Texts are searched in groups of about ``group`` characters, which bounds what is held at once.
+        """
+        out, k = [], 0
+        while k < len(texts):
+            n, size = k, 0
+            while n < len(texts) and (n == k or size + len(texts[n]) <= group):
+                size += len(texts[n])
+                n += 1
+            out += [(k + t, *rest) for t, *rest in self._matches(texts[k:n])]
+            k = n
+        return out
+
+    def _matches(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         lists = [words_of(t) for t in texts]
         sizes = np.array([len(x) for x in lists], np.int64)
         pad = STEPS + 1

@@ -8,8 +8,6 @@ is overfull because one text has very many copies is subdivided by document.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,7 +65,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, ranges: int = 256, sample
 def write_shards(docs: DataFrame, path: str, shards: int = 40, files_per_shard: int = 1) -> None:
     """``docs``, whose doc_id are unique, written below ``path`` in a folder for each shard, in slot order."""
     placed = docs.join(shard_documents(docs, shards).select("doc_id", "shard", "slot"), "doc_id")
-    piece = F.floor(F.col("slot") / math.ceil(1 << 16)) % files_per_shard
+    piece = F.col("slot") % files_per_shard
     placed.repartition("shard", piece).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 

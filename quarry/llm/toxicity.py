@@ -32,6 +32,8 @@ START_LENGTHS = range(4, 9)
 MAX_LABELLED = 20_000
 PRIOR_WEIGHT, MIN_TOXIC, MIN_Z, MIN_LOG_ODDS = 50.0, 5, 4.0, 2.5
 DRIFT, MAX_SCORE, MAX_E = -0.02, 6.0, 0.05
+#: Scores of words that a worker keeps.
+CACHED_WORDS = 300_000
 
 
 def units(word: str) -> list[str]:
@@ -59,7 +61,7 @@ class Model:
         except KeyError:
             new = {w: self.score(w) for w in set(words) if w not in known}
             got = [new[w] if w in new else known[w] for w in words]
-            if len(known) + len(new) > 500_000:
+            if len(known) + len(new) > CACHED_WORDS:
                 known.clear()
             known.update((w, s) for w, s in new.items() if len(w) < 40)
             return got

@@ -275,7 +275,7 @@ class Transducer:
             done[now] = ready[now] = True
         return np.bincount(doc, count, minlength=len(texts)).astype(np.int64)
 
-    def counts(self, texts: list[str], group: int = 2_000_000) -> np.ndarray:
+    def counts(self, texts: list[str], group: int = 1_000_000) -> np.ndarray:
         """Tokens of each text, in groups of about ``group`` characters."""
         out, k = [np.zeros(0, np.int64)], 0
         while k < len(texts):
