@@ -18,7 +18,7 @@ OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]"
 #: New words encoded in a row.
 WORDS_A_ROW = 400
 #: Longer parts are encoded each time.
-PART_CHARS, CACHED_PARTS = 48, 300_000
+PART_CHARS, CACHED_PARTS = 48, 380_000
 
 
 class Encoder:
@@ -83,7 +83,7 @@ class Encoder:
         self.cache.update(found if max(map(len, new)) <= PART_CHARS else ((p, x) for p, x in found.items() if len(p) <= PART_CHARS))
         return found
 
-    def packed_all(self, texts: list[str], group: int = 500_000) -> Iterator[bytes]:
+    def packed_all(self, texts: list[str], group: int = 1_000_000) -> Iterator[bytes]:
         """All ids of each text as little-endian unsigned 32-bit integers, in groups of about ``group`` characters."""
         k = 0
         while k < len(texts):
