@@ -391,3 +391,31 @@ def test_decontamination(spark, docs, none):
             assert decontaminate.edit_place(item, words)[0] == r.edit_distance
     assert decontaminate.find_contamination(none, benchmark).count() == 0
     assert decontaminate.find_contamination(docs, benchmark.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("even", [False, True])
+def test_decontamination_full_rate(even):
+    """At 0.2 edits a word, random or evenly spaced, what the index finds is what brute force finds."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(300)]
+    items = [(k, [rng.choice(words) for _ in range(6 + k)]) for k in range(59)]
+    texts = []
+    for _, w in items:
+        w = list(w)
+        for at in list(range(4, len(w), 5) if even else rng.sample(range(len(w)), len(w) // 5))[: len(w) // 5]:
+            w[at] = "other"
+        texts.append(rng.choices(words, k=8) + w + rng.choices(words, k=8))
+    index = decontaminate.Index([(k, " ".join(w)) for k, w in items])
+    got = {(t, i, d) for t, i, _, _, d in index.matches([" ".join(w) for w in texts])}
+    near = {(t, i, decontaminate.edit_place(w, x)[0]) for t, x in enumerate(texts) for i, w in items if len(set(w) - set(x)) <= len(w) // 5}
+    assert got == {(t, i, d) for t, i, d in near if d <= len(items[i][1]) // 5}
+    assert {(t, t) for t in range(59)} <= {(t, i) for t, i, _ in got}
+
+
+def test_decontamination_long_items():
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(2000)]
+    items = [[rng.choice(words) for _ in range(70 + k % 30)] for k in range(300)]
+    texts = [" ".join("other" if at % 5 == 4 else x for at, x in enumerate(w)) for w in items]
+    found = {(t, i) for t, i, *_ in decontaminate.Index([(k, " ".join(w)) for k, w in enumerate(items)]).matches(texts)}
+    assert sum((t, t) in found for t in range(300)) >= 0.99 * 300
