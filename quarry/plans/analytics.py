@@ -253,6 +253,23 @@ def knn_vote(t: Tables):
     return V.knn_votes(t.embeddings.where("vec_id < 30"), t.embeddings, 7)
 
 
+@query("cosine_topk_hundredths", "SELECT query_id, vec_id, value, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS value, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) AS INTEGER) AS rank FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0) WHERE rank <= 5")
+def cosine_topk_hundredths(t: Tables):
+    near = V.nearest(t.embeddings.where("vec_id % 100 = 0"), t.embeddings.select("vec_id", "embedding"), 5)
+    return near.select("query_id", "vec_id", rounded(F.col("value")).alias("value"), "rank")
+
+
+@query("euclid_topk_hundredths", "SELECT query_id, vec_id, value, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS value, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), v.vec_id) AS INTEGER) AS rank FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0) WHERE rank <= 3")
+def euclid_topk_hundredths(t: Tables):
+    near = V.nearest(t.embeddings.where("vec_id % 100 = 0"), t.embeddings.select("vec_id", "embedding"), 3, "euclidean")
+    return near.select("query_id", "vec_id", rounded(F.col("value")).alias("value"), "rank")
+
+
+@query("knn_vote_all", "WITH n AS (SELECT q.vec_id AS query_id, v.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), v.vec_id) AS k FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id), c AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY k) AS votes FROM n WHERE k <= 7) SELECT query_id, label AS predicted, votes FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, k) = 1")
+def knn_vote_all(t: Tables):
+    return V.knn_votes(t.embeddings, t.embeddings, 7)
+
+
 # --- mining --------------------------------------------------------------------------------------
 BASKETS = "(SELECT DISTINCT l_orderkey AS basket, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey)"
 

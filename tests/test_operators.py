@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions.text import huffman_codes, lzw_codes, lzw_text
-from quarry.operators import frame, mining, relational, stats, text
+from quarry.operators import frame, mining, relational, stats, text, vector
 from quarry.sources import tables
 from quarry.streaming import windows
 
@@ -125,3 +125,12 @@ def test_parameter_types(spark):
 def test_roc_auc(spark, label, score, auc):
     df = spark.createDataFrame(list(zip(label, score, strict=True)), "y int, s double")
     assert stats.roc_auc(df, "y", "s").first().auc == auc
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_nearest_in_blocks(spark, metric):
+    rows = spark.range(60).select(F.col("id").alias("vec_id"), F.array(F.cos("id"), F.sin("id"), (F.col("id") % 7).cast("double")).alias("embedding"))
+    whole = vector.nearest(rows, rows, 4, metric).collect()
+    assert len(whole) == 240
+    blocks = vector.nearest(rows, rows, 4, metric, most_queries=7, block_rows=11).select(*whole[0].asDict()).collect()
+    assert sorted(map(tuple, blocks)) == sorted(map(tuple, whole))
