@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import char_ngrams, huffman_codes, sentences, word_ngrams, word_tokens
 from quarry.operators.relational import broadcast_if_small
+from quarry.session import cut_lineage
 
 
 def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -75,11 +76,12 @@ def dictionary_hits(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text
     return tokens.join(broadcast_if_small(terms.select("term").distinct()), "term").groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def nearest_words(words: DataFrame, vocabulary: DataFrame, most: int = 2) -> DataFrame:
+def nearest_words(words: DataFrame, vocabulary: DataFrame, most: int = 2, every: bool = False) -> DataFrame:
     """word, nearest, distance: the vocabulary's word of least edit distance up to ``most``, ties by word.
 
     Words share a deletion neighbourhood with all words within the distance, so an equi-join on it finds
-    the candidates; no pair of all words is made.
+    the candidates; no pair of all words is made. With ``every``, words that have none so near are then
+    compared to the whole vocabulary, so each word gets its nearest at any distance.
     """
 
     def neighbours(df: DataFrame, name: str) -> DataFrame:
@@ -91,7 +93,15 @@ def nearest_words(words: DataFrame, vocabulary: DataFrame, most: int = 2) -> Dat
 
     pairs = neighbours(words, "word").join(neighbours(vocabulary, "nearest"), "d").select("word", "nearest").distinct()
     close = pairs.withColumn("distance", F.levenshtein("word", "nearest")).where(F.col("distance") <= most)
-    return close.groupBy("word").agg(F.min(F.struct("distance", "nearest")).alias("m")).select("word", "m.nearest", "m.distance")
+    least = lambda df: df.groupBy("word").agg(F.min(F.struct("distance", "nearest")).alias("m")).select("word", "m.nearest", "m.distance")
+    if not every:
+        return least(close)
+    found = cut_lineage(least(close))
+    left = cut_lineage(words.select("word").where("word is not null").distinct().join(found, "word", "left_anti"))
+    if left.isEmpty():
+        return found
+    pairs = vocabulary.select(F.col("word").alias("nearest")).where("nearest is not null").distinct().crossJoin(broadcast_if_small(left))
+    return found.unionByName(least(pairs.withColumn("distance", F.levenshtein("word", "nearest"))))
 
 
 def summaries(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:

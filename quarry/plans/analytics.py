@@ -203,6 +203,18 @@ def spell_nearest(t: Tables):
     return T.nearest_words(words, vocabulary)
 
 
+@query("dict_search_all", f"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) WHERE term IN (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) FROM benchmark) GROUP BY 1, 2")
+def dict_search_all(t: Tables):
+    return T.dictionary_hits(t.documents, t.benchmark.select(F.explode(X.word_tokens(F.col("text"))).alias("term")))
+
+
+@query("spell_nearest_all", "WITH w AS (SELECT DISTINCT lower(p_name) AS word FROM part), v AS (SELECT DISTINCT lower(c_mktsegment) AS word FROM customer UNION SELECT lower(p_name) || 'x' FROM part) SELECT w.word, min_by(v.word, {'d': levenshtein(w.word, v.word), 'v': v.word}) AS nearest, CAST(min(levenshtein(w.word, v.word)) AS INTEGER) AS distance FROM w CROSS JOIN v GROUP BY 1")
+def spell_nearest_all(t: Tables):
+    words = t.part.select(F.lower("p_name").alias("word"))
+    vocabulary = t.customer.select(F.lower("c_mktsegment").alias("word")).union(t.part.select(F.concat(F.lower("p_name"), F.lit("x"))))
+    return T.nearest_words(words, vocabulary, every=True)
+
+
 @query("chunks", "SELECT doc_id, CAST(i AS INTEGER) AS i, substring(text, i * 800 + 1, 1000) AS chunk FROM (SELECT doc_id, text, unnest(range(0, 1 + (greatest(length(text) - 200, 1) - 1) // 800)) AS i FROM documents)")
 def chunks(t: Tables):
     return t.documents.select("doc_id", F.posexplode(X.chunks(F.col("text"), 1000, 200)).alias("i", "chunk"))

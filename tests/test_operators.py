@@ -134,3 +134,10 @@ def test_nearest_in_blocks(spark, metric):
     assert len(whole) == 240
     blocks = vector.nearest(rows, rows, 4, metric, most_queries=7, block_rows=11).select(*whole[0].asDict()).collect()
     assert sorted(map(tuple, blocks)) == sorted(map(tuple, whole))
+
+
+def test_nearest_words_of_every_word(spark):
+    words = spark.createDataFrame([("cat",), ("hose",), ("zzzzz",), ("a",), ("houses and",)], "word string")
+    vocabulary = spark.createDataFrame([("cart",), ("house",), ("horse",), ("at",), ("b",)], "word string")
+    got = {(r.word, r.nearest, r.distance) for r in text.nearest_words(words, vocabulary, every=True).collect()}
+    assert got == {("cat", "at", 1), ("hose", "horse", 1), ("a", "at", 1), ("zzzzz", "at", 5), ("houses and", "house", 5)}
