@@ -170,6 +170,14 @@ def sentence_prob(t: Tables):
     return T.sentence_log_probability(model, pairs, "doc_id").withColumn("log_p", rounded(F.col("log_p"), 3))
 
 
+@query("sentence_prob_all", "WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), p AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: {'a': w[i], 'b': w[i + 1]})) AS g FROM w), m AS (SELECT g.a AS a, g.b AS b, count(*) AS n FROM p GROUP BY 1, 2), s AS (SELECT a, sum(n) AS total FROM m GROUP BY 1) SELECT doc_id, round(sum(ln(coalesce(n / total, 1 / (total + 1)))), 3) AS log_p FROM p JOIN s ON g.a = s.a LEFT JOIN m ON m.a = g.a AND m.b = g.b GROUP BY 1")
+def sentence_prob_all(t: Tables):
+    model = T.markov_counts(t.documents, 1)
+    grams = t.documents.select("doc_id", F.explode(X.word_ngrams(F.split("text", " "), 2)).alias("g"))
+    pairs = grams.select("doc_id", F.expr("substring_index(g, ' ', 1)").alias("context"), F.expr("substring_index(g, ' ', -1)").alias("next"))
+    return T.sentence_log_probability(model, pairs, "doc_id").withColumn("log_p", rounded(F.col("log_p"), 3))
+
+
 @query("cond_entropy", "WITH t AS (SELECT sum(length(text))::DOUBLE AS n FROM documents), a AS (SELECT count(*) AS c FROM (SELECT unnest(list_transform(range(1, length(text)), lambda i: substring(text, i, 2))) AS g FROM documents) GROUP BY g), b AS (SELECT count(*) AS c FROM (SELECT unnest(list_transform(range(1, length(text) + 1), lambda i: substring(text, i, 1))) AS g FROM documents) GROUP BY g) SELECT round((SELECT sum(-c / n * log2(c / n)) FROM a, t) - (SELECT sum(-c / n * log2(c / n)) FROM b, t), 6) AS entropy")
 def cond_entropy(t: Tables):
     return T.conditional_entropy(t.documents, 1).select(rounded(F.col("entropy")).alias("entropy"))

@@ -56,10 +56,15 @@ def model_frequent_patterns(t: Tables):
     return L.frequent_patterns(items, 0.02).select(F.array_join(F.sort_array("items"), ",").alias("items"), "freq")
 
 
+#: The most documents that the language model is fitted on, those with the smallest hashes of their ids; all are predicted.
+MAX_FITTED = 20_000
+
+
 @query("model_language")
 def model_language(t: Tables):
     docs = t.documents.select("doc_id", "text", "lang")
-    return L.identify_language(docs.where("doc_id % 2 = 0"), docs, features=1000).select("doc_id", "lang", "predicted")  # fitted on one half
+    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_FITTED)
+    return L.identify_language(docs.join(F.broadcast(chosen.distinct()), "doc_id"), docs, features=1000).select("doc_id", "lang", "predicted")
 
 
 @query("density_clusters")

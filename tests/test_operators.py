@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import huffman_codes, lzw_codes, lzw_text
 from quarry.operators import frame, mining, relational, stats, text, vector
+from quarry.plans import QUERIES
 from quarry.sources import tables
 from quarry.streaming import windows
 
@@ -141,3 +142,10 @@ def test_nearest_words_of_every_word(spark):
     vocabulary = spark.createDataFrame([("cart",), ("house",), ("horse",), ("at",), ("b",)], "word string")
     got = {(r.word, r.nearest, r.distance) for r in text.nearest_words(words, vocabulary, every=True).collect()}
     assert got == {("cat", "at", 1), ("hose", "horse", 1), ("a", "at", 1), ("zzzzz", "at", 5), ("houses and", "house", 5)}
+
+
+def test_language_is_fitted_on_all_ids(spark, tmp_path):
+    rows = [(k, "alpha beta gamma " * 5 if k % 2 else "opus ruit dolor " * 5, "aa" if k % 2 else "bb") for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["model_language"](spark, str(tmp_path)).collect()
+    assert len(got) == 40 and all(r.predicted == r.lang for r in got)
