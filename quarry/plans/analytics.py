@@ -157,6 +157,12 @@ def word_ngrams(t: Tables):
     return grams.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 5")
 
 
+@query("word_ngrams_all", "WITH w AS (SELECT string_split(text, ' ') AS w FROM documents) SELECT g, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w) GROUP BY 1")
+def word_ngrams_all(t: Tables):
+    grams = t.documents.select(F.explode(X.word_ngrams(F.split("text", " "), 2)).alias("g"))
+    return grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("markov_chars", "SELECT g[1:2] AS context, g[3] AS next, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(text) - 1), lambda i: substring(text, i, 3))) AS g FROM documents) GROUP BY 1, 2")
 def markov_chars(t: Tables):
     return T.markov_counts(t.documents, 2, unit="char")
@@ -391,7 +397,7 @@ def regression_errors(t: Tables):
 
 @query("influence")
 def influence(t: Tables):
-    return S.influence(t.part.select("p_partkey", "p_size", "p_retailprice"), "p_retailprice", "p_size").orderBy(F.desc("cooks_distance"), "p_partkey").limit(20)
+    return S.influence(t.part.select("p_partkey", "p_size", "p_retailprice"), "p_retailprice", "p_size")
 
 
 @query("dft_daily", "WITH d AS (SELECT row_number() OVER (ORDER BY d) - 1 AS t, n, count(*) OVER () AS m FROM (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1)) SELECT CAST(k AS INTEGER) AS k, round(sqrt(pow(sum(n * cos(2 * pi() * k * t / m)), 2) + pow(sum(n * sin(2 * pi() * k * t / m)), 2)), 4) AS amplitude FROM d, (SELECT unnest(range(0, 16)) AS k) GROUP BY 1")

@@ -120,6 +120,13 @@ def orderby_sub_rewrite(t: Tables):
     return first.select("c_custkey", "n_name", F.row_number().over(W.orderBy("n", "n_name", "c_custkey")).cast("int").alias("pos"))
 
 
+@query("orderby_sub_rewrite_all", "SELECT c_custkey, n_name, CAST(row_number() OVER (ORDER BY n, n_name, c_custkey) AS INTEGER) AS pos FROM customer JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) ON k = c_nationkey JOIN nation ON n_nationkey = k")
+def orderby_sub_rewrite_all(t: Tables):
+    sizes = t.customer.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    rows = t.customer.join(sizes, "c_nationkey").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return R.next_values(rows, ["n", "n_name", "c_custkey"], "pos").select("c_custkey", "n_name", F.col("pos").cast("int").alias("pos"))
+
+
 @query("recursive_levels", "WITH RECURSIVE e AS (SELECT s_suppkey AS n, CASE WHEN s_suppkey > 0 THEN s_suppkey // 5 END AS p FROM supplier), t AS (SELECT n, 1 AS level, [n] AS path FROM e WHERE p IS NULL UNION ALL SELECT e.n, t.level + 1, list_append(t.path, e.n) FROM t JOIN e ON e.p = t.n) SELECT n AS node, level, array_to_string(path, '/') AS path, repeat('  ', level - 1) || n AS shown FROM t")
 def recursive_levels(t: Tables):
     nodes = t.supplier.select(F.col("s_suppkey").alias("node"), F.when(F.col("s_suppkey") > 0, F.expr("s_suppkey div 5")).alias("parent"))

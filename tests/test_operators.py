@@ -149,3 +149,10 @@ def test_language_is_fitted_on_all_ids(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     got = QUERIES["model_language"](spark, str(tmp_path)).collect()
     assert len(got) == 40 and all(r.predicted == r.lang for r in got)
+
+
+def test_queries_keep_all_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    for name, table in (("influence", "part"), ("orderby_sub_rewrite_all", "customer")):
+        assert QUERIES[name](spark, sf).count() == tables.load(spark, sf, table).count()
+    assert QUERIES["word_ngrams_all"](spark, sf).where("n <= 5").count() > 0
