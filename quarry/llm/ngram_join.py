@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from quarry.llm.common import WordIds, map_arrow, stored, table, text_or_empty
 
@@ -359,6 +360,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def fingerprints(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the fingerprint of each text's set, which is its class, as column ``name``."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordIds()
+        for b in batches:
+            fps = [fingerprint(shingle_set(t or "", words)) for t in b.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.binary())], [*b.schema.names, name])
+
+    return map_arrow(docs, run, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -366,16 +380,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts have 0 shingles and link with nothing; with fewer than five words the whole text is the one
     shingle. Rows without doc_id link with nothing and have no component. Repeated rows are one class.
     """
+    return classified(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def classified(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` with fp, the text's class, and label, the least fp of its component.
+
+    Where an id has several texts, components can share their smallest id, so only label tells them apart.
+    """
     join = Join(docs)
     labels = join.labels()
     linked = stored(join.classes.join(_if_small(labels, labels.count()), "fp").select("fp", "label", "rep"))
     least = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
     # A component may be large, so its members aren't dealt by it where the components' own table is small.
-    own_least = linked.join(_if_small(least, least.count()), "label").select("fp", "component_id")
-    named = join.classes.join(own_least, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    own_least = linked.join(_if_small(least, least.count()), "label").select("fp", "label", "component_id")
+    named = join.classes.join(own_least, "fp", "left").select("fp", "label", F.coalesce("component_id", "rep").alias("component_id"))
     joined = join.docs.join(named, "fp", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "fp", F.coalesce("label", "fp").alias("label"))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,14 +36,21 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near duplicates.
 
-    Rows that repeat an id count as one document, of which the least text stays. Rows without id stay.
+    Where rows repeat an id, each is judged by its own text: of those in one group, if it is the smallest
+    id there, the least text stays. Rows without id stay.
     """
-    found = ngram_join.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("first"), F.count(F.lit(1)).alias("rows"))
-    odd = ngram_join.stored(found.where("not first or rows > 1").select(F.col("doc_id").alias("_odd"), F.col("first").alias("_first")))
+    classes = ngram_join.classified(docs).where("doc_id is not null")
+    found = classes.groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("first"), F.count(F.lit(1)).alias("rows"))
+    odd = ngram_join.stored(found.where("not first or rows > 1").select(F.col("doc_id").alias("_odd"), F.col("first").alias("_first"), "rows"))
     odd = ngram_join._if_small(odd, odd.count())
     whole = docs.join(odd.select("_odd"), docs["doc_id"] == F.col("_odd"), "left_anti")
-    repeated = docs.join(odd.where("_first").select("_odd"), docs["doc_id"] == F.col("_odd"), "left_semi")
-    one = repeated.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce("text", F.lit(""))).alias("_row")).select("_row.*")
+    several = odd.where("_first and rows > 1").select("_odd")
+    if several.isEmpty():
+        return whole
+    repeated = ngram_join.fingerprints(docs.join(several, docs["doc_id"] == F.col("_odd"), "left_semi"), "_fp")
+    kept = classes.join(several, classes["doc_id"] == F.col("_odd"), "left_semi").where("component_id = doc_id").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_kept"), "label").distinct()
+    joined = repeated.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_fp") == F.col("_kept")))
+    one = joined.groupBy("doc_id", "label").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce("text", F.lit(""))).alias("_row")).select("_row.*")
     return whole.unionByName(one)
 
 

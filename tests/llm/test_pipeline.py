@@ -32,3 +32,13 @@ def test_queries_are_registered():
     names = e.queries()
     assert "pipeline" in names and {int(k[2:].split("_")[0]) for k in names if k.startswith("op") and k[2].isdigit()} == set(range(1, 11))
     assert e.oracle_sql().keys() <= names.keys()
+
+
+def test_texts_of_a_repeated_id_are_judged_one_by_one(spark, sf):
+    text = lambda k: " ".join(f"{k}word{i}" for i in range(40))
+    rows = [(1, text("a")), (2, text("b")), (2, text("a")), (3, text("c")), (3, text("d")), (3, text("d")), (4, text("d")), (5, ""), (5, text("e")), (None, text("a"))]
+    docs = spark.createDataFrame([(k, t, k) for k, t in rows], "doc_id long, text string, n long")
+    kept = stages.one_of_each_group(spark, docs, sf)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id or 0, r.text) for r in kept.collect()))
+    assert got == sorted([(0, text("a")), (1, text("a")), (2, text("b")), (3, text("c")), (3, text("d")), (5, ""), (5, text("e"))])
