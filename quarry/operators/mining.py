@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,8 +13,8 @@ from quarry.operators.relational import broadcast_if_small
 from quarry.session import cut_lineage
 
 
-def frequent_itemsets(baskets: DataFrame, least: float, basket: str = "basket", item: str = "item", most: int = 3) -> DataFrame:
-    """items (sorted array), n and support of all itemsets of up to ``most`` items with at least ``least`` support.
+def frequent_itemsets(baskets: DataFrame, least: float, basket: str = "basket", item: str = "item", most: int | None = None) -> DataFrame:
+    """items (sorted array), n and support of all itemsets with at least ``least`` support, or those of up to ``most`` items.
 
     Level by level: sets of k - 1 items that share all but the last are joined to candidates, candidates
     with an infrequent subset are pruned, and the rest are counted on baskets that hold them.
@@ -24,7 +25,7 @@ def frequent_itemsets(baskets: DataFrame, least: float, basket: str = "basket",
     has = rows.join(broadcast_if_small(level.select(F.col("items")[0].alias(item))), item).groupBy(basket).agg(F.sort_array(F.collect_set(item)).alias("has"))
     held = has.select("has", F.explode(F.transform("has", lambda x: F.array(x))).alias("items"))
     found = level
-    for k in range(2, most + 1):
+    for k in count(2) if most is None else range(2, most + 1):
         if level.isEmpty():
             break
         left = level.select(F.slice("items", 1, k - 2).alias("p") if k > 2 else F.lit("").alias("p"), F.col("items").alias("a"))

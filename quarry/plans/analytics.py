@@ -312,7 +312,7 @@ def apriori_itemsets(t: Tables):
 
 @query("rules_metrics", f"WITH b AS {BASKETS}, n AS (SELECT count(DISTINCT basket) AS total FROM b), s AS (SELECT item, count(*) / max(total) AS s FROM b, n GROUP BY 1), p AS (SELECT x.item AS a, y.item AS c, count(*) / max(total) AS s FROM b x JOIN b y ON x.basket = y.basket AND x.item <> y.item, n GROUP BY 1, 2 HAVING count(*) >= 0.02 * max(total)) SELECT a AS antecedent, c AS consequent, round(p.s, 6) AS support, round(p.s / sa.s, 6) AS confidence, round(p.s / sa.s / sc.s, 6) AS lift, round((1 - sc.s) / (1 - p.s / sa.s), 6) AS conviction FROM p JOIN s sa ON sa.item = a JOIN s sc ON sc.item = c WHERE p.s / sa.s >= 0.1")
 def rules_metrics(t: Tables):
-    rules = M.association_rules(M.frequent_itemsets(baskets(t), 0.02, most=2), 0.1)
+    rules = M.association_rules(M.frequent_itemsets(baskets(t), 0.02), 0.1)
     return rules.select(F.array_join("antecedent", ",").alias("antecedent"), F.array_join("consequent", ",").alias("consequent"), *[rounded(F.col(c)).alias(c) for c in ("support", "confidence", "lift", "conviction")])
 
 

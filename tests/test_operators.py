@@ -2,6 +2,7 @@
 
 import math
 from datetime import date
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,3 +157,10 @@ def test_queries_keep_all_rows(spark):
     for name, table in (("influence", "part"), ("orderby_sub_rewrite_all", "customer")):
         assert QUERIES[name](spark, sf).count() == tables.load(spark, sf, table).count()
     assert QUERIES["word_ngrams_all"](spark, sf).where("n <= 5").count() > 0
+
+
+def test_itemsets_of_all_sizes(spark):
+    rows = spark.createDataFrame([(b, x) for b in range(4) for x in "abcde"] + [(9, "a")], "basket int, item string")
+    sets = mining.frequent_itemsets(rows, 0.5)
+    assert sorted("".join(r["items"]) for r in sets.collect()) == sorted("".join(c) for k in range(1, 6) for c in combinations("abcde", k))
+    assert mining.association_rules(sets, 0.1).where("size(antecedent) + size(consequent) = 5").count() == 30
