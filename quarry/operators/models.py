@@ -84,11 +84,12 @@ def identify_language(train: DataFrame, rows: DataFrame, text: str = "text", lab
     return model.transform(grams(rows)).withColumn("predicted", F.element_at(names, F.col("prediction").cast("int") + 1)).drop("_grams", "_label", "features", "rawPrediction", "probability", "prediction")
 
 
-def density_clusters(points: DataFrame, eps: float, least: int, x: str = "x", y: str = "y", key: str = "id", rounds: int = 50) -> DataFrame:
+def density_clusters(points: DataFrame, eps: float, least: int, x: str = "x", y: str = "y", key: str = "id") -> DataFrame:
     """DBSCAN of points in the plane: key and cluster (the least core key; null for noise).
 
     Points are dealt into cells of width ``eps``; neighbours lie in the nine cells around, found by an
-    equi-join. Core points are joined to components by least labels; others take a core neighbour's.
+    equi-join. Core points are joined to components by least labels, and the labels of those, until none changes;
+    others take a core neighbour's.
     """
     cells = points.select(key, x, y, F.floor(F.col(x) / eps).alias("cx"), F.floor(F.col(y) / eps).alias("cy"))
     around = F.explode(F.flatten(F.array(*[F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for j in (-1, 0, 1)]) for i in (-1, 0, 1)])))
@@ -97,11 +98,12 @@ def density_clusters(points: DataFrame, eps: float, least: int, x: str = "x", y:
     core = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("a")
     edges = cut_lineage(near.join(core, "a").join(core.toDF("b"), "b").select("a", "b"))
     labels = core.select("a", F.col("a").alias("label"))
-    for _ in range(rounds):
+    while True:
         least_near = edges.join(labels.toDF("b", "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
         merged = cut_lineage(labels.join(least_near, "a").select("a", F.least("label", "m").alias("label"), F.col("label").alias("old")))
-        labels = merged.select("a", "label")
-        if merged.where("label != old").isEmpty():
+        jumped = cut_lineage(merged.join(merged.select(F.col("a").alias("label"), F.col("label").alias("far")), "label").select("a", F.least("label", "far").alias("label"), "old"))
+        labels = jumped.select("a", "label")
+        if jumped.where("label != old").isEmpty():
             break
     border = near.join(labels.toDF("b", "label"), "b").groupBy("a").agg(F.min("label").alias("near_label"))
     own = points.select(key).join(labels.toDF(key, "label"), key, "left").join(border.withColumnRenamed("a", key), key, "left")

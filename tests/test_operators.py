@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions.text import huffman_codes, lzw_codes, lzw_text
-from quarry.operators import frame, mining, relational, stats, text, vector
+from quarry.operators import frame, mining, models, relational, stats, text, vector
 from quarry.plans import QUERIES
 from quarry.sources import tables
 from quarry.streaming import windows
@@ -164,3 +164,8 @@ def test_itemsets_of_all_sizes(spark):
     sets = mining.frequent_itemsets(rows, 0.5)
     assert sorted("".join(r["items"]) for r in sets.collect()) == sorted("".join(c) for k in range(1, 6) for c in combinations("abcde", k))
     assert mining.association_rules(sets, 0.1).where("size(antecedent) + size(consequent) = 5").count() == 30
+
+
+def test_density_clusters_of_a_long_chain(spark):
+    points = spark.range(120).select("id", F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    assert {r.cluster for r in models.density_clusters(points, 1.0, 2).collect()} == {0}
