@@ -2,9 +2,10 @@
 
 Documents are cut into full windows and a rest shorter than a window. Each rest goes, as it comes,
 to the fill level that leaves the sum of squared counts of partially filled windows smallest; a level
-array holds these counts. When a partition ends, its open windows are closed: the fullest are
-filled up with pieces cut from the emptiest, and the one that stays partial is cut into windows of
-powers of two, which need no padding.
+array holds these counts. Beyond ``MOST_OPEN`` open windows the fullest are filled up with pieces cut
+from the emptiest until half as many are open, so what a task holds is bounded. When a partition ends,
+all its open windows are closed so, and the one that stays partial is cut into windows of powers of
+two, which need no padding.
 """
 
 from __future__ import annotations
@@ -22,14 +23,16 @@ from pyspark.sql import functions as F
 from quarry.llm.common import map_arrow, table, text_or_empty
 from quarry.llm.encoding import encoder
 
+#: Windows that a task keeps open at most.
+MOST_OPEN = 4096
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Packer:
     """Packs pieces (doc, start, ids) of one partition; ``closed`` gets windows as lists of pieces."""
 
-    def __init__(self, size: int) -> None:
-        self.size = size
+    def __init__(self, size: int, most_open: int = MOST_OPEN) -> None:
+        self.size, self.most_open, self.n_open = size, most_open, 0
         self.counts = np.zeros(size + 1, np.int64)  # open windows at each fill level; 0 and size stay 0
         self.open: list[list[list[tuple]]] = [[] for _ in range(size)]
         self.closed: list[list[tuple]] = []
@@ -42,6 +45,8 @@ class Packer:
             self.closed.append([(doc, at, ids[4 * at : 4 * (at + size)])])
         if full < n:
             self._place((doc, full, ids[4 * full :]))
+            if self.n_open > self.most_open:
+                self._close(self.most_open // 2)
 
     def _place(self, piece: tuple) -> None:
         n, size, c = len(piece[2]) // 4, self.size, self.counts
@@ -58,17 +63,19 @@ class Packer:
         window.append(piece)
         if h:
             c[h] -= 1
+            self.n_open -= 1
         if h + n == size:
             self.closed.append(window)
         else:
             c[h + n] += 1
+            self.n_open += 1
             self.open[h + n].append(window)
 
-    def finish(self) -> None:
-        """Closes the open windows, without padding."""
+    def _close(self, leave: int) -> None:
+        """Fills up the fullest windows from the emptiest, until ``leave`` or one is open."""
         rest = [w for level in self.open for w in level]  # emptiest first
         k = 0
-        while k < len(rest) - 1:
+        while k < len(rest) - max(1, leave):
             fullest = rest.pop()
             room = self.size - sum(len(p[2]) // 4 for p in fullest)
             while room and k < len(rest):
@@ -86,8 +93,18 @@ class Packer:
                 rest.append(fullest)
                 break
             self.closed.append(fullest)
+        self.open = [[] for _ in range(self.size)]
         for window in rest[k:]:
-            self._in_powers(window)
+            self.open[sum(len(p[2]) // 4 for p in window)].append(window)
+        self.counts[: self.size] = [len(level) for level in self.open]
+        self.n_open = len(rest) - k
+
+    def finish(self) -> None:
+        """Closes all open windows, without padding."""
+        self._close(0)
+        for level in self.open:
+            for window in level:
+                self._in_powers(window)
 
     def _in_powers(self, window: list[tuple]) -> None:
         left = sum(len(p[2]) // 4 for p in window)
@@ -135,7 +152,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: in
         packer, made, e = Packer(size), 0, encoder(tokenizer)
         first = TaskContext.get().partitionId() << 40
         for b in batches:
-            for doc_id, ids in zip(b.column(0).to_pylist(), e.packed_all(b.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(b.column(0).to_pylist(), e.packed_arrow(b.column(1)), strict=True):
                 packer.add((doc_id, (len(ids) + len(end)) // 4), ids + end)
                 if len(packer.closed) >= 4096:
                     out, made = batch(packer, made, first)
@@ -147,6 +164,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: in
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 tokens."""
     import public_tokenizers
 
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

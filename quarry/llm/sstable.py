@@ -214,7 +214,7 @@ def write_tables(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
             made.append((name, task.partitionId(), len(made), entries, tokens))
 
         for b in batches:
-            for doc_id, ids in zip(b.column(0).to_pylist(), e.packed_all(b.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(b.column(0).to_pylist(), e.packed_arrow(b.column(1)), strict=True):
                 if writer is None:
                     name = f"{task.partitionId():06d}-{len(made):04d}-{task.taskAttemptId()}.sst"
                     writer = Writer(out := fs.open_output_stream(f"{root}/{name}", compression=None))

@@ -8,12 +8,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import chat, decontaminate, ngram_join, packing, sharding, sstable, topk, toxicity, transducer, urls
 from quarry.llm.common import shared_dir
-from quarry.llm.encoding import Encoder
+from quarry.llm.encoding import Encoder, Parts
 
 WORDS = "the of and to in alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi pi rho".split()
 #: Columns whose names operators use inside.
@@ -147,9 +148,11 @@ def test_encoder_gives_the_librarys_ids(name):
     texts = [t or "" for t in odd_texts()] + ["a <|endoftext|>b", "<|endoftext|> c", "d<|endoftext|>\n\n e  ", "\u0301a \u0301"]
     letters = "ab 'll's the  aa\n\r\t\x0bé\u0301日𝔘#12<.,-ßüΣς\xa0ing"
     texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(2000)]
-    e = Encoder(P.path(name))
-    for got, t in zip(e.packed_all(texts, 2000), texts, strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+    small = Encoder(P.path(name), 2000)
+    small.parts = Parts(500, 2000)
+    for e in (Encoder(P.path(name)), Encoder(P.path(name), 2000), small):
+        for got, t in zip(e.packed_arrow(pa.array(["left out", *texts])[1:]), texts, strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
 def test_sstable(spark, docs, none):
@@ -234,6 +237,26 @@ def test_packer_minimises_squares():
         assert int((p.counts**2).sum()) == min(costs)
 
 
+def test_packer_bounds_its_open_windows():
+    rng, p, placed = random.Random(4), packing.Packer(1024, 64), 0
+    for k in range(3000):
+        n = rng.choice([600, 600, 700, rng.randint(1, 3000)])
+        placed += n
+        p.add((k, n), np.arange(n, dtype="<u4").tobytes())
+        assert p.n_open == sum(map(len, p.open)) == p.counts.sum() <= 64
+    p.finish()
+    sizes = [sum(len(x[2]) // 4 for x in w) for w in p.closed]
+    assert sum(sizes) == placed and all(n == 1024 or n & (n - 1) == 0 for n in sizes) and sum(n < 1024 for n in sizes) <= 10
+    pieces = defaultdict(list)
+    for w in p.closed:
+        for (doc, n), start, ids in w:
+            assert np.frombuffer(ids, "<u4")[0] == start
+            pieces[doc, n].append((start, len(ids) // 4))
+    assert len(pieces) == 3000
+    for (_, n), ps in pieces.items():
+        assert sorted(ps)[0][0] == 0 and sum(x for _, x in ps) == n and all(a + x == b for (a, x), (b, _) in zip(sorted(ps), sorted(ps)[1:], strict=False))
+
+
 # --- op5 -----------------------------------------------------------------------------------------
 def shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
