@@ -3,24 +3,21 @@
 Texts are sequences of words. The CGK embedding walks over a sequence: step j writes the word at the
 walk's place and moves on or stays by a random bit that j and the word decide. Near sequences in edit
 distance are so mapped to near strings in Hamming distance, as two walks meet again after an edit.
-Bit sampling reads the embedding at a few steps; windows with equal samples are candidates. It is
-repeated with other bits, other steps and other places of the item, often enough for the target
-recall, and each candidate window, as long as the item and some slack, is verified by its exact edit
-distance.
-
-Walks of a short item overlap, so too few of them are independent. Items up to ``EXACT_WORDS`` are cut
-into one piece more than they may have edits instead: a piece without an edit is left in every window
-near enough, and as the walk that always moves on it is looked for by the same tables.
-
-A repetition only needs the first steps of each walk, so one pass serves windows of every item's size,
-and a walk is dropped at the first sampled step whose sample no item has.
+Items are dealt into classes of about the same size, and a class's walks go over windows of that size.
+Bit sampling reads an embedding at a few steps; windows with the samples of an item are candidates.
+``WALKS`` embeddings and ``SAMPLINGS`` samplings of each reach the target recall: as walks share the
+item's edits they aren't independent, so the numbers are measured, by a test, for each size of item.
+Each candidate, with some slack, is verified by its exact edit distance.
+
+Before, windows go that can't be near an item: an item of n words with e edits keeps n - 1 - 2e pairs of
+neighbouring words at least, so a window with fewer pairs of its class isn't walked. That loses nothing.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,27 +28,33 @@ from pyspark.sql import functions as F
 from quarry.llm.common import map_arrow, table, text_or_empty
 
 WORD = re.compile(r"\w+")
-#: Steps of a walk, samples read from it, and the edit rate that repetitions are reckoned for.
-STEPS, SAMPLES = 10, 5
-#: Different places that a walk must have read at its samples; a walk that stays on a common word tells little.
-PLACES = 4
-MAX_EDIT_RATE, TARGET_RECALL = 0.2, 0.99
-#: Items up to so many words are found by exact pieces, which miss none; longer ones by walks.
-EXACT_WORDS = 64
-#: Walks of a longer item at least: at 0.2 edits a word, evenly spaced, 16 found 0.93 to 0.97 of 400 items of 65, 100 and 200 words, 48 all.
-LEAST_REPETITIONS = 48
+#: Edits a word that an item may have, rounded down.
+MAX_EDIT_RATE = 0.2
+#: Embeddings of a class, samplings of each, and steps a sampling reads: 3 for items under LONG words, else 2.
+WALKS, SAMPLINGS, READ, LONG = 16, 8, 3, 48
+#: Steps of a walk for each word of the class's smallest item; a step moves on by half a word on average.
+STEPS_A_WORD = 1.6
+#: The most classes; each holds sizes up to a quarter larger than its smallest.
+CLASSES = 31
+#: Windows walked at once.
+WINDOWS = 4096
 #: Items that one pass over the documents looks for; more are looked for in more passes.
 ITEMS_PER_PASS = 50_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def repetitions(edit_rate: float = MAX_EDIT_RATE, recall: float = TARGET_RECALL, steps: int = STEPS) -> int:
-    """Repetitions that find an item at ``edit_rate`` with probability ``recall``, if only windows without an edit count."""
-    clean = (1 - edit_rate) ** (steps / 2 + 1)
-    return math.ceil(math.log(1 - recall) / math.log(1 - clean))
+def allowed(n: int, rate: float) -> int:
+    return int(rate * n + 1e-9)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * _ODD
+    return x ^ (x >> np.uint64(32))
 
 
 def edit_place(item: list, text: list) -> tuple[int, int, int]:
@@ -75,121 +78,151 @@ def edit_place(item: list, text: list) -> tuple[int, int, int]:
     return best
 
 
+def least_edits(masks: dict[int, int], size: int, text: list[int]) -> int:
+    """The least edit distance of an item to any part of ``text``, by bit vectors; ``masks``: a word's places in the item."""
+    full, high = (1 << size) - 1, 1 << (size - 1)
+    up, down, score, best = full, 0, size, size
+    for x in text:
+        eq = masks.get(x, 0)
+        vertical = eq | down
+        horizontal = (((eq & up) + up) ^ up) | eq
+        plus, minus = down | (full & ~(horizontal | up)), up & horizontal
+        if plus & high:
+            score += 1
+        elif minus & high:
+            score -= 1
+            best = min(best, score)
+        plus, minus = (plus << 1) & full, (minus << 1) & full
+        up, down = minus | (full & ~(vertical | plus)), plus & vertical
+    return best
+
+
+class Sizes:
+    """Items of about one size: walks, samplings and the items that have each sample."""
+
+    def __init__(self, items: list[int], sizes: list[int], rate: float, seed: int) -> None:
+        self.items, self.least, self.most = items, min(sizes), max(sizes)
+        self.span = self.most + allowed(self.most, rate)
+        self.pairs = min(max(0, n - 1 - 2 * allowed(n, rate)) for n in sizes)
+        exact = allowed(self.most, rate) == 0
+        rng = np.random.default_rng([seed, self.least])
+        self.steps = max(1, round(STEPS_A_WORD * self.least))
+        read = min(READ if self.least < LONG else READ - 1, self.steps)
+        walks, samplings = (4, 2) if exact else (WALKS, SAMPLINGS)
+        self.salts = rng.integers(1, 1 << 63, (walks, -(-self.steps // 64)), dtype=np.uint64) | np.uint64(1)
+        self.samplings = [[np.sort(rng.choice(self.steps, read, replace=False)) for _ in range(samplings)] for _ in range(walks)]
+        # What any walk reads first finds items that no sampling could read whole.
+        self.samplings[0].append(np.zeros(1, np.int64))
+        self.tables: list[list[tuple]] = []
+
+    def walked(self, w: np.ndarray, starts: np.ndarray, walk: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The word and the place of each step (rows) of walks from ``starts``."""
+        at = starts.astype(np.int64)
+        words, places = np.empty((self.steps, len(at)), np.int64), np.empty((self.steps, len(at)), np.int64)
+        bits: np.ndarray | None = None
+        for j in range(self.steps):
+            if j % 64 == 0:
+                bits = _mixed(hashes * self.salts[walk, j // 64])
+            words[j], places[j] = w.take(at, mode="clip"), at
+            at += ((bits[words[j]] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
+        return words, places
+
+    def build(self, numbers: list[np.ndarray], hashes: np.ndarray) -> None:
+        own = [numbers[k] for k in self.items]
+        sizes = np.array([len(x) for x in own])
+        w, ends = np.concatenate(own), np.cumsum(sizes)
+        left = np.ones(len(own), bool)
+        for walk, samplings in reversed(list(enumerate(self.samplings))):
+            words, places = self.walked(w, ends - sizes, walk, hashes)
+            found = []
+            for read in samplings:
+                inside = places[read[-1]] < ends
+                if len(read) == 1:
+                    inside = inside & left  # the last of the first walk: items not read so far
+                left &= ~inside
+                found.append(self._table(_key(words, read, len(hashes))[inside], np.array(self.items)[inside]))
+            self.tables.insert(0, found)
+
+    @staticmethod
+    def _table(keys: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(keys, kind="stable")
+        shift = 64 - max(8, (16 * len(keys)).bit_length())
+        filter_ = np.zeros(1 << (64 - shift), bool)
+        filter_[(keys * _ODD) >> np.uint64(shift)] = True
+        return keys[order], items[order], filter_
+
+    def candidates(self, w: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Item and start of each window of ``starts`` that has samples of the item."""
+        for k in range(0, len(starts), WINDOWS):
+            some = starts[k : k + WINDOWS]
+            for walk, (samplings, tables) in enumerate(zip(self.samplings, self.tables, strict=True)):
+                words, _ = self.walked(w, some, walk, hashes)
+                for read, (keys, items, filter_) in zip(samplings, tables, strict=True):
+                    if not len(keys):
+                        continue
+                    key = _key(words, read, len(hashes))
+                    maybe = np.flatnonzero(filter_[(key * _ODD) >> np.uint64(65 - len(filter_).bit_length())])
+                    if len(maybe):
+                        lo, hi = np.searchsorted(keys, key[maybe]), np.searchsorted(keys, key[maybe], side="right")
+                        for at, a, b in zip(some[maybe].tolist(), lo.tolist(), hi.tolist(), strict=True):
+                            for item in items[a:b].tolist():
+                                yield item, at
+
+
+def _key(words: np.ndarray, read: np.ndarray, base: int) -> np.ndarray:
+    key = np.zeros(words.shape[1], np.uint64)
+    for step in read:
+        key = key * np.uint64(base) + words[step].astype(np.uint64)
+    return key
+
+
 class Index:
-    """Samples of the embeddings of all items, by repetition. Words that no item has share number 0."""
+    """Items by class of size. Words that no item has share number 0."""
 
-    def __init__(self, items: list[tuple[int, str]], edit_rate: float = MAX_EDIT_RATE, reps: int | None = None, seed: int = 7) -> None:
+    def __init__(self, items: list[tuple[int, str]], edit_rate: float = MAX_EDIT_RATE, seed: int = 7) -> None:
         self.rate = edit_rate
         self.items = [(k, w) for k, t in items if (w := words_of(t))]
         self.vocabulary: dict[str, int] = {}
         for _, w in self.items:
             for x in w:
                 self.vocabulary.setdefault(x, len(self.vocabulary) + 1)
-        self.numbers = [np.array([self.vocabulary[x] for x in w], np.int32) for _, w in self.items]
-        self.distinct = [set(w) for _, w in self.items]
-        self.reps = reps or max(LEAST_REPETITIONS, repetitions(edit_rate))
-        # One bit for each step and word: from a hash of the word, so it doesn't depend on the other items.
-        names = ["", *self.vocabulary]
-        hashes = lambda r: np.array([xxhash.xxh3_64_intdigest(x.encode(), seed * 1000 + r) for x in names], np.uint64)
-        rng = np.random.default_rng(seed)
-        self.tables = self._pieces(len(names))
-        for r in range(self.reps):
-            steps = np.sort(rng.choice(np.arange(1, STEPS), SAMPLES - 1, replace=False))
-            steps = np.concatenate([[0], steps])
-            bits = ((hashes(r)[None, :] >> np.arange(STEPS, dtype=np.uint64)[:, None]) & np.uint64(1)).astype(np.int32)
-            share = (r + 0.5) / self.reps
-            chosen = []
-            for n, w in enumerate(self.numbers):
-                walk = self._choose(w, int(share * len(w)), bits, steps) if len(w) > EXACT_WORDS else None
-                if walk:
-                    chosen.append((n, *walk))
-            self.tables.append(self._table(chosen, steps, bits, len(names)))
-        self.base = len(names) + 1
-        self.longest = max((len(w) for w in self.numbers), default=0)
-
-    def _pieces(self, names: int) -> list[tuple]:
-        """Tables of the pieces of items up to ``EXACT_WORDS``: one more than edits allowed, so one piece at least has no edit."""
-        chosen: dict[int, list[tuple[int, int, list[int]]]] = {}
-        for n, w in enumerate(self.numbers):
-            if PLACES + 1 < len(w) <= EXACT_WORDS:
-                ends = np.linspace(0, len(w), int(self.rate * len(w)) + 2).astype(int).tolist()
-                for a, b in zip(ends, ends[1:], strict=False):
-                    chosen.setdefault(b - a, []).append((n, a, w[a:b].tolist()))
-        # A walk that always moves on and is read at each step.
-        return [self._table(c, np.arange(size), np.ones((size, names), np.int32), names) for size, c in sorted(chosen.items()) if size]
-
-    @staticmethod
-    def _table(chosen: list[tuple[int, int, list[int]]], steps: np.ndarray, bits: np.ndarray, names: int) -> tuple:
-        """Prefixes of samples -> their number, and for whole samples the items with them."""
-        levels: list[dict[tuple[int, int], int]] = [{} for _ in steps]
-        whole: dict[int, list[tuple[int, int]]] = {}
-        for n, start, samples in chosen:
-            node = 0
-            for level, x in zip(levels, samples, strict=True):
-                node = level.setdefault((node, int(x)), len(level) + 1)
-            whole.setdefault(node, []).append((n, start))
-        packed = []
-        for level in levels:
-            keys = np.array([a * (names + 1) + x for a, x in level], np.int64)
-            order = np.argsort(keys)
-            packed.append((keys[order], np.array(list(level.values()), np.int64)[order]))
-        first = np.zeros(names, np.int64)
-        for (_, x), node in levels[0].items():
-            first[x] = node
-        return steps, bits, first, packed[1:], whole
-
-    @staticmethod
-    def _choose(w: np.ndarray, near: int, bits: np.ndarray, steps: np.ndarray) -> tuple[int, list[int]] | None:
-        """The first walk within the item, from ``near`` on and then around, that reads enough places."""
-        for shift in range(len(w)):
-            start = at = (near + shift) % len(w)
-            places = []
-            for j in range(STEPS):
-                if at >= len(w):
-                    break
-                if j in steps:
-                    places.append(at)
-                at += bits[j, w[at]]
-            if len(places) == len(steps) and len(set(places)) >= PLACES:
-                return start, [int(w[k]) for k in places]
-        return None
-
-    def _short(self, w: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Places of items too short for an edit or a walk: all their words in a row."""
-        for item, x in enumerate(self.numbers):
-            if len(x) <= PLACES + 1:
-                at = np.flatnonzero(w[: len(w) - STEPS] == x[0])
-                for k in range(1, len(x)):
-                    at = at[w[at + k] == x[k]]
-                for s in at.tolist():
-                    yield item, 0, s
-
-    def candidates(self, w: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Item number, its sampled place, and the place in ``w`` whose walk has the item's samples.
-
-        ``w`` ends with ``STEPS`` zeros at least.
-        """
-        yield from self._short(w)
-        n = len(w) - STEPS
-        for steps, bits, first, levels, whole in self.tables:
-            if not whole:
+        self.numbers = [np.array([self.vocabulary[x] for x in w], np.int64) for _, w in self.items]
+        self.hashes = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"), seed) for x in ["", *self.vocabulary]], np.uint64)
+        self._masks: dict[int, dict[int, int]] = {}
+        self.classes: list[Sizes] = []
+        by_size = sorted(range(len(self.items)), key=lambda k: len(self.numbers[k]))
+        while by_size:
+            least = len(self.numbers[by_size[0]])
+            most = max(least, 5 * least // 4) if least > 5 else least
+            n = next((j for j, k in enumerate(by_size) if len(self.numbers[k]) > most), len(by_size)) if len(self.classes) + 1 < CLASSES else len(by_size)
+            self.classes.append(Sizes(by_size[:n], [len(self.numbers[k]) for k in by_size[:n]], edit_rate, seed))
+            self.classes[-1].build(self.numbers, self.hashes)
+            by_size = by_size[n:]
+        # A bit for each class that has a pair of neighbouring words, by the pair's hash.
+        total = sum(map(len, self.numbers))
+        self.pair_shift = np.uint64(64 - min(24, max(12, (16 * total).bit_length())))
+        self.pairs = np.zeros(1 << (64 - int(self.pair_shift)), np.uint32)
+        for c, sizes in enumerate(self.classes):
+            for k in sizes.items:
+                at = self._pair_places(self.numbers[k])
+                self.pairs[at] |= np.uint32(1 << c)
+
+    def _pair_places(self, w: np.ndarray) -> np.ndarray:
+        a = w.astype(np.uint64)
+        return ((a[:-1] * np.uint64(len(self.hashes)) + a[1:]) * _ODD) >> self.pair_shift
+
+    def starts(self, w: np.ndarray) -> Iterator[tuple[Sizes, np.ndarray]]:
+        """For each class the places whose windows have pairs enough."""
+        held = self.pairs[self._pair_places(w)]
+        held[(w[:-1] == 0) | (w[1:] == 0)] = 0
+        for c, sizes in enumerate(self.classes):
+            if not sizes.pairs:
+                yield sizes, np.flatnonzero(w)
                 continue
-            node = first[w[:n]]
-            start = np.flatnonzero(node)
-            node, at, done = node[start], start.copy(), 0
-            for step, (keys, nodes) in zip(steps[1:], levels, strict=True):
-                for j in range(done, step):
-                    at += bits[j, w[at]]
-                done = step
-                key = node * self.base + w[at]
-                place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                hit = np.flatnonzero(keys[place] == key)
-                start, at, node = start[hit], at[hit], nodes[place[hit]]
-                if not len(start):
-                    break
-            for s, k in zip(start.tolist(), node.tolist(), strict=True):
-                for item, offset in whole[k]:
-                    yield item, offset, s
+            sums = np.concatenate([[0], np.cumsum((held >> np.uint32(c)) & np.uint32(1), dtype=np.int32)])
+            span = min(sizes.span - 1, len(held))
+            upto = np.concatenate([sums[span:], np.full(span, sums[-1], np.int32)])
+            yield sizes, np.flatnonzero(upto[: len(sums)] - sums >= sizes.pairs)
 
     def matches(self, texts: list[str], group: int = 500_000) -> list[tuple[int, int, int, int, int]]:
         """Text number, item id, first and last word and edit distance: for each text and item the nearest, if near enough.
@@ -206,34 +239,42 @@ class Index:
             k = n
         return out
 
+    def masks(self, item: int) -> dict[int, int]:
+        if item not in self._masks:
+            found: dict[int, int] = {}
+            for k, x in enumerate(self.numbers[item].tolist()):
+                found[x] = found.get(x, 0) | 1 << k
+            self._masks[item] = found
+        return self._masks[item]
+
     def _matches(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
-        lists = [words_of(t) for t in texts]
-        sizes = np.array([len(x) for x in lists], np.int64)
-        pad = STEPS + 1
-        begin = np.concatenate([[0], np.cumsum(sizes + pad)])
-        w = np.zeros(int(begin[-1]) + pad, np.int32)
         get = self.vocabulary.get
+        lists = [np.array(list(map(get, words_of(t), repeat(0))), np.int64) for t in texts]
+        sizes = np.array([len(x) for x in lists], np.int64)
+        begin = np.concatenate([[0], np.cumsum(sizes + 1)])  # a zero after each text
+        w = np.zeros(int(begin[-1]) + 1, np.int64)
         for b, x in zip(begin, lists, strict=False):
-            w[b : b + len(x)] = np.fromiter((get(y, 0) for y in x), np.int32, len(x))
+            w[b : b + len(x)] = x
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         tried: set[tuple[int, int, int]] = set()
-        for item, offset, at in self.candidates(w):
-            text = int(np.searchsorted(begin, at, side="right")) - 1
-            size = len(self.numbers[item])
-            allowed = int(self.rate * size)
-            from_ = at - int(begin[text]) - offset
-            cell = (text, item, from_ // max(1, allowed + 1))
-            if cell in tried or best.get((text, item), (1,))[0] == 0:
-                continue
-            tried.add(cell)
-            slack = 2 * allowed + 1
-            lo, hi = max(0, from_ - slack), min(len(lists[text]), from_ + size + slack)
-            region = lists[text][lo:hi]
-            if len(self.distinct[item].difference(region)) > allowed:  # each takes an edit
-                continue
-            d, a, b = edit_place(self.items[item][1], region)
-            if d <= allowed and d < best.get((text, item), (size + 1,))[0]:
-                best[text, item] = (d, lo + a, lo + b)
+        for sizes_, starts in self.starts(w):
+            for item, at in sizes_.candidates(w, starts, self.hashes):
+                text = int(np.searchsorted(begin, at, side="right")) - 1
+                words, size = lists[text], len(self.numbers[item])
+                most = allowed(size, self.rate)
+                from_ = at - int(begin[text])
+                cell = (text, item, from_ // (most + 1))
+                if cell in tried or best.get((text, item), (1,))[0] == 0:
+                    continue
+                tried.add(cell)
+                slack = 2 * most + 1
+                lo = max(0, from_ - slack)
+                region = words[lo : from_ + size + slack].tolist()
+                if least_edits(self.masks(item), size, region) > most:
+                    continue
+                d, a, b = edit_place(self.numbers[item].tolist(), region)
+                if d < best.get((text, item), (size + 1,))[0]:
+                    best[text, item] = (d, lo + a, lo + b)
         return [(t, self.items[i][0], a, b, d) for (t, i), (d, a, b) in sorted(best.items())]
 
 

@@ -435,10 +435,34 @@ def test_decontamination_full_rate(even):
     assert {(t, t) for t in range(59)} <= {(t, i) for t, i, _ in got}
 
 
-def test_decontamination_long_items():
+@pytest.mark.parametrize("common", [False, True])
+def test_decontamination_recall_by_length(common):
+    """Items of 1 to 200 words with all the edits they may have: substitutions, insertions and deletions."""
     rng = random.Random(13)
-    words = [f"w{k}" for k in range(2000)]
-    items = [[rng.choice(words) for _ in range(70 + k % 30)] for k in range(300)]
-    texts = [" ".join("other" if at % 5 == 4 else x for at, x in enumerate(w)) for w in items]
-    found = {(t, i) for t, i, *_ in decontaminate.Index([(k, " ".join(w)) for k, w in enumerate(items)]).matches(texts)}
-    assert sum((t, t) in found for t in range(300)) >= 0.99 * 300
+    words = [f"w{k}" for k in range(1500)]
+    weights = [1 / (k + 1) for k in range(1500)] if common else None
+
+    def edited(w):
+        w = list(w)
+        for at in sorted(rng.sample(range(len(w)), len(w) // 5), reverse=True):
+            kind = rng.randrange(3)
+            w[at : at + 1] = [[rng.choice(words)], [], [w[at], rng.choice(words)]][kind]
+        return w
+
+    for n in (1, 2, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 17, 20, 25, 30, 40, 65, 100, 200):
+        count = 200 if n < 65 else 60
+        items = [rng.choices(words, weights, k=n) for _ in range(count)]
+        texts = [" ".join(rng.choices(words, weights, k=20) + edited(w) + rng.choices(words, weights, k=20)) for w in items]
+        index = decontaminate.Index([(k, " ".join(w)) for k, w in enumerate(items)])
+        found = {(t, i): d for t, i, _, _, d in index.matches(texts)}
+        assert sum((t, t) in found for t in range(count)) >= 0.98 * count, n
+        for (t, i), d in list(found.items())[:50]:
+            assert d <= n // 5 and d == decontaminate.edit_place(items[i], texts[t].split())[0]
+
+
+def test_least_edits():
+    rng = random.Random(14)
+    for _ in range(500):
+        item, words = [rng.randint(1, 5) for _ in range(rng.randint(1, 12))], [rng.randint(0, 6) for _ in range(rng.randint(0, 25))]
+        masks = {x: sum(1 << k for k, y in enumerate(item) if x == y) for x in set(item)}
+        assert decontaminate.least_edits(masks, len(item), words) == decontaminate.edit_place(item, words)[0]
