@@ -115,17 +115,18 @@ class Sizes:
         self.samplings[0].append(np.zeros(1, np.int64))
         self.tables: list[list[tuple]] = []
 
-    def walked(self, w: np.ndarray, starts: np.ndarray, walk: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The word and the place of each step (rows) of walks from ``starts``."""
+    def walked(self, w: np.ndarray, starts: np.ndarray, walk: int, hashes: np.ndarray, places: np.ndarray | None = None) -> np.ndarray:
+        """The word at each step (rows) of walks from ``starts``; ``places`` gets the places, if it is given."""
         at = starts.astype(np.int64)
-        words, places = np.empty((self.steps, len(at)), np.int64), np.empty((self.steps, len(at)), np.int64)
-        bits: np.ndarray | None = None
+        words = np.empty((self.steps, len(at)), np.int64)
         for j in range(self.steps):
             if j % 64 == 0:
-                bits = _mixed(hashes * self.salts[walk, j // 64])
-            words[j], places[j] = w.take(at, mode="clip"), at
-            at += ((bits[words[j]] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
-        return words, places
+                bits = _mixed(hashes * self.salts[walk, j // 64]).view(np.int64)
+            x = w.take(at, mode="clip", out=words[j])
+            if places is not None:
+                places[j] = at
+            at += (bits.take(x) >> (j % 64)) & 1
+        return words
 
     def build(self, numbers: list[np.ndarray], hashes: np.ndarray) -> None:
         own = [numbers[k] for k in self.items]
@@ -133,7 +134,8 @@ class Sizes:
         w, ends = np.concatenate(own), np.cumsum(sizes)
         left = np.ones(len(own), bool)
         for walk, samplings in reversed(list(enumerate(self.samplings))):
-            words, places = self.walked(w, ends - sizes, walk, hashes)
+            places = np.empty((self.steps, len(own)), np.int64)
+            words = self.walked(w, ends - sizes, walk, hashes, places)
             found = []
             for read in samplings:
                 inside = places[read[-1]] < ends
@@ -151,12 +153,13 @@ class Sizes:
         filter_[(keys * _ODD) >> np.uint64(shift)] = True
         return keys[order], items[order], filter_
 
-    def candidates(self, w: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Item and start of each window of ``starts`` that has samples of the item."""
+    def candidates(self, w: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Item and start of windows of ``starts`` that have samples of the item."""
+        found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for k in range(0, len(starts), WINDOWS):
             some = starts[k : k + WINDOWS]
             for walk, (samplings, tables) in enumerate(zip(self.samplings, self.tables, strict=True)):
-                words, _ = self.walked(w, some, walk, hashes)
+                words = self.walked(w, some, walk, hashes)
                 for read, (keys, items, filter_) in zip(samplings, tables, strict=True):
                     if not len(keys):
                         continue
@@ -164,9 +167,10 @@ class Sizes:
                     maybe = np.flatnonzero(filter_[(key * _ODD) >> np.uint64(65 - len(filter_).bit_length())])
                     if len(maybe):
                         lo, hi = np.searchsorted(keys, key[maybe]), np.searchsorted(keys, key[maybe], side="right")
-                        for at, a, b in zip(some[maybe].tolist(), lo.tolist(), hi.tolist(), strict=True):
-                            for item in items[a:b].tolist():
-                                yield item, at
+                        n = hi - lo
+                        place = np.repeat(hi - np.cumsum(n), n) + np.arange(n.sum())
+                        found.append((items[place], np.repeat(some[maybe], n)))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _key(words: np.ndarray, read: np.ndarray, base: int) -> np.ndarray:
@@ -188,6 +192,8 @@ class Index:
                 self.vocabulary.setdefault(x, len(self.vocabulary) + 1)
         self.numbers = [np.array([self.vocabulary[x] for x in w], np.int64) for _, w in self.items]
         self.hashes = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"), seed) for x in ["", *self.vocabulary]], np.uint64)
+        self.distinct = [set(x.tolist()) for x in self.numbers]
+        self.allowed = [allowed(len(x), edit_rate) for x in self.numbers]
         self._masks: dict[int, dict[int, int]] = {}
         self.classes: list[Sizes] = []
         by_size = sorted(range(len(self.items)), key=lambda k: len(self.numbers[k]))
@@ -224,7 +230,7 @@ class Index:
             upto = np.concatenate([sums[span:], np.full(span, sums[-1], np.int32)])
             yield sizes, np.flatnonzero(upto[: len(sums)] - sums >= sizes.pairs)
 
-    def matches(self, texts: list[str], group: int = 500_000) -> list[tuple[int, int, int, int, int]]:
+    def matches(self, texts: list[str], group: int = 1_500_000) -> list[tuple[int, int, int, int, int]]:
         """Text number, item id, first and last word and edit distance: for each text and item the nearest, if near enough.
 
         Texts are searched in groups of about ``group`` characters, which bounds what is held at once.
@@ -247,6 +253,19 @@ class Index:
             self._masks[item] = found
         return self._masks[item]
 
+    def _verify(self, pair: tuple[int, int], words: np.ndarray, first: int, last: int, best: dict) -> None:
+        """Puts the place of an item's least edit distance among windows from ``first`` to ``last`` into ``best``."""
+        item, text = pair
+        size, most = len(self.numbers[item]), self.allowed[item]
+        lo = max(0, first - 2 * most - 1)
+        region = words[lo : last + size + 2 * most + 1].tolist()
+        # Each word that is missing takes an edit.
+        if len(self.distinct[item].difference(region)) > most or least_edits(self.masks(item), size, region) > most:
+            return
+        d, a, b = edit_place(self.numbers[item].tolist(), region)
+        if d < best.get((text, item), (size + 1,))[0]:
+            best[text, item] = (d, lo + a, lo + b)
+
     def _matches(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         get = self.vocabulary.get
         lists = [np.array(list(map(get, words_of(t), repeat(0))), np.int64) for t in texts]
@@ -256,25 +275,23 @@ class Index:
         for b, x in zip(begin, lists, strict=False):
             w[b : b + len(x)] = x
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        tried: set[tuple[int, int, int]] = set()
         for sizes_, starts in self.starts(w):
-            for item, at in sizes_.candidates(w, starts, self.hashes):
-                text = int(np.searchsorted(begin, at, side="right")) - 1
-                words, size = lists[text], len(self.numbers[item])
-                most = allowed(size, self.rate)
-                from_ = at - int(begin[text])
-                cell = (text, item, from_ // (most + 1))
-                if cell in tried or best.get((text, item), (1,))[0] == 0:
-                    continue
-                tried.add(cell)
-                slack = 2 * most + 1
-                lo = max(0, from_ - slack)
-                region = words[lo : from_ + size + slack].tolist()
-                if least_edits(self.masks(item), size, region) > most:
+            item, at = sizes_.candidates(w, starts, self.hashes)
+            if not len(item):
+                continue
+            pairs = np.unique(item * len(w) + at)
+            item, at = pairs // len(w), pairs % len(w)
+            of_text = np.searchsorted(begin, at, side="right") - 1
+            held: tuple[int, int] | None = None
+            for i, t, from_ in zip(item.tolist(), of_text.tolist(), (at - begin[of_text]).tolist(), strict=True):
+                slack = 2 * self.allowed[i] + 1
+                if held == (i, t) and from_ - slack <= last + len(self.numbers[i]) + slack:
+                    last = from_  # windows that overlap are verified as one
                     continue
-                d, a, b = edit_place(self.numbers[item].tolist(), region)
-                if d < best.get((text, item), (size + 1,))[0]:
-                    best[text, item] = (d, lo + a, lo + b)
+                if held:
+                    self._verify(held, lists[held[1]], first, last, best)
+                held, first, last = (i, t), from_, from_
+            self._verify(held, lists[held[1]], first, last, best)
         return [(t, self.items[i][0], a, b, d) for (t, i), (d, a, b) in sorted(best.items())]
 
 
