@@ -83,7 +83,7 @@ def test_toxicity(spark, docs, none, sf):
     labelled = spark.createDataFrame(train, "doc_id long, text string, toxic int")
     labels = labelled.select("doc_id", "toxic").union(spark.createDataFrame([(None, 1), (7, None), (1000, 1)], "doc_id long, toxic int"))
     model = toxicity.fit(labelled.select("doc_id", "text"), labels)
-    assert {"vile", "scum"} <= model.scores.keys()
+    assert min(model.scores["vile"], model.scores["scum"]) > 2 and all(model.scores[w] < 0.5 for w in WORDS[:5])
     scored = toxicity.score_documents(docs, model)
     assert scored.count() == docs.count() and scored.where("predicted = 1 or score < 0 or score > 1").count() == 0
     bad = spark.createDataFrame([(1, text(rng, 300) + " you vile scum " + text(rng, 300)), (2, text(rng, 300))], "doc_id long, text string")
@@ -91,6 +91,12 @@ def test_toxicity(spark, docs, none, sf):
     assert got[1].predicted == 1 and got[2].predicted == 0
     assert got[1].passages[0].end - got[1].passages[0].start == len("vile scum")
     assert toxicity.score_documents(none, model).count() == 0
+    # Plain words end a passage, and offsets are those of the text itself.
+    apart = "İİİİ you VILE thing " + text(rng, 140) + " scum"
+    spans = [(p.start, p.end) for p in toxicity.score_documents(spark.createDataFrame([(1, apart)], "doc_id long, text string"), model).first().passages]
+    assert [apart[a:b] for a, b in spans] == ["VILE", "scum"]
+    again = labelled.select("doc_id", "text").unionAll(labelled.select("doc_id", "text")).unionAll(spark.range(50).select(F.lit(1001).cast("long").alias("doc_id"), F.concat(F.lit("x"), "id").alias("text")))
+    assert toxicity.labelled_texts(again, labels).count() <= 2 * 600 + toxicity.ROWS_OF_AN_ID
     assert toxicity.score_documents(bad, toxicity.fit(none, labels.limit(0))).where("predicted = 1").count() == 0
 
 
