@@ -108,7 +108,28 @@ def test_toxicity_held_out(spark):
 
 
 # --- op2 -----------------------------------------------------------------------------------------
-def test_top_k(spark):
+def test_postings_stop_on_proof():
+    """Vectors in tight groups: what a block gives, with or without a carried bound, is the plain product's best."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 60, (12, 32))
+    x = np.floor(centres[np.arange(3000) % 12] + rng.normal(0, 4, (3000, 32))).astype(np.int64)
+    x[5] = x[17] = 0
+    ids = rng.permutation(3000).astype(np.int64)
+    index = topk.BlockIndex(ids, x)
+    assert sum(index.end - index.begin) == np.count_nonzero(x) and (np.abs(index.values) < np.repeat(index.impact, index.end - index.begin)).all()
+    for j in [5, *range(0, 3000, 300)]:
+        scores = x @ x[j]
+        order = [b for b in np.lexsort((ids, -scores)) if ids[b] != ids[j]]
+        want = [(int(scores[b]), int(ids[b])) for b in order[:5]]
+        assert index.search(int(ids[j]), x[j], 5, topk.NONE) == want
+        assert index.search(int(ids[j]), x[j], 5, want[2][0]) == [w for w in want if w[0] >= want[2][0]]
+        assert index.search(int(ids[j]), x[j], 5, 10**9) == []
+
+
+@pytest.mark.parametrize("block, queries", [(8192, 512), (64, 3)])
+def test_top_k(spark, monkeypatch, block, queries):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "QUERIES", queries)
     rng = np.random.default_rng(1)
     vectors = [(int(k), [float(x) for x in rng.normal(0, 0.1, 8)]) for k in range(600)]
     vectors += [(700 + k, vectors[3][1]) for k in range(8)] + [(800, None), (801, [1.0, None] + [0.0] * 6), (802, [float("nan")] * 8), (803, [float("inf")] * 8), (None, vectors[0][1]), (804, [0.0] * 8), (805, [0.25])]
