@@ -20,6 +20,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes of an Arrow batch sent to a Python worker, so that one batch of very long texts stays small.
 BATCH_BYTES = "4m"
+#: Bytes of rows up to which a side of a join is broadcast; beyond, it is shuffled.
+BROADCAST_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +50,11 @@ def stored(df: DataFrame, path: str | None = None, codec: str = "none") -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+def if_small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of ``rows`` rows of fixed-width columns and fingerprints, to be broadcast if it is surely below ``BROADCAST_BYTES``."""
+    return F.broadcast(df) if rows * (16 + 32 * len(df.columns)) <= BROADCAST_BYTES else df
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with batches bounded by bytes, not only by rows."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

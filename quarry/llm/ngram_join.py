@@ -27,19 +27,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from quarry.llm.common import WordIds, map_arrow, stored, table, text_or_empty
+from quarry.llm.common import WordIds, if_small, map_arrow, stored, table, text_or_empty
 
 NGRAM = 5
 #: Link if 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: A token in at least so many documents is frequent; the floor rises with the corpus, so that there are at most MAX_FREQUENT.
 FREQUENT, MAX_FREQUENT = 64, 1_000_000
-#: Rows of ids up to which a side is broadcast; beyond, it is shuffled.
-BROADCAST_ROWS = 500_000
-#: Tokens that a task counts at once; pairs of one hub that one task verifies.
-COUNT_TOKENS, HUB_PAIRS = 2_000_000, 512
-#: Sets of a block of a hub's group, and the most blocks of a group.
-GROUP_BLOCK, GROUP_BLOCKS = 192, 48
+#: Tokens that a task counts at once: twice MAX_FREQUENT, so that a token at the floor is in a full buffer
+#: twice on average and is counted there; those found once in a buffer aren't sent on.
+COUNT_TOKENS = 2 * MAX_FREQUENT
+#: A signature that so many texts of one in HOT_SHARE have is hot: its rows are dealt by set too. This decides where rows
+#: lie, never what is found. At most MAX_HOT signatures are, those of the most texts.
+HOT, HOT_SHARE, MAX_HOT = 64, 16, 200_000
+#: Pairs of one hub that one task verifies; parts that joins deal a hub's group to; sets of a block of a hub's group.
+HUB_PAIRS, SALTS, GROUP_BLOCK = 512, 32, 512
 
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -199,10 +201,6 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield repeated()
 
 
-def _if_small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 class Join:
     """One run of the join over ``docs``; its tables lie in the shared folder."""
 
@@ -214,18 +212,19 @@ class Join:
         total = self.docs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         floor = max(FREQUENT, total // MAX_FREQUENT)
         often = scanned.where("fp is null").groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") >= floor).select("token")
-        self.frequent = np.sort(np.array([r[0] for r in often.collect()], np.int64).view(np.uint64))  # at most MAX_FREQUENT
+        self.frequent = np.sort(often.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))  # at most MAX_FREQUENT
         self.classes = stored(scanned.where("fp is not null").where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")))
         self.shared = self._shared()
 
-    def _shared(self) -> DataFrame:
-        """sig, fp and members of every signature that several sets have."""
-        frequent = self.spark.sparkContext.broadcast(self.frequent)
+    def _signed(self, texts: DataFrame, hot: np.ndarray) -> DataFrame:
+        """sig, fp and salt of each signature of each set; the salt is 0 but for signatures in ``hot``."""
+        known = self.spark.sparkContext.broadcast((self.frequent, hot))
 
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, seen = WordIds(), set()
+            frequent, hot = known.value
             for b in batches:
-                sigs, fps = [], []
+                sigs, fps, salts = [], [], []
                 for text in b.column(0).to_pylist():
                     s = shingle_set(text, words)
                     fp = fingerprint(s)
@@ -234,18 +233,36 @@ class Join:
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(fp)
-                    sigs.append(signatures(s, frequent.value))
+                    sigs.append(signatures(s, frequent))
                     fps.append(fp)
+                    if len(hot):
+                        place = np.minimum(np.searchsorted(hot, sigs[-1]), len(hot) - 1)
+                        salts.append((hot[place] == sigs[-1]).astype(np.int32) * np.int32(1 + fp[0] % SALTS))
                 each = [len(x) for x in sigs]
                 raw = b"".join(f * n for f, n in zip(fps, each, strict=True))
                 fixed = pa.Array.from_buffers(pa.binary(16), sum(each), [None, pa.py_buffer(raw)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64) if sigs else [], pa.int64()), fixed], ["sig", "fp"])
+                salt = np.concatenate(salts) if salts else np.zeros(sum(each), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64) if sigs else [], pa.int64()), fixed, pa.array(salt, pa.int32())], ["sig", "fp", "salt"])
 
-        signed = map_arrow(self.rows.where("doc_id is not null").select("text"), sign, "sig long, fp binary")
+        return map_arrow(texts, sign, "sig long, fp binary, salt int")
+
+    def _shared(self) -> DataFrame:
+        """sig, fp, salt and members of every signature that several sets have; a hot one's rows lie in many parts."""
+        texts = self.rows.where("doc_id is not null").select("text")
+        some = self._signed(texts.where(F.pmod(F.xxhash64("text"), F.lit(HOT_SHARE)) == 0), np.zeros(0, np.uint64))
+        most = some.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "sig").limit(MAX_HOT)
+        hot = np.sort(most.select("sig").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
         # The same set is signed once in each task: distinct before counting, both by the signature's partition.
-        members = F.count(F.lit(1)).over(W.partitionBy("sig"))
-        once = signed.repartition("sig").dropDuplicates(["sig", "fp"])
-        return stored(once.withColumn("members", members).where("members > 1"))
+        keys = ["sig", "salt"]
+        once = self._signed(texts, hot).repartition(*keys).dropDuplicates([*keys, "fp"])
+        members = F.count(F.lit(1)).over(W.partitionBy(*keys))
+        kept = once.withColumn("members", members).where("members > 1 or salt > 0")
+        if not len(hot):
+            return stored(kept)
+        kept = stored(kept)
+        counts = kept.where("salt > 0").groupBy("sig").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") > 1)  # at most MAX_HOT rows
+        dealt = kept.where("salt > 0").drop("members").join(F.broadcast(counts), "sig").select("sig", "salt", "fp", F.col("all").alias("members"))
+        return kept.where("salt = 0").select("sig", "salt", "fp", "members").union(dealt)
 
     def possible(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b: fingerprints) whose bitmaps don't rule a link out."""
@@ -254,7 +271,7 @@ class Join:
             for b in batches:
                 yield b.select(["a", "b"]).filter(pa.array([may_link(*x) for x in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True)], pa.bool_()))
 
-        pairs = _if_small(pairs, pairs.count())
+        pairs = if_small(pairs, pairs.count())
         for key in "ab":
             side = self.classes.select(F.col("fp").alias(key), F.col("n").alias(f"n{key}"), F.col("bits").alias(f"bits{key}"))
             pairs = side.join(pairs, key)
@@ -274,10 +291,10 @@ class Join:
                 kept = [s.tobytes() if fingerprint(s) == fp else None for s, fp in zip(sets, b.column(0).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary())], ["fp", "tokens"])
 
-        rows = self.rows.join(_if_small(needed, min(2 * n, needed.count())), "doc_id").select("fp", "text")
+        rows = self.rows.join(if_small(needed, min(2 * n, needed.count())), "doc_id").select("fp", "text")
         sets = stored(map_arrow(rows, rebuild, "fp binary, tokens binary").where("tokens is not null"))
         heads = salted.select("a", "salt").distinct().withColumn("b", F.lit(None).cast("binary"))
-        lists = [side.join(sets.withColumnRenamed("fp", key), key).select("a", "salt", "b", "tokens") for side, key in ((_if_small(heads, n), "a"), (_if_small(salted, n), "b"))]
+        lists = [side.join(sets.withColumnRenamed("fp", key), key).select("a", "salt", "b", "tokens") for side, key in ((if_small(heads, n), "a"), (if_small(salted, n), "b"))]
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hub, tokens = None, np.zeros(0, np.uint64)
@@ -297,20 +314,26 @@ class Join:
     def hub_groups(self) -> DataFrame:
         """hub and fp: for each set the hubs of its signatures, a hub the set of most shared signatures (itself included)."""
         scores = stored(self.shared.groupBy("fp").agg(F.sum("members").alias("score")))
-        rows = self.shared.select("sig", "fp").join(_if_small(scores, scores.count()), "fp")
-        top = F.max(F.struct("score", "fp")).over(W.partitionBy("sig"))["fp"]
-        return stored(rows.select(top.alias("hub"), "fp").distinct())
+        rows = self.shared.select("sig", "fp", "salt").join(if_small(scores, scores.count()), "fp")
+        best = F.max(F.struct("score", "fp"))
+        cold = rows.where("salt = 0").select(best.over(W.partitionBy("sig"))["fp"].alias("hub"), "fp")
+        hot = rows.where("salt > 0")
+        hubs = hot.groupBy("sig").agg(best["fp"].alias("hub"))
+        return stored(cold.union(hot.join(F.broadcast(hubs), "sig").select("hub", "fp")).distinct())  # at most MAX_HOT rows
 
     def apart(self, groups: DataFrame, labels: DataFrame) -> DataFrame:
         """a, b: all pairs of a hub's group that ``labels`` doesn't join yet and whose bitmaps don't rule a link out.
 
-        A group is dealt into blocks, and each pair of blocks is a cell of its own that one task tests,
-        so a group of any size is spread; only pairs that pass leave the task.
+        A group is dealt into blocks of about ``GROUP_BLOCK`` sets, and each pair of blocks is a cell of its own
+        that one task tests, so a group of any size is spread and a cell's rows are bounded; only pairs that pass
+        leave the task. Joins by hub are salted.
         """
-        named = groups.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).alias("salt")
+        named = groups.join(labels, "fp", "left").select("hub", "fp", F.coalesce("label", "fp").alias("label"), salt)
         open_ = named.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi")
-        blocks = F.ceil(F.col("m") / F.greatest(F.lit(GROUP_BLOCK), F.ceil(F.col("m") / GROUP_BLOCKS))).cast("int")
-        dealt = named.join(open_.select("hub", blocks.alias("blocks")), "hub").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
+        blocks = F.ceil(F.col("m") / GROUP_BLOCK).cast("int")
+        every_salt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+        dealt = named.join(open_.select("hub", blocks.alias("blocks"), every_salt), ["hub", "salt"]).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
         cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cells = cells.select("hub", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "fp", "label")
         cells = cells.join(self.classes.select("fp", "n", "bits"), "fp")
@@ -390,10 +413,10 @@ def classified(docs: DataFrame) -> DataFrame:
     """
     join = Join(docs)
     labels = join.labels()
-    linked = stored(join.classes.join(_if_small(labels, labels.count()), "fp").select("fp", "label", "rep"))
+    linked = stored(join.classes.join(if_small(labels, labels.count()), "fp").select("fp", "label", "rep"))
     least = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
     # A component may be large, so its members aren't dealt by it where the components' own table is small.
-    own_least = linked.join(_if_small(least, least.count()), "label").select("fp", "label", "component_id")
+    own_least = linked.join(if_small(least, least.count()), "label").select("fp", "label", "component_id")
     named = join.classes.join(own_least, "fp", "left").select("fp", "label", F.coalesce("component_id", "rep").alias("component_id"))
     joined = join.docs.join(named, "fp", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")))

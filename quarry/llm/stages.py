@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, ngram_join, packing, toxicity
-from quarry.llm.common import map_arrow, table
+from quarry.llm.common import if_small, map_arrow, stored, table
 
 
 def _filtered(docs: DataFrame, keep) -> DataFrame:
@@ -33,24 +33,41 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return _filtered(docs, lambda texts: [model.probability(model.passages(t)[1]) < 0.5 for t in texts])
 
 
+def _free(names: list[str], *wanted: str) -> list[str]:
+    """Each of ``wanted`` with underscores before it until it is no name of ``names``, whatever their case."""
+    taken = {n.lower() for n in names}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates.
+    """One document, that of the smallest id, of each group of near duplicates; all columns as they are.
 
     Where rows repeat an id, each is judged by its own text: of those in one group, if it is the smallest
-    id there, the least text stays. Rows without id stay.
+    id there, the least text stays; of rows that repeat id and text too, the least by their other columns'
+    JSON text. Rows without id stay.
     """
+    odd_id, own_id, fp, kept_fp, label, row, order = _free(docs.columns, "odd_id", "own_id", "fp", "kept_fp", "label", "row", "order")
     classes = ngram_join.classified(docs).where("doc_id is not null")
     found = classes.groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("first"), F.count(F.lit(1)).alias("rows"))
-    odd = ngram_join.stored(found.where("not first or rows > 1").select(F.col("doc_id").alias("_odd"), F.col("first").alias("_first"), "rows"))
-    odd = ngram_join._if_small(odd, odd.count())
-    whole = docs.join(odd.select("_odd"), docs["doc_id"] == F.col("_odd"), "left_anti")
-    several = odd.where("_first and rows > 1").select("_odd")
+    odd = stored(found.where("not first or rows > 1"))
+    odd = if_small(odd, odd.count())
+    named = docs.withColumn(own_id, F.col("doc_id").cast("long"))
+    whole = named.join(odd.select(F.col("doc_id").alias(odd_id)), F.col(own_id) == F.col(odd_id), "left_anti").drop(own_id)
+    several = odd.where("first and rows > 1").select(F.col("doc_id").alias(odd_id))
     if several.isEmpty():
         return whole
-    repeated = ngram_join.fingerprints(docs.join(several, docs["doc_id"] == F.col("_odd"), "left_semi"), "_fp")
-    kept = classes.join(several, classes["doc_id"] == F.col("_odd"), "left_semi").where("component_id = doc_id").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_kept"), "label").distinct()
-    joined = repeated.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_fp") == F.col("_kept")))
-    one = joined.groupBy("doc_id", "label").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce("text", F.lit(""))).alias("_row")).select("_row.*")
+    repeated = ngram_join.fingerprints(named.join(several, F.col(own_id) == F.col(odd_id), "left_semi"), fp)
+    kept = classes.where("component_id = doc_id").select(F.col("doc_id").alias(odd_id), F.col("fp").alias(kept_fp), F.col("label").alias(label)).distinct()
+    joined = repeated.join(kept, (F.col(own_id) == F.col(odd_id)) & (F.col(fp) == F.col(kept_fp)))
+    columns = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+    least = F.struct(F.coalesce("text", F.lit("")).alias("t"), F.to_json(F.struct(*[c.alias(f"c{k}") for k, c in enumerate(columns)])).alias("j"))
+    one = joined.withColumn(order, least).groupBy(own_id, label).agg(F.min_by(F.struct(*columns), order).alias(row)).select(f"{row}.*")
     return whole.unionByName(one)
 
 
@@ -67,6 +84,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of ``docs`` in sequences of 1024 tokens: ``pack_documents``, which ignores other columns."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))

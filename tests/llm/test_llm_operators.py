@@ -320,9 +320,14 @@ def test_ngram_join(spark, docs, none):
     assert ngram_join.near_duplicates(none).count() == 0
 
 
-def test_ngram_join_near_copies_and_common_passages(spark, monkeypatch):
+@pytest.mark.parametrize("hot, small", [(64, True), (2, True), (2, False)])
+def test_ngram_join_near_copies_and_common_passages(spark, monkeypatch, hot, small):
+    """With and without hot signatures, whose rows lie in many parts, and with broadcasts or shuffles alone."""
     monkeypatch.setattr(ngram_join, "FREQUENT", 6)
     monkeypatch.setattr(ngram_join, "GROUP_BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    if not small:
+        monkeypatch.setattr(ngram_join, "if_small", lambda df, rows: df)
     rng = random.Random(8)
     base, line = [f"w{rng.randint(0, 999)}" for _ in range(120)], [f"c{k}" for k in range(30)]
     rows = []
