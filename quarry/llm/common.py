@@ -71,6 +71,18 @@ def _trimmed(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def free_names(names: list[str], *wanted: str) -> list[str]:
+    """Each of ``wanted`` with underscores before it until it is no name of ``names``, whatever their case."""
+    taken = {n.lower() for n in names}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, ngram_join, packing, toxicity
-from quarry.llm.common import if_small, map_arrow, stored, table
+from quarry.llm.common import free_names, if_small, map_arrow, stored, table
 
 
 def _filtered(docs: DataFrame, keep) -> DataFrame:
@@ -33,18 +33,6 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return _filtered(docs, lambda texts: [model.probability(model.passages(t)[1]) < 0.5 for t in texts])
 
 
-def _free(names: list[str], *wanted: str) -> list[str]:
-    """Each of ``wanted`` with underscores before it until it is no name of ``names``, whatever their case."""
-    taken = {n.lower() for n in names}
-    out = []
-    for name in wanted:
-        while name.lower() in taken:
-            name = f"_{name}"
-        out.append(name)
-        taken.add(name.lower())
-    return out
-
-
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near duplicates; all columns as they are.
 
@@ -52,7 +40,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     id there, the least text stays; of rows that repeat id and text too, the least by their other columns'
     JSON text. Rows without id stay.
     """
-    odd_id, own_id, fp, kept_fp, label, row, order = _free(docs.columns, "odd_id", "own_id", "fp", "kept_fp", "label", "row", "order")
+    odd_id, own_id, fp, kept_fp, label, row, order = free_names(docs.columns, "odd_id", "own_id", "fp", "kept_fp", "label", "row", "order")
     classes = ngram_join.classified(docs).where("doc_id is not null")
     found = classes.groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("first"), F.count(F.lit(1)).alias("rows"))
     odd = stored(found.where("not first or rows > 1"))

@@ -420,6 +420,43 @@ def test_sharding(spark, docs, none):
     assert sharding.shard_documents(none).count() == 0
 
 
+def test_sharding_splitters_decide(spark, monkeypatch):
+    """Boundaries are quantiles by size; few draws make overfull ranges, which are cut; copies of one id are dealt too."""
+    units = spark.range(4000).select(F.xxhash64("id").alias("place"), F.when(F.col("id") % 10 == 0, 500).otherwise(20).alias("bytes"))
+    total = units.agg(F.sum("bytes")).first()[0]
+    bounds = sorted(r.place for r in sharding.splitters(units, total, 32).collect())
+    assert 25 <= len(bounds) <= 31
+    held = Counter()
+    for r in units.collect():
+        held[sum(b <= r.place for b in bounds)] += r.bytes
+    assert max(held.values()) < 2.5 * total / 32
+    table_, bits = sharding.cells(spark.createDataFrame([(b,) for b in bounds], "place long"), 32)
+    rows = {r.cell: (r.below, r.inside) for r in table_.collect()}
+    assert len(rows) == 1 << bits
+    for r in units.limit(300).collect():
+        below, inside = rows[r.place >> (64 - bits)]
+        assert below + sum(b <= r.place for b in inside) == sum(b <= r.place for b in bounds)
+    monkeypatch.setattr(sharding, "DRAWS", 1)
+    copies = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, F.repeat(F.lit("x"), (F.col("id") % 90).cast("int"))).otherwise("same text of many rows").alias("text"))
+    got = sharding.shard_documents(copies.repartition(4), 10, 400).collect()
+    assert len(got) == 4000
+    sizes, slots = Counter(), defaultdict(list)
+    for r in got:
+        sizes[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(slots) == 10
+    assert max(sizes.values()) < 1.1 * min(sizes.values())
+
+
+def test_write_shards(spark, tmp_path):
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 7).alias("text"), F.lit(3).alias("shard"), F.lit("x").alias("Slot"), F.col("id").alias("key"))
+    sharding.write_shards(docs, str(tmp_path / "out"), 4)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 200 and {"doc_id", "text", "shard", "Slot", "key", "_shard"} == set(back.columns)
+    assert back.select("_shard").distinct().count() == 4
+    assert sorted(map(tuple, back.select(*docs.columns).collect())) == sorted(map(tuple, docs.collect()))
+
+
 # --- op10 ----------------------------------------------------------------------------------------
 def test_decontamination(spark, docs, none):
     rng = random.Random(11)
