@@ -40,7 +40,9 @@ def format_chats(turns: DataFrame) -> DataFrame:
     points of the trainable reply in ``text``). Turns are ordered by turn (null first), then role,
     then text; repeated rows are repeated turns; null role or text counts as empty; null conv_id is
     one conversation. Where the last turn isn't a reply, a closing record with an empty mask holds
-    all turns, so no turn is lost. An empty table gives no rows.
+    all turns, so no turn is lost. An empty table gives no rows. A conversation's turns lie in one row and
+    each of its examples repeats all turns before, so one conversation's turns have to fit a task's memory,
+    and its output grows with the square of their number: that is the method.
     """
     rows = turns.select(
         "conv_id",

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import table
 
-#: Bits of a key in its block of 8 words of 64 bits, and the most blocks a filter may have: 2 MB, whatever the list.
-PROBES, WORDS, MAX_BLOCKS = 5, 8, 1 << 15
-#: A list of at most so many keys is broadcast for the exact join; a longer one is shuffled.
-BROADCAST_KEYS = 20_000
+#: Bits of a key in its block of 8 words of 64 bits, and bits of the filter for each key.
+PROBES, WORDS, BITS_A_KEY = 5, 8, 12
+#: A filter of at most so many blocks (2 MB) and a list of at most so many keys are broadcast; larger ones are joined by block
+#: and by key, with candidates of one block or key dealt to SALTS parts.
+BROADCAST_BLOCKS, BROADCAST_KEYS, SALTS = 1 << 15, 20_000, 8
 
 
 def url_host(url: Column) -> Column:
@@ -58,17 +59,23 @@ def bloom_filter(keys: DataFrame, blocks: int) -> DataFrame:
     return folded.select("block", F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long"))).alias("words"))
 
 
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+
+
 def possible_hits(candidates: DataFrame, bloom: DataFrame, blocks: int) -> DataFrame:
-    """Rows of ``candidates`` (with column key) that the filter passes."""
+    """Rows of ``candidates`` (with columns url and key) that the filter passes."""
     block, bits = _probes(F.col("key"), blocks)
-    joined = candidates.withColumns({"_block": block, "_bits": bits}).join(F.broadcast(bloom.select(F.col("block").alias("_block"), F.col("words").alias("_words"))), "_block")
+    asked = candidates.withColumns({"_block": block, "_bits": bits, "_salt": F.pmod(F.xxhash64("url"), F.lit(SALTS))})
+    held = bloom.select(F.col("block").alias("_block"), F.col("words").alias("_words"))
+    joined = asked.join(F.broadcast(held), "_block") if blocks <= BROADCAST_BLOCKS else asked.join(_salted(held), ["_block", "_salt"])
     return joined.where(F.expr("forall(_bits, b -> (shiftrightunsigned(element_at(_words, cast(b div 64 as int) + 1), cast(b % 64 as int)) & 1L) = 1L)")).drop("_block", "_bits", "_words")
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = None, default: str = "allow") -> DataFrame:
     """Each row of ``pages`` (page_id, url; other columns are ignored) with host, path, rule, listed and verdict.
 
-    ``rules``: rule (host with a path prefix, as in ``example.org/es/``) and verdict. ``listed``: url,
+    ``rules``: rule (host with a path prefix, as in ``example.org/es/``, or a host alone) and verdict. ``listed``: url,
     blocked in canonical form where no rule fits. A rule fits its host and all subdomains; the longest
     rule wins, ties to the smaller string. Null URLs and URLs without :// have empty host and path, and
     get the default. URLs are judged once each and joined back, so repeated rows and null ids are kept.
@@ -76,8 +83,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = No
     known = rules.select(F.col("rule").alias("key"), F.col("verdict").alias("rule_verdict"), F.lit(True).alias("is_rule")).where("key is not null")
     if listed is not None:
         known = known.unionByName(listed.select(canonical_url(F.col("url")).alias("key")).where("key is not null").distinct().select(F.concat(F.lit("="), "key").alias("key"), F.lit("block").alias("rule_verdict"), F.lit(False).alias("is_rule")))
-    facts = known.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("is_rule"), F.length("key") - F.instr("key", "/") + 1)).alias("lengths")).first()
-    blocks = min(MAX_BLOCKS, max(1, 1 << max(0, facts["n"] * 12 // (64 * WORDS)).bit_length()))
+    facts = known.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("is_rule"), F.when(F.col("key").contains("/"), F.length("key") - F.instr("key", "/") + 1).otherwise(0))).alias("lengths")).first()
+    blocks = max(1, 1 << (facts["n"] * BITS_A_KEY // (64 * WORDS)).bit_length())
 
     urls = pages.select("url").where("url is not null").distinct().select("url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), canonical_url(F.col("url")).alias("whole"))
     labels = F.split("host", r"\.")
@@ -87,7 +94,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = No
     own = F.when(F.col("whole").isNotNull(), F.array(F.concat(F.lit("="), "whole"))).otherwise(F.array().cast("array<string>"))
     candidates = urls.select("url", F.explode(F.array_distinct(F.concat(pairs, own))).alias("key"))
     hits = possible_hits(candidates, bloom_filter(known, blocks), blocks)
-    exact = hits.join(F.broadcast(known) if facts["n"] <= BROADCAST_KEYS else known, "key")
+    exact = hits.join(F.broadcast(known), "key") if facts["n"] <= BROADCAST_KEYS else hits.join(_salted(known), ["key", "_salt"])
     ranked = exact.groupBy("url").agg(
         F.min(F.when(F.col("is_rule"), F.struct((-F.length("key")).alias("n"), F.col("key").alias("rule"), F.col("rule_verdict").alias("verdict")))).alias("best"),
         F.max(~F.col("is_rule")).alias("on_list"),
@@ -103,15 +110,20 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = No
 
 
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: Listed whole URLs, blocked where no rule fits.
-LISTED = ("http://ththre.example.net/en/9027", "http://tiontion.example.net/en/218/", "https://m.therha.example.com/en/5402")
+#: Pages on hosts with one of these words as a label, or as a part of one between hyphens, are listed.
+LISTED_WORDS = ("adult", "ads", "bets", "casino", "pills", "spam")
+
+
+def listed_urls(pages: DataFrame) -> DataFrame:
+    """url of ``pages`` on hosts with a listed word: the block list."""
+    return pages.select("url").where(url_host(F.col("url")).rlike(rf"(^|[.-])({'|'.join(LISTED_WORDS)})([.-]|$)"))
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Judges the url of every page by RULES, and by LISTED where no rule fits."""
+    """Judges the url of every page by RULES, and by the list of canonical URLs of ``listed_urls`` where no rule fits."""
     rules = spark.createDataFrame(list(RULES), "rule string, verdict string")
-    listed = spark.createDataFrame([(x,) for x in LISTED], "url string")
-    return judge_urls(table(spark, sf_dir, "pages"), rules, listed)
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(pages, rules, listed_urls(pages))
 
 
 OP6_SQL = r"""
@@ -131,8 +143,11 @@ WITH parts AS (
         regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '/$', '') AS bare,
         array_to_string(list_sort(list_filter(string_split(coalesce(query, ''), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_\w+|ref|fbclid|gclid)='))), '&') AS kept
     FROM parts
+), named AS (
+    SELECT *, bare || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS whole FROM judged
 )
 SELECT page_id, host, path, rule,
     CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed
-FROM (SELECT *, coalesce(kept = '' AND bare IN ('ththre.example.net/en/9027', 'tiontion.example.net/en/218', 'm.therha.example.com/en/5402'), false) AS listed FROM judged)
+FROM (SELECT *, contains(url, '://') IS TRUE AND coalesce(whole IN (SELECT whole FROM named WHERE contains(url, '://') AND regexp_matches(host, '(^|[.-])(adult|ads|bets|casino|pills|spam)([.-]|$)')), false) AS listed
+    FROM named)
 """

@@ -374,13 +374,28 @@ def test_urls(spark):
 
 
 def test_bloom_filter_has_no_false_negative(spark):
-    keys = spark.range(2000).select(F.concat(F.lit("k"), "id").alias("key"))
+    keys = spark.range(2000).select("id", F.concat(F.lit("k"), "id").alias("key"), F.col("id").alias("url"))
     bloom = urls.bloom_filter(keys, 64)
     assert urls.possible_hits(keys, bloom, 64).count() == 2000
-    others = spark.range(2000).select(F.concat(F.lit("z"), "id").alias("key"))
+    others = spark.range(2000).select(F.concat(F.lit("z"), "id").alias("key"), F.col("id").alias("url"))
     assert urls.possible_hits(others, bloom, 64).count() < 200
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_long_list_of_urls(spark, monkeypatch, broadcast):
+    """100,000 listed URLs, by broadcasts or by joins on block and key; a rule with a host alone."""
+    if not broadcast:
+        monkeypatch.setattr(urls, "BROADCAST_BLOCKS", 0)
+        monkeypatch.setattr(urls, "BROADCAST_KEYS", 0)
+    listed = spark.range(100_000).select(F.concat(F.lit("https://www.h"), F.col("id") % 997, F.lit(".net/p/"), "id", F.lit("/")).alias("url"))
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id") * 67 % 997, F.lit(".net/p/"), F.col("id") * 67, F.when(F.col("id") % 2 == 0, "?ref=z").otherwise("")).alias("url"))
+    rules = spark.createDataFrame([("h5.net", "allow"), ("net/p/134", "allow")], "rule string, verdict string")
+    for r in urls.judge_urls(pages, rules, listed).collect():
+        host, n = f"h{r.page_id * 67 % 997}.net", r.page_id * 67
+        rule = "net/p/134" if str(n).startswith("134") else "h5.net" if host == "h5.net" else None
+        assert (r.rule, r.listed, r.verdict) == (rule, n < 100_000, "allow" if rule or n >= 100_000 else "block")
+
+
 # --- op7 -----------------------------------------------------------------------------------------
 def test_token_counts(spark, docs, none):
     import public_tokenizers as P
