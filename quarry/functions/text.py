@@ -24,11 +24,6 @@ def _grams(units: Column, n: int, between: str) -> Column:
     return grams
 
 
-def word_ngrams(words: Column, n: int) -> Column:
-    """n-grams of an array of words, joined by a space; none if there are fewer words."""
-    return _grams(words, n, " ")
-
-
 def char_ngrams(text: Column, n: int) -> Column:
     return _grams(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), n, "")
 
@@ -43,10 +38,6 @@ def chunks(text: Column, size: int, overlap: int) -> Column:
     return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
 
 
-def tag_free(text: Column) -> Column:
-    return F.regexp_replace(text, r"<[^>]+>", "")
-
-
 def lzw_codes(text: str) -> list[int]:
     """LZW over the text's UTF-8 bytes; codes from 256 on are for longer strings."""
     known = {bytes([k]): k for k in range(256)}

@@ -9,6 +9,45 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from quarry.operators.relational import running_total
+
+#: Values up to which exact percentiles are taken in one pass; beyond, a histogram first says where they lie.
+ONE_PASS, BINS = 2_000_000, 4096
+
+
+def percentiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Exact percentiles, between neighbours in proportion, of the values that aren't null.
+
+    Many values: a first pass counts bins, a second takes the ranks out of the bins that hold them, so no
+    task holds all values.
+    """
+    x = F.col(column).cast("double")
+    n, lo, hi = df.agg(F.count(x), F.min(x), F.max(x)).first()
+    if not n:
+        return [None] * len(shares)
+    if n <= ONE_PASS or lo == hi:
+        return list(df.agg(F.percentile(x, F.array(*[F.lit(float(s)) for s in shares])).alias("p")).first()["p"])
+    bin_ = F.least(F.floor((x - lo) / (hi - lo) * BINS), F.lit(BINS - 1)).cast("int")
+    counts = {r["b"]: r["n"] for r in df.where(x.isNotNull()).groupBy(bin_.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}  # BINS rows at most
+    wanted = sorted({k for s in shares for k in (int(s * (n - 1)), min(int(s * (n - 1)) + 1, n - 1))})
+    first, base = {}, 0
+    for b in sorted(counts):
+        first[b], base = base, base + counts[b]
+    homes = {k: max(b for b in first if first[b] <= k) for k in wanted}
+    chosen = df.where(bin_.isin(sorted(set(homes.values())))).groupBy(bin_.alias("b"), x.alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(W.partitionBy("b").orderBy("x"))
+    ranked = chosen.withColumn("upto", upto)
+    at: dict[int, float] = {}
+    tests = [F.min(F.when((F.col("b") == b) & (F.col("upto") > k - first[b]), F.col("x"))).alias(str(k)) for k, b in homes.items()]
+    row = ranked.agg(*tests).first()
+    at = {k: row[str(k)] for k in homes}
+    out = []
+    for s in shares:
+        place = s * (n - 1)
+        a, b = at[int(place)], at[min(int(place) + 1, n - 1)]
+        out.append(a + (b - a) * (place - int(place)))
+    return out
+
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
@@ -23,12 +62,13 @@ def unpivoted(df: DataFrame, exprs: dict[str, dict[str, Column]]) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """count, mean, sample standard deviation, least, exact quartiles and greatest of numeric columns, in one pass."""
+    """count, mean, sample standard deviation, least, exact quartiles and greatest of numeric columns."""
+    quarters = {c: percentiles(df, c, [0.25, 0.5, 0.75]) for c in columns or numeric_columns(df)}
     stats = lambda c: {
         "n": F.count(c).cast("long"), "mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c).cast("double"),
-        "q25": F.percentile(c, 0.25), "median": F.percentile(c, 0.5), "q75": F.percentile(c, 0.75), "max": F.max(c).cast("double"),
+        **{name: F.max(F.lit(q).cast("double")) for name, q in zip(("q25", "median", "q75"), quarters[c], strict=True)}, "max": F.max(c).cast("double"),
     }
-    return unpivoted(df, {c: stats(c) for c in columns or numeric_columns(df)})
+    return unpivoted(df, {c: stats(c) for c in quarters})
 
 
 def null_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -66,9 +106,12 @@ def scaled(df: DataFrame, column: str, name: str, how: str = "minmax") -> DataFr
 
 
 def iqr_outliers(df: DataFrame, column: str, factor: float = 2.0) -> DataFrame:
-    q = df.agg(F.percentile(column, 0.25).alias("_q1"), F.percentile(column, 0.75).alias("_q3"))
-    spread = factor * (F.col("_q3") - F.col("_q1"))
-    return df.crossJoin(F.broadcast(q)).where((F.col(column) < F.col("_q1") - spread) | (F.col(column) > F.col("_q3") + spread)).drop("_q1", "_q3")
+    """Rows whose value lies over ``factor`` times the quartiles' distance beyond them."""
+    q1, q3 = percentiles(df, column, [0.25, 0.75])
+    if q1 is None:
+        return df.limit(0)
+    spread = factor * (q3 - q1)
+    return df.where((F.col(column) < q1 - spread) | (F.col(column) > q3 + spread))
 
 
 def sigma_outliers(df: DataFrame, column: str, sigmas: float = 3.0) -> DataFrame:
@@ -93,15 +136,16 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
 def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
     """Ranks with ties at their mean, over the distinct values' counts rather than all rows."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    ranks = counts.withColumn(name, F.sum("_n").over(W.orderBy(column)) - (F.col("_n") - 1) / 2.0).select(F.col(column).alias("_v"), name)
+    ranks = running_total(counts, [column], F.col("_n"), name).select(F.col(column).alias("_v"), (F.col(name) - (F.col("_n") - 1) / 2.0).alias(name))
     return df.join(ranks, df[column] == F.col("_v"), "left").drop("_v")
 
 
 def filled(df: DataFrame, column: str, how: str = "median") -> DataFrame:
     """Nulls replaced by the exact median, the mean, or the mode (smallest of equals)."""
-    how_ = {"median": F.percentile(column, 0.5), "mean": F.avg(column)}
+    if how == "median":
+        return df.withColumn(column, F.coalesce(column, F.lit(percentiles(df, column, [0.5])[0])))
     if how == "mode":
         fact = df.where(F.col(column).isNotNull()).groupBy(column).count().agg(F.min_by(column, F.struct(-F.col("count"), F.col(column))).alias("_fill"))
     else:
-        fact = df.agg(how_[how].alias("_fill"))
+        fact = df.agg(F.avg(column).alias("_fill"))
     return df.crossJoin(F.broadcast(fact)).withColumn(column, F.coalesce(column, "_fill")).drop("_fill")

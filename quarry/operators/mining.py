@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.operators.relational import broadcast_if_small
+from quarry.operators.relational import broadcast_if_small, running_total
 from quarry.session import cut_lineage
 
 
@@ -19,11 +19,12 @@ def frequent_itemsets(baskets: DataFrame, least: float, basket: str = "basket",
     Level by level: sets of k - 1 items that share all but the last are joined to candidates, candidates
     with an infrequent subset are pruned, and the rest are counted on baskets that hold them.
     """
-    rows = baskets.select(basket, item).distinct()
-    total = rows.select(basket).distinct().count()
-    level = cut_lineage(rows.groupBy(item).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least * total).select(F.array(item).alias("items"), "n"))
-    has = rows.join(broadcast_if_small(level.select(F.col("items")[0].alias(item))), item).groupBy(basket).agg(F.sort_array(F.collect_set(item)).alias("has"))
-    held = has.select("has", F.explode(F.transform("has", lambda x: F.array(x))).alias("items"))
+    # Like baskets are counted as one, and written once: all levels read them.
+    whole = baskets.where(F.col(item).isNotNull()).groupBy(basket).agg(F.sort_array(F.collect_set(item)).alias("has"))
+    has = cut_lineage(whole.groupBy("has").agg(F.count(F.lit(1)).alias("times")))
+    total = baskets.select(basket).distinct().count()
+    level = cut_lineage(has.select("times", F.explode("has").alias(item)).groupBy(item).agg(F.sum("times").alias("n")).where(F.col("n") >= least * total).select(F.array(item).alias("items"), "n"))
+    held = has.select("has", "times", F.explode(F.transform("has", lambda x: F.array(x))).alias("items")).join(broadcast_if_small(level.select("items")), "items")
     found = level
     for k in count(2) if most is None else range(2, most + 1):
         if level.isEmpty():
@@ -35,9 +36,12 @@ def frequent_itemsets(baskets: DataFrame, least: float, basket: str = "basket",
             whole = subsets.join(level.select(F.col("items").alias("sub")), "sub").groupBy("items").agg(F.count(F.lit(1)).alias("c"))
             candidates = whole.where(F.col("c") == k).select("items")
         # Each basket extends the sets it holds by its own later items: nothing is shuffled before the counts.
-        longer = held.select("has", "items", F.explode(F.expr("filter(has, x -> x > element_at(items, -1))")).alias("next"))
-        held = longer.select("has", F.concat("items", F.array("next")).alias("items")).join(broadcast_if_small(candidates), "items")
-        level = cut_lineage(held.groupBy("items").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least * total))
+        longer = held.select("has", "times", "items", F.explode(F.expr("filter(has, x -> x > element_at(items, -1))")).alias("next"))
+        candidates = cut_lineage(candidates)
+        if candidates.isEmpty():
+            break
+        held = longer.select("has", "times", F.concat("items", F.array("next")).alias("items")).join(broadcast_if_small(candidates), "items")
+        level = cut_lineage(held.groupBy("items").agg(F.sum("times").alias("n")).where(F.col("n") >= least * total))
         found = found.unionByName(level)
     return found.select("items", F.col("n").cast("long").alias("n"), (F.col("n") / F.lit(total)).alias("support"))
 
@@ -69,7 +73,7 @@ def kmeans_step(points: DataFrame, centres: DataFrame, columns: list[str], key:
     """
     c = centres.select("cluster", *[F.col(x).alias(f"_{x}") for x in columns])
     distance = reduce(lambda a, b: a + b, [F.pow(F.col(x) - F.col(f"_{x}"), 2) for x in columns])
-    near = points.crossJoin(F.broadcast(c)).groupBy(key, *columns).agg(F.min(F.struct(distance.alias("d"), "cluster")).alias("m"))
+    near = points.crossJoin(broadcast_if_small(c)).groupBy(key, *columns).agg(F.min(F.struct(distance.alias("d"), "cluster")).alias("m"))
     assigned = near.select(key, *columns, F.col("m.cluster").alias("cluster"))
     means = assigned.groupBy("cluster").agg(*[F.avg(x).alias(f"_{x}") for x in columns])
     moved = centres.join(means, "cluster", "left").select("cluster", *[F.coalesce(f"_{x}", x).alias(x) for x in columns])
@@ -95,9 +99,13 @@ def information_gain(df: DataFrame, target: str, attribute: str) -> DataFrame:
 def best_split(df: DataFrame, value: str, target: str) -> DataFrame:
     """The threshold between neighbouring values that leaves the least entropy of a 0/1 target: threshold, entropy."""
     steps = df.groupBy(value).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(target).cast("double").alias("ones"))
-    w = W.orderBy(value)
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    at = steps.select(F.col(value).alias("v"), F.lead(value).over(w).alias("next"), F.sum("n").over(upto).alias("ln"), F.sum("ones").over(upto).alias("l1"), F.sum("n").over(W.partitionBy()).alias("tn"), F.sum("ones").over(W.partitionBy()).alias("t1"))
+    steps = steps.where(F.col(value).isNotNull()).withColumnRenamed(value, "v")
+    # Each value's sums and place; the next value is that of the next place.
+    numbered = running_total(steps, ["v"], F.lit(1).cast("long"), "place")
+    sums = cut_lineage(running_total(running_total(numbered, ["v"], F.col("n"), "ln"), ["v"], F.col("ones"), "l1"))
+    totals = sums.agg(F.sum("n").alias("tn"), F.sum("ones").alias("t1"))
+    after = sums.select((F.col("place") - 1).alias("place"), F.col("v").alias("next"))
+    at = sums.join(after, "place", "left").crossJoin(F.broadcast(totals))  # one row
     left = entropy_of(F.array("l1", F.col("ln") - F.col("l1")))
     right = entropy_of(F.array(F.col("t1") - F.col("l1"), F.col("tn") - F.col("ln") - F.col("t1") + F.col("l1")))
     cost = (F.col("ln") * left + (F.col("tn") - F.col("ln")) * right) / F.col("tn")
@@ -129,5 +137,5 @@ def outranking(alternatives: DataFrame, criteria: dict[str, dict], majority: flo
     total = sum(s["weight"] for s in criteria.values())
     concordance = reduce(lambda x, y: x + y, [partial(against[c], s) * s["weight"] for c, s in criteria.items()]) / total
     vetoed = reduce(lambda x, y: x | y, [against[c] >= s["v"] for c, s in criteria.items() if s.get("v") is not None] or [F.lit(False)])
-    pairs = a.crossJoin(F.broadcast(b)).where("a != b")  # a handful of alternatives
+    pairs = a.crossJoin(broadcast_if_small(b)).where("a != b")
     return pairs.select("a", "b", concordance.alias("concordance"), vetoed.alias("vetoed"), ((concordance >= majority) & ~vetoed).alias("outranks"))

@@ -6,15 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast up to so many rows.
-SMALL_ROWS = 100_000
+from quarry.session import cut_lineage
 
+#: A side of a join is broadcast up to so many bytes, a column reckoned as COLUMN_BYTES.
+SMALL_BYTES, COLUMN_BYTES = 16 << 20, 64
 
-def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+
+def broadcast_if_small(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
     """``df`` to be broadcast if a count shows that it is small; else as it is."""
+    rows = most // (COLUMN_BYTES * len(df.columns))
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def running_total(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """Sums of ``value`` over all rows up to each in ``order``, itself included.
+
+    Rows are dealt to ranges of ``order`` and written once; each range is summed up in parallel and
+    shifted by what lies before it. Rows alike in ``order`` lie in one range, in no fixed order.
+    """
+    ranged = df.withColumn("_value", value).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged = cut_lineage(ranged)
+    sums = ranged.groupBy("_part").agg(F.sum("_value").alias("_sum"))  # a row for each range
+    before = sums.select("_part", F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    upto = F.sum("_value").over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return ranged.withColumn(name, upto).join(F.broadcast(before), "_part").withColumn(name, F.col(name) + F.col("_base")).drop("_part", "_value", "_base")
+
+
 def band_join(left: DataFrame, right: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
     """Rows of ``left`` with those of ``right`` whose closed interval [low, high] holds ``value``.
 
@@ -49,7 +66,9 @@ def arg_max_rows(df: DataFrame, group: list[str], value: str) -> DataFrame:
 
 
 def deviation_from_group(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
-    return df.withColumn(name, F.col(value) - F.avg(value).over(W.partitionBy(group)))
+    """``value`` less its group's mean: groups are aggregated and joined back, so a large one isn't gathered."""
+    means = df.groupBy(F.col(group).alias("_group")).agg(F.avg(value).alias("_mean"))
+    return df.join(broadcast_if_small(means), F.col(group).eqNullSafe(F.col("_group"))).withColumn(name, F.col(value) - F.col("_mean")).drop("_group", "_mean")
 
 
 def lookup_array(left: DataFrame, right: DataFrame, left_key: str, right_key: str, into: str) -> DataFrame:
@@ -87,11 +106,7 @@ def delete_matching(df: DataFrame, victims: DataFrame, key: str) -> DataFrame:
 
 def next_values(df: DataFrame, order: list[str], name: str, start: int = 1, step: int = 1) -> DataFrame:
     """A sequence's numbers, gapless in ``order``; ranges are numbered in parallel and shifted by what lies before."""
-    ranged = df.orderBy(*order).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_base", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    local = ranged.withColumn("_k", F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1)
-    return local.join(F.broadcast(before), "_part").withColumn(name, (F.lit(start) + step * (F.col("_base") + F.col("_k"))).cast("long")).drop("_part", "_k", "_base")
+    return running_total(df, order, F.lit(1).cast("long"), "_nth").withColumn(name, (F.lit(start) + step * (F.col("_nth") - 1)).cast("long")).drop("_nth")
 
 
 def violations(df: DataFrame, unique: list[str] = (), not_null: list[str] = (), checks: dict[str, Column] | None = None, foreign: dict[str, tuple[DataFrame, str]] | None = None) -> DataFrame:

@@ -17,9 +17,8 @@ def classification_metrics(df: DataFrame, actual: str, predicted: str) -> DataFr
     """accuracy, and macro precision, recall, specificity, f1, g_mean, balanced_accuracy: one row, from the confusion counts."""
     cells = df.groupBy(F.col(actual).alias("a"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     total = cells.agg(F.sum("n").alias("total"))
-    labels = cells.select(F.col("a").alias("c")).union(cells.select("p")).distinct()
     hit = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0.0))
-    per = labels.join(cells, (F.col("a") == F.col("c")) | (F.col("p") == F.col("c"))).groupBy("c").agg(
+    per = cells.withColumn("c", F.explode(F.array_distinct(F.array("a", "p")))).groupBy("c").agg(
         hit((F.col("a") == F.col("c")) & (F.col("p") == F.col("c"))).alias("tp"), hit((F.col("a") != F.col("c")) & (F.col("p") == F.col("c"))).alias("fp"), hit((F.col("a") == F.col("c")) & (F.col("p") != F.col("c"))).alias("fn")
     ).crossJoin(F.broadcast(total))  # one row for each class
     per = per.withColumn("tn", F.col("total") - F.col("tp") - F.col("fp") - F.col("fn"))
@@ -95,15 +94,15 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     return ranked.agg(((F.sum(F.when(F.col(label) == 1, F.col("_r"))) - pos * (pos + 1) / 2) / (pos * (n - pos))).alias("auc"))
 
 
-def spectrum(series: DataFrame, order: str, value: str, frequencies: int) -> DataFrame:
-    """Discrete Fourier amplitudes 0 to ``frequencies`` - 1 of a short series (one row a point): k, amplitude.
+def spectrum(series: DataFrame, order: str, value: str) -> DataFrame:
+    """Discrete Fourier amplitudes of all frequencies of a short series (one row a point): k from 0 to half the points, amplitude.
 
     The series is an aggregate (a point a day, say); each point meets each frequency once.
     """
     points = series.select((F.row_number().over(W.orderBy(order)) - 1).alias("t"), F.col(value).cast("double").alias("y"), F.count(F.lit(1)).over(W.partitionBy()).alias("n"))
-    waves = points.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(frequencies - 1))))
+    waves = points.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 2))))
     angle = 2 * math.pi * F.col("k") * F.col("t") / F.col("n")
-    return waves.groupBy("k").agg(F.sqrt(F.pow(F.sum(F.col("y") * F.cos(angle)), 2) + F.pow(F.sum(F.col("y") * F.sin(angle)), 2)).alias("amplitude"))
+    return waves.groupBy(F.col("k").cast("int").alias("k")).agg(F.sqrt(F.pow(F.sum(F.col("y") * F.cos(angle)), 2) + F.pow(F.sum(F.col("y") * F.sin(angle)), 2)).alias("amplitude"))
 
 
 def roll_up_tree(rooms: DataFrame, building: str, floor: str, area: str, volume: str, light: str, energy: str) -> DataFrame:

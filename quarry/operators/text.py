@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.functions.text import char_ngrams, huffman_codes, sentences, word_ngrams, word_tokens
+from quarry.functions.text import char_ngrams, huffman_codes, sentences, word_tokens
 from quarry.operators.relational import broadcast_if_small
 from quarry.session import cut_lineage
 
@@ -25,24 +25,35 @@ def top_terms(docs: DataFrame, group: str, n: int, text: str = "text") -> DataFr
 
 def tfidf(docs: DataFrame, key: str = "doc_id", text: str = "text", max_df: float = 1.0) -> DataFrame:
     """key, term, weight: tf * (ln((1 + n) / (1 + df)) + 1), scaled to length 1 in each document."""
-    tf = term_counts(docs, key, text)
+    tf = cut_lineage(term_counts(docs, key, text))  # read twice: for document frequencies and for weights
     n = docs.agg(F.count(F.lit(1)).alias("docs"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).where(F.col("df") <= max_df * F.col("docs"))
     idf = df.select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    raw = tf.join(broadcast_if_small(idf), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))
     return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
+def exploded_ngrams(docs: DataFrame, n: int, keep: list[str] = (), text: str = "text", sep: str = " ") -> DataFrame:
+    """A row for each run of ``n`` neighbouring words: columns w0, w1 and so on, words as they are, without joining them."""
+    size = F.greatest(F.size("_w") - n + 1, F.lit(0))
+    words = docs.select(*keep, F.split(text, sep).alias("_w"))
+    zipped = F.arrays_zip(*[F.slice("_w", k + 1, size).alias(f"w{k}") for k in range(n)])
+    return words.select(*keep, F.explode(zipped).alias("_g")).select(*keep, *[F.col(f"_g.w{k}").alias(f"w{k}") for k in range(n)])
+
+
+def ngram_counts(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
+    """w0 to w<n-1> and n: how often each run of ``n`` words occurs."""
+    return exploded_ngrams(docs, n, text=text).groupBy(*[f"w{k}" for k in range(n)]).agg(F.count(F.lit(1)).alias("n"))
+
+
 def markov_counts(docs: DataFrame, n: int, text: str = "text", unit: str = "word") -> DataFrame:
     """How often ``next`` follows each context of ``n`` words or characters."""
-    grams = word_ngrams(F.split(text, " "), n + 1) if unit == "word" else char_ngrams(F.col(text), n + 1)
-    rows = docs.select(F.explode(grams).alias("g"))
     if unit == "word":
-        parts = rows.select(F.expr("substring_index(g, ' ', %d)" % n).alias("context"), F.expr("substring_index(g, ' ', -1)").alias("next"))
-    else:
-        parts = rows.select(F.substring("g", 1, n).alias("context"), F.expr("substring(g, %d, 1)" % (n + 1)).alias("next"))
-    return parts.groupBy("context", "next").agg(F.count(F.lit(1)).alias("n"))
+        grams = ngram_counts(docs, n + 1, text)
+        return grams.select(F.concat_ws(" ", *[f"w{k}" for k in range(n)]).alias("context"), F.col(f"w{n}").alias("next"), "n")
+    counts = docs.select(F.explode(char_ngrams(F.col(text), n + 1)).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.substring("g", 1, n).alias("context"), F.expr("substring(g, %d, 1)" % (n + 1)).alias("next"), "n")
 
 
 def sentence_log_probability(model: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
@@ -104,14 +115,20 @@ def nearest_words(words: DataFrame, vocabulary: DataFrame, most: int = 2, every:
     return found.unionByName(least(pairs.withColumn("distance", F.levenshtein("word", "nearest"))))
 
 
-def summaries(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The ``n`` sentences of each document whose words are the most frequent in it: key, position, score, sentence."""
-    parts = docs.select(key, F.posexplode(sentences(F.col(text))).alias("position", "sentence"))
-    words = parts.select(key, "position", F.explode(word_tokens(F.col("sentence"))).alias("term"))
+def summaries(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text", stop_words: list[str] = ()) -> DataFrame:
+    """The ``n`` sentences of each document whose words are the most frequent in it: key, position, score, sentence, rank.
+
+    A sentence's score is the sum of its words' counts in the document, stop words apart; rank 1 has the
+    least score of those kept, so ranks ascend to the best. Documents don't meet: all is done by their key.
+    """
+    parts = cut_lineage(docs.select(key, F.posexplode(sentences(F.col(text))).alias("position", "sentence")))
+    words = parts.select(key, "position", F.explode(word_tokens(F.col("sentence"))).alias("term")).where(~F.col("term").isin(*stop_words))
     tf = words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     score = words.join(tf, [key, "term"]).groupBy(key, "position").agg(F.sum("tf").alias("score"))
-    rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "position"))
-    return parts.join(score, [key, "position"]).withColumn("rank", rank.cast("int")).where(F.col("rank") <= n)
+    best = F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "position"))
+    kept = score.withColumn("_best", best).where(F.col("_best") <= n)
+    rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("_best"))).cast("int")
+    return kept.withColumn("rank", rank).drop("_best").join(parts, [key, "position"])
 
 
 def huffman_size(docs: DataFrame, text: str = "text") -> DataFrame:

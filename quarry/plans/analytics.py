@@ -151,16 +151,9 @@ def tfidf(t: Tables):
     return T.tfidf(t.documents).withColumn("weight", rounded(F.col("weight")))
 
 
-@query("word_ngrams", "WITH w AS (SELECT string_split(text, ' ') AS w FROM documents) SELECT g, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w) GROUP BY 1 HAVING count(*) > 5")
+@query("word_ngrams", "WITH w AS (SELECT string_split(text, ' ') AS w FROM documents) SELECT g, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w) GROUP BY 1")
 def word_ngrams(t: Tables):
-    grams = t.documents.select(F.explode(X.word_ngrams(F.split("text", " "), 2)).alias("g"))
-    return grams.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 5")
-
-
-@query("word_ngrams_all", "WITH w AS (SELECT string_split(text, ' ') AS w FROM documents) SELECT g, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w) GROUP BY 1")
-def word_ngrams_all(t: Tables):
-    grams = t.documents.select(F.explode(X.word_ngrams(F.split("text", " "), 2)).alias("g"))
-    return grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    return T.ngram_counts(t.documents, 2).select(F.concat_ws(" ", "w0", "w1").alias("g"), "n")
 
 
 @query("markov_chars", "SELECT g[1:2] AS context, g[3] AS next, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(text) - 1), lambda i: substring(text, i, 3))) AS g FROM documents) GROUP BY 1, 2")
@@ -168,19 +161,10 @@ def markov_chars(t: Tables):
     return T.markov_counts(t.documents, 2, unit="char")
 
 
-@query("sentence_prob", "WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), p AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: {'a': w[i], 'b': w[i + 1]})) AS g FROM w), m AS (SELECT g.a AS a, g.b AS b, count(*) AS n FROM p WHERE doc_id % 2 = 0 GROUP BY 1, 2), s AS (SELECT a, sum(n) AS total FROM m GROUP BY 1) SELECT doc_id, round(sum(ln(coalesce(n / total, 1 / (total + 1)))), 3) AS log_p FROM p JOIN s ON g.a = s.a LEFT JOIN m ON m.a = g.a AND m.b = g.b WHERE doc_id % 2 = 1 GROUP BY 1")
+@query("sentence_prob", "WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), p AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: {'a': w[i], 'b': w[i + 1]})) AS g FROM w), m AS (SELECT g.a AS a, g.b AS b, count(*) AS n FROM p GROUP BY 1, 2), s AS (SELECT a, sum(n) AS total FROM m GROUP BY 1) SELECT doc_id, round(sum(ln(coalesce(n / total, 1 / (total + 1)))), 3) AS log_p FROM p JOIN s ON g.a = s.a LEFT JOIN m ON m.a = g.a AND m.b = g.b GROUP BY 1")
 def sentence_prob(t: Tables):
-    model = T.markov_counts(t.documents.where("doc_id % 2 = 0"), 1)  # fitted on one half, asked of the other
-    grams = t.documents.where("doc_id % 2 = 1").select("doc_id", F.explode(X.word_ngrams(F.split("text", " "), 2)).alias("g"))
-    pairs = grams.select("doc_id", F.expr("substring_index(g, ' ', 1)").alias("context"), F.expr("substring_index(g, ' ', -1)").alias("next"))
-    return T.sentence_log_probability(model, pairs, "doc_id").withColumn("log_p", rounded(F.col("log_p"), 3))
-
-
-@query("sentence_prob_all", "WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), p AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: {'a': w[i], 'b': w[i + 1]})) AS g FROM w), m AS (SELECT g.a AS a, g.b AS b, count(*) AS n FROM p GROUP BY 1, 2), s AS (SELECT a, sum(n) AS total FROM m GROUP BY 1) SELECT doc_id, round(sum(ln(coalesce(n / total, 1 / (total + 1)))), 3) AS log_p FROM p JOIN s ON g.a = s.a LEFT JOIN m ON m.a = g.a AND m.b = g.b GROUP BY 1")
-def sentence_prob_all(t: Tables):
     model = T.markov_counts(t.documents, 1)
-    grams = t.documents.select("doc_id", F.explode(X.word_ngrams(F.split("text", " "), 2)).alias("g"))
-    pairs = grams.select("doc_id", F.expr("substring_index(g, ' ', 1)").alias("context"), F.expr("substring_index(g, ' ', -1)").alias("next"))
+    pairs = T.exploded_ngrams(t.documents, 2, ["doc_id"]).toDF("doc_id", "context", "next")
     return T.sentence_log_probability(model, pairs, "doc_id").withColumn("log_p", rounded(F.col("log_p"), 3))
 
 
@@ -204,26 +188,13 @@ def url_params(t: Tables):
     return t.pages.select("page_id", F.regexp_extract("url", "^(https?)://", 1).alias("scheme"), F.regexp_extract("url", r"[?&]page=(\d+)", 1).alias("page"), F.nullif(F.split_part("url", F.lit("#"), F.lit(2)), F.lit("")).alias("fragment"))
 
 
-@query("dict_search", f"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) WHERE term IN (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) FROM benchmark WHERE item_id < 3) GROUP BY 1, 2")
+@query("dict_search", f"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) WHERE term IN (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) FROM benchmark) GROUP BY 1, 2")
 def dict_search(t: Tables):
-    terms = t.benchmark.where("item_id < 3").select(F.explode(X.word_tokens(F.col("text"))).alias("term"))  # the dictionary is the query's parameter
-    return T.dictionary_hits(t.documents, terms)
-
-
-@query("spell_nearest", "WITH w AS (SELECT DISTINCT lower(p_name) AS word FROM part WHERE p_partkey < 40), v AS (SELECT DISTINCT lower(c_mktsegment) AS word FROM customer UNION SELECT lower(p_name) || 'x' FROM part WHERE p_partkey < 400) SELECT w.word, min_by(v.word, {'d': levenshtein(w.word, v.word), 'v': v.word}) AS nearest, CAST(min(levenshtein(w.word, v.word)) AS INTEGER) AS distance FROM w JOIN v ON levenshtein(w.word, v.word) <= 2 GROUP BY 1")
-def spell_nearest(t: Tables):
-    words = t.part.where("p_partkey < 40").select(F.lower("p_name").alias("word"))
-    vocabulary = t.customer.select(F.lower("c_mktsegment").alias("word")).union(t.part.where("p_partkey < 400").select(F.concat(F.lower("p_name"), F.lit("x"))))
-    return T.nearest_words(words, vocabulary)
-
-
-@query("dict_search_all", f"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) WHERE term IN (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) FROM benchmark) GROUP BY 1, 2")
-def dict_search_all(t: Tables):
     return T.dictionary_hits(t.documents, t.benchmark.select(F.explode(X.word_tokens(F.col("text"))).alias("term")))
 
 
-@query("spell_nearest_all", "WITH w AS (SELECT DISTINCT lower(p_name) AS word FROM part), v AS (SELECT DISTINCT lower(c_mktsegment) AS word FROM customer UNION SELECT lower(p_name) || 'x' FROM part) SELECT w.word, min_by(v.word, {'d': levenshtein(w.word, v.word), 'v': v.word}) AS nearest, CAST(min(levenshtein(w.word, v.word)) AS INTEGER) AS distance FROM w CROSS JOIN v GROUP BY 1")
-def spell_nearest_all(t: Tables):
+@query("spell_nearest", "WITH w AS (SELECT DISTINCT lower(p_name) AS word FROM part), v AS (SELECT DISTINCT lower(c_mktsegment) AS word FROM customer UNION SELECT lower(p_name) || 'x' FROM part) SELECT w.word, min_by(v.word, {'d': levenshtein(w.word, v.word), 'v': v.word}) AS nearest, CAST(min(levenshtein(w.word, v.word)) AS INTEGER) AS distance FROM w CROSS JOIN v GROUP BY 1")
+def spell_nearest(t: Tables):
     words = t.part.select(F.lower("p_name").alias("word"))
     vocabulary = t.customer.select(F.lower("c_mktsegment").alias("word")).union(t.part.select(F.concat(F.lower("p_name"), F.lit("x"))))
     return T.nearest_words(words, vocabulary, every=True)
@@ -251,18 +222,6 @@ def huffman_size(t: Tables):
 
 
 # --- vectors -------------------------------------------------------------------------------------
-@query("cosine_topk", "SELECT query_id, vec_id, value, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS value, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) AS INTEGER) AS rank FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id < 5) WHERE rank <= 5")
-def cosine_topk(t: Tables):
-    near = V.nearest(t.embeddings.where("vec_id < 5"), t.embeddings.select("vec_id", "embedding"), 5)  # the query set is a parameter
-    return near.select("query_id", "vec_id", rounded(F.col("value")).alias("value"), "rank")
-
-
-@query("euclid_topk", "SELECT query_id, vec_id, value, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS value, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), v.vec_id) AS INTEGER) AS rank FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id < 5) WHERE rank <= 3")
-def euclid_topk(t: Tables):
-    near = V.nearest(t.embeddings.where("vec_id < 5"), t.embeddings.select("vec_id", "embedding"), 3, "euclidean")
-    return near.select("query_id", "vec_id", rounded(F.col("value")).alias("value"), "rank")
-
-
 @query("mean_embedding_by_label", "SELECT label, CAST(i AS INTEGER) AS i, round(avg(x), 6) AS x FROM (SELECT label, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2")
 def mean_embedding_by_label(t: Tables):
     means = V.mean_vectors(t.embeddings, "label")
@@ -274,25 +233,20 @@ def analogy(t: Tables):
     return V.analogy(t.embeddings, 1, 2, 3).withColumn("value", rounded(F.col("value")))
 
 
-@query("knn_vote", "WITH n AS (SELECT q.vec_id AS query_id, v.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), v.vec_id) AS k FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id < 30), c AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY k) AS votes FROM n WHERE k <= 7) SELECT query_id, label AS predicted, votes FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, k) = 1")
-def knn_vote(t: Tables):
-    return V.knn_votes(t.embeddings.where("vec_id < 30"), t.embeddings, 7)
-
-
-@query("cosine_topk_hundredths", "SELECT query_id, vec_id, value, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS value, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) AS INTEGER) AS rank FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0) WHERE rank <= 5")
-def cosine_topk_hundredths(t: Tables):
+@query("cosine_topk", "SELECT query_id, vec_id, value, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS value, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) AS INTEGER) AS rank FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0) WHERE rank <= 5")
+def cosine_topk(t: Tables):
     near = V.nearest(t.embeddings.where("vec_id % 100 = 0"), t.embeddings.select("vec_id", "embedding"), 5)
     return near.select("query_id", "vec_id", rounded(F.col("value")).alias("value"), "rank")
 
 
-@query("euclid_topk_hundredths", "SELECT query_id, vec_id, value, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS value, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), v.vec_id) AS INTEGER) AS rank FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0) WHERE rank <= 3")
-def euclid_topk_hundredths(t: Tables):
+@query("euclid_topk", "SELECT query_id, vec_id, value, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS value, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), v.vec_id) AS INTEGER) AS rank FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0) WHERE rank <= 3")
+def euclid_topk(t: Tables):
     near = V.nearest(t.embeddings.where("vec_id % 100 = 0"), t.embeddings.select("vec_id", "embedding"), 3, "euclidean")
     return near.select("query_id", "vec_id", rounded(F.col("value")).alias("value"), "rank")
 
 
-@query("knn_vote_all", "WITH n AS (SELECT q.vec_id AS query_id, v.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), v.vec_id) AS k FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id), c AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY k) AS votes FROM n WHERE k <= 7) SELECT query_id, label AS predicted, votes FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, k) = 1")
-def knn_vote_all(t: Tables):
+@query("knn_vote", "WITH n AS (SELECT q.vec_id AS query_id, v.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), v.vec_id) AS k FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id), c AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY k) AS votes FROM n WHERE k <= 7) SELECT query_id, label AS predicted, votes FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, k) = 1")
+def knn_vote(t: Tables):
     return V.knn_votes(t.embeddings, t.embeddings, 7)
 
 
@@ -400,10 +354,10 @@ def influence(t: Tables):
     return S.influence(t.part.select("p_partkey", "p_size", "p_retailprice"), "p_retailprice", "p_size")
 
 
-@query("dft_daily", "WITH d AS (SELECT row_number() OVER (ORDER BY d) - 1 AS t, n, count(*) OVER () AS m FROM (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1)) SELECT CAST(k AS INTEGER) AS k, round(sqrt(pow(sum(n * cos(2 * pi() * k * t / m)), 2) + pow(sum(n * sin(2 * pi() * k * t / m)), 2)), 4) AS amplitude FROM d, (SELECT unnest(range(0, 16)) AS k) GROUP BY 1")
+@query("dft_daily", "WITH d AS (SELECT row_number() OVER (ORDER BY d) - 1 AS t, n, count(*) OVER () AS m FROM (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1)) SELECT CAST(k AS INTEGER) AS k, round(sqrt(pow(sum(n * cos(2 * pi() * k * t / m)), 2) + pow(sum(n * sin(2 * pi() * k * t / m)), 2)), 4) AS amplitude FROM d, (SELECT unnest(range(0, (SELECT max(m) FROM d) // 2 + 1)) AS k) GROUP BY 1")
 def dft_daily(t: Tables):
     daily = t.events.groupBy(F.to_date("ts").alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    return S.spectrum(daily, "d", "n", 16).withColumn("amplitude", rounded(F.col("amplitude"), 4))
+    return S.spectrum(daily, "d", "n").withColumn("amplitude", rounded(F.col("amplitude"), 4))
 
 
 # --- events --------------------------------------------------------------------------------------

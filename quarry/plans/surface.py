@@ -67,10 +67,11 @@ def sliding_frames(t: Tables):
 def kernel(outranks: DataFrame, names: DataFrame) -> DataFrame:
     """The kernel of an acyclic outranking graph: what nothing in it outranks, and each other outranked by one of it.
 
-    ``outranks``: a, b; ``names``: name. The set of alternatives is small; each turn settles one layer.
+    ``outranks``: a, b; ``names``: name. Each turn settles one layer, until no free one is left: those that
+    remain then lie on a cycle or are outranked from one, and are in no kernel.
     """
     left, kept = names.select("name"), names.select("name").limit(0)
-    for _ in range(64):
+    while True:
         edges = outranks.join(left.select(F.col("name").alias("a")), "a").join(left.select(F.col("name").alias("b")), "b")
         free = cut_lineage(left.join(edges.select(F.col("b").alias("name")).distinct(), "name", "left_anti"))
         if free.isEmpty():
@@ -78,7 +79,6 @@ def kernel(outranks: DataFrame, names: DataFrame) -> DataFrame:
         kept = kept.union(free)
         beaten = outranks.join(free.select(F.col("name").alias("a")), "a").select(F.col("b").alias("name")).distinct()
         left = cut_lineage(left.join(free, "name", "left_anti").join(beaten, "name", "left_anti"))
-    return kept
 
 
 @query("outranking_kernel")

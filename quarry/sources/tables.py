@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.operators.relational import running_total
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -54,8 +55,9 @@ def read_sections(lines: DataFrame, order: str = "line") -> DataFrame:
     A section's number is the running count of headings, over one file's lines.
     """
     heading = F.regexp_extract("value", r"^\s*\[(.*)\]\s*$", 1)
-    numbered = lines.withColumn("section_no", F.sum(F.when(heading != "", 1).otherwise(0)).over(W.orderBy(order)))
-    named = numbered.withColumn("section", F.max(F.nullif(heading, F.lit(""))).over(W.partitionBy("section_no")))
+    numbered = running_total(lines, [order], F.when(heading != "", 1).otherwise(0).cast("long"), "section_no")
+    headings = numbered.where(heading != "").select("section_no", heading.alias("section"))
+    named = numbered.join(headings, "section_no", "left")
     pair = named.where(F.col("value").contains("=") & (heading == ""))
     return pair.select("section_no", "section", F.trim(F.substring_index("value", "=", 1)).alias("key"), F.trim(F.expr("substring(value, instr(value, '=') + 1)")).alias("value"))
 
