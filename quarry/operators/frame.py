@@ -149,3 +149,126 @@ def filled(df: DataFrame, column: str, how: str = "median") -> DataFrame:
     else:
         fact = df.agg(F.avg(column).alias("_fill"))
     return df.crossJoin(F.broadcast(fact)).withColumn(column, F.coalesce(column, "_fill")).drop("_fill")
+
+
+def deduplicated(df: DataFrame, keys: list[str], order: list[str], keep: str = "first") -> DataFrame:
+    """One row of each combination of ``keys``: the first or the last in ``order``."""
+    pick = F.min_by if keep == "first" else F.max_by
+    rest = [c for c in df.columns if c not in keys]
+    one = df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return one.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
+
+
+def without_labels(df: DataFrame, column: str, labels: list) -> DataFrame:
+    """``df`` without the rows of these labels; a label that no row has raises KeyError."""
+    found = {r[0] for r in df.where(F.col(column).isin(labels)).select(column).distinct().collect()}  # at most the labels given
+    if missing := [x for x in labels if x not in found]:
+        raise KeyError(missing)
+    return df.where(~F.col(column).isin(labels) | F.col(column).isNull())
+
+
+KINDS = {"number": ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"), "object": ("string", "array", "map", "struct", "binary"), "datetime": ("date", "timestamp", "timestamp_ntz"), "bool": ("boolean",)}
+
+
+def of_kind(df: DataFrame, *kinds: str) -> DataFrame:
+    """The columns whose types are of one of ``kinds``: number, object, datetime, bool."""
+    wanted = tuple(x for k in kinds for x in KINDS[k])
+    return df.select(*[c for c, t in df.dtypes if t.split("(")[0].split("<")[0] in wanted])
+
+
+def projected(df: DataFrame, fields: dict[str, int], key: str) -> DataFrame:
+    """A document projection: fields with 1 are kept, or those with 0 left out; mixing raises, but for the key."""
+    others = {v for c, v in fields.items() if c != key}
+    if len(others) > 1:
+        raise ValueError("a projection keeps fields or leaves fields out, not both")
+    if others == {0} or not others:
+        return df.drop(*[c for c, v in fields.items() if v == 0])
+    kept = [c for c in df.columns if fields.get(c) == 1 or c == key and fields.get(key, 1)]
+    return df.select(*kept)
+
+
+def nulls_by_group(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    return df.groupBy(group).agg(*[F.count_if(F.col(c).isNull()).cast("long").alias(c) for c in columns])
+
+
+def nan_sum(columns: list[str]) -> Column:
+    """The sum of a row's columns, null and NaN as 0."""
+    return reduce(lambda a, b: a + b, [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in columns])
+
+
+def row_mean(columns: list[str]) -> Column:
+    """The mean of a row's columns that are neither null nor NaN; null without any."""
+    known = reduce(lambda a, b: a + b, [F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), 0).otherwise(1) for c in columns])
+    return F.try_divide(nan_sum(columns), known)
+
+
+def ordered_category(column: str, order: list[str]) -> Column:
+    """The place of a value in ``order``, from 0; null for others."""
+    return F.nullif(F.array_position(F.array(*[F.lit(x) for x in order]), F.col(column)), F.lit(0)) - 1
+
+
+def without_nulls(df: DataFrame, how: str = "any", columns: list[str] | None = None, least: int | None = None) -> DataFrame:
+    """Rows without any null, not of nulls alone, or with ``least`` values at least, in ``columns``."""
+    return df.na.drop(how, least, columns)
+
+
+def side_by_side(left: DataFrame, left_order: list[str], right: DataFrame, right_order: list[str]) -> DataFrame:
+    """The n-th row of one beside the n-th of the other; the shorter one is filled up with nulls."""
+    a, b = (running_total(df, order, F.lit(1).cast("long"), "_n") for df, order in ((left, left_order), (right, right_order)))
+    return a.join(b, "_n", "full").drop("_n")
+
+
+def aligned(left: DataFrame, right: DataFrame, key: str, value: str, how) -> DataFrame:
+    """Arithmetic of two labelled series: key and value; a label that one lacks gives null."""
+    return left.select(key, F.col(value).alias("_a")).join(right.select(key, F.col(value).alias("_b")), key, "full").select(key, how(F.col("_a"), F.col("_b")).alias(value))
+
+
+def hashed_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """``n`` rows, those of the least hashes of key and seed: the same on each run and on any partitioning."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
+
+
+def fitted_scaling(train: DataFrame, rows: DataFrame, column: str, name: str, how: str = "minmax") -> DataFrame:
+    """``rows`` scaled by the least and greatest, or mean and deviation, of ``train``."""
+    lo, width = (F.min(column), F.max(column) - F.min(column)) if how == "minmax" else (F.avg(column), F.stddev_pop(column))
+    facts = train.agg(lo.alias("_lo"), width.alias("_width"))
+    return rows.crossJoin(F.broadcast(facts)).withColumn(name, (F.col(column) - F.col("_lo")) / F.nullif("_width", F.lit(0.0))).drop("_lo", "_width")  # one row
+
+
+def money(text: Column) -> Column:
+    """An amount written with a currency sign and thousands' commas; null if it isn't one."""
+    return F.regexp_replace(text, r"[$€£,\s]", "").try_cast("double")
+
+
+def reshaped(values: Column, width: int) -> Column:
+    """An array in rows of ``width``; the last may be shorter."""
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(width)), lambda i: i <= F.size(values))
+    return F.transform(starts, lambda i: F.slice(values, i, F.lit(width)))
+
+
+def transposed(rows: Column) -> Column:
+    """An array of equally long arrays, rows for columns."""
+    columns = F.filter(F.sequence(F.lit(1), F.greatest(F.size(F.get(rows, F.lit(0))), F.lit(1))), lambda i: i <= F.size(F.get(rows, F.lit(0))))
+    return F.transform(columns, lambda i: F.transform(rows, lambda r: F.try_element_at(r, i)))
+
+
+def gathered(values: Column, places: Column) -> Column:
+    """The elements at ``places`` (from 0); null beyond the ends."""
+    return F.transform(places, lambda i: F.get(values, i))
+
+
+def argsort(values: Column) -> Column:
+    """Places (from 0) of an array's elements in ascending order, the first of equals first."""
+    return F.transform(F.array_sort(F.transform(values, lambda x, i: F.struct(x.alias("x"), i.alias("i")))), lambda s: s["i"])
+
+
+def factorial(n: Column) -> Column:
+    """n! by a product over 1 to n, as double; null below 0."""
+    return F.when(n >= 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(1.0), lambda p, k: p * k))
+
+
+def primes_up_to(df: DataFrame, n: int) -> DataFrame:
+    """A sieve: numbers 2 to ``n`` that no multiple of a smaller number hits; each divisor writes its own multiples."""
+    numbers = df.sparkSession.range(2, n + 1)
+    multiples = df.sparkSession.range(2, int(n**0.5) + 1).select(F.explode(F.sequence(F.col("id") * F.col("id"), F.lit(n).cast("long"), F.col("id"))).alias("id"))
+    return numbers.join(multiples, "id", "left_anti").select(F.col("id").alias("prime"))

@@ -78,18 +78,20 @@ def lookup_array(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     return left.join(lists, left[left_key] == F.col("_k"), "left").drop("_k").withColumn(into, F.coalesce(into, F.array().cast(kind)))
 
 
-def hierarchy(nodes: DataFrame, node: str, parent: str, depth: int = 64) -> DataFrame:
+def hierarchy(nodes: DataFrame, node: str, parent: str, depth: int = 64, label: str | None = None) -> DataFrame:
     """Depth-first levels of a tree: node, level (from 1), path; roots have a null parent.
 
+    The path holds nodes, or their ``label``, by which siblings are then ordered.
+
     Level by level, as a recursive query does; a level is joined to the nodes by an equi-join. A cycle
     can't be reached from a root. Stops when a level is empty.
     """
     spark = nodes.sparkSession
-    nodes.select(F.col(node).alias("n"), F.col(parent).alias("p")).createOrReplaceTempView("_tree_nodes")
+    nodes.select(F.col(node).alias("n"), F.col(parent).alias("p"), F.col(label or node).alias("l")).createOrReplaceTempView("_tree_nodes")
     return spark.sql(
         f"""WITH RECURSIVE tree (n, level, path) MAX RECURSION LEVEL {depth} AS (
-            SELECT n, 1, array(n) FROM _tree_nodes WHERE p IS NULL
-            UNION ALL SELECT c.n, t.level + 1, array_append(t.path, c.n) FROM tree t JOIN _tree_nodes c ON c.p = t.n
+            SELECT n, 1, array(l) FROM _tree_nodes WHERE p IS NULL
+            UNION ALL SELECT c.n, t.level + 1, array_append(t.path, c.l) FROM tree t JOIN _tree_nodes c ON c.p = t.n
         ) SELECT n AS {node}, level, path FROM tree"""
     )
 
@@ -136,6 +138,42 @@ def cascade_delete(tables: list[tuple[DataFrame, str, str | None]], victims: Dat
     return out
 
 
+def delete_subtrees(nodes: DataFrame, node: str, parent: str, roots: DataFrame) -> DataFrame:
+    """``nodes`` without ``roots`` (column of ``node``) and all below them; a level at a time, until one is empty."""
+    gone = level = cut_lineage(nodes.select(node).join(roots.select(node).distinct(), node, "left_semi").distinct())
+    while True:
+        below = nodes.select(F.col(node).alias("_n"), F.col(parent).alias(node)).join(level, node, "left_semi").select(F.col("_n").alias(node)).distinct()
+        level = cut_lineage(below.join(gone, node, "left_anti"))
+        if level.isEmpty():
+            return nodes.join(gone, node, "left_anti")
+        gone = gone.union(level)
+
+
+def ancestors(edges: DataFrame, child: str, parent: str, of) -> DataFrame:
+    """ancestor and distance (from 1) of one node, parents of parents, until there are none; a cycle ends where it closes."""
+    found, at, distance = None, [of], 1
+    seen = {of}
+    while at:
+        rows = edges.where(F.col(child).isin(at)).where(F.col(parent).isNotNull()).select(F.col(parent).alias("ancestor")).distinct()
+        at = [r[0] for r in rows.collect() if r[0] not in seen]  # the parents of a node
+        seen.update(at)
+        step = edges.sparkSession.createDataFrame([(x, distance) for x in at], f"ancestor {edges.schema[parent].dataType.simpleString()}, distance int")
+        found, distance = step if found is None else found.union(step), distance + 1
+    return found
+
+
+def with_defaults(df: DataFrame, key: str, order: list[str], start: int, defaults: dict) -> DataFrame:
+    """What an insert trigger fills in: null keys get numbers of a sequence from ``start`` in ``order``, other columns their default."""
+    missing = next_values(df.where(F.col(key).isNull()), order, key, start)
+    return df.where(F.col(key).isNotNull()).unionByName(missing.select(*df.columns)).fillna(defaults)
+
+
+def adjusted_counts(counts: DataFrame, key: str, name: str, inserted: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Kept counts after rows came and went, from the changes alone; null keys count nowhere, new keys start at 0."""
+    changes = inserted.select(key, F.lit(1).alias("_d")).union(deleted.select(key, F.lit(-1))).where(F.col(key).isNotNull()).groupBy(key).agg(F.sum("_d").alias("_d"))
+    return counts.join(changes, key, "full").select(key, (F.coalesce(name, F.lit(0)) + F.coalesce("_d", F.lit(0))).cast("long").alias(name))
+
+
 def label_slice(df: DataFrame, order: str, first, last) -> DataFrame:
     """Rows from label ``first`` to label ``last``, both included."""
     return df.where(F.col(order).between(first, last))

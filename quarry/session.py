@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,11 +26,26 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **extra
     return SparkSession.builder.master(master).config(map=conf).getOrCreate()
 
 
+def _is_local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A path below ``spark.checkpoint.dir`` that doesn't exist yet; a local master without that setting gets a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not _is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = Path(tempfile.gettempdir(), "quarry-shared").as_uri()
+    return f"{root.rstrip('/')}/quarry-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` computed once, in the shared folder that ``spark.checkpoint.dir`` names; a local master without one gets a folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not (context.master == "local" or context.master.startswith("local[")):
+        if not _is_local(df.sparkSession):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
     return df.checkpoint()

@@ -62,9 +62,23 @@ def read_sections(lines: DataFrame, order: str = "line") -> DataFrame:
     return pair.select("section_no", "section", F.trim(F.substring_index("value", "=", 1)).alias("key"), F.trim(F.expr("substring(value, instr(value, '=') + 1)")).alias("value"))
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line: one row for each line of the files below ``path``."""
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+def read_whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """file and text: one row for each file below ``path``, which has to fit a row."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+
+
+def read_xml(spark: SparkSession, path: str, schema: str, row_tag: str) -> DataFrame:
+    return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
+
+
 def documents_from_json(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
-    """JSON text to columns; text that doesn't parse gives nulls."""
-    return lines.select(F.from_json(column, schema).alias("d")).select("d.*")
+    """Texts that are JSON arrays of documents, as many rows; a single document counts as an array of one, other text gives none."""
+    return lines.select(F.explode(F.from_json(column, f"array<struct<{schema}>>")).alias("d")).select("d.*")
 
 
 def html_text(html: Column) -> Column:
@@ -82,6 +96,27 @@ def relative_row(df: DataFrame, order: list, position: int) -> DataFrame:
     return df.orderBy(*keys).offset(abs(position) - 1).limit(1)
 
 
+def cursor_walk(df: DataFrame, order: list[str], moves: list[tuple[str, int]]) -> DataFrame:
+    """The rows a scrollable cursor reads: step (from 1) and the row's columns; a move beyond the ends reads none.
+
+    A move: first, last, next, prior, absolute (from 1, or from the end if negative) or relative, and its number.
+    """
+    total, at, places = df.count(), 0, []
+    for how, n in moves:
+        at = {"first": 1, "last": total, "next": at + 1, "prior": at - 1, "absolute": n if n >= 0 else total + 1 + n, "relative": at + n}[how]
+        at = max(0, min(at, total + 1))
+        places.append(at)
+    numbered = running_total(df, order, F.lit(1).cast("long"), "_n")
+    wanted = df.sparkSession.createDataFrame([(k, p) for k, p in enumerate(places, 1)], "step int, _n long")
+    return numbered.join(F.broadcast(wanted), "_n").drop("_n")  # a row for each move
+
+
+def catalog_of(spark: SparkSession, names: tuple[str, ...]) -> DataFrame:
+    """table_name, position (from 1) and column_name of tables and views that the session's catalog knows."""
+    rows = [(n, k, c.name) for n in names if spark.catalog.tableExists(n) for k, c in enumerate(spark.catalog.listColumns(n), 1)]
+    return spark.createDataFrame(rows, "table_name string, position int, column_name string")
+
+
 def catalog_columns(df: DataFrame, table: str) -> DataFrame:
     """Introspection: table, position, column, type of each column."""
     rows = [(table, k, f.name, f.dataType.simpleString()) for k, f in enumerate(df.schema.fields, 1)]
