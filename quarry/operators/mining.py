@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import count
 
@@ -139,3 +140,115 @@ def outranking(alternatives: DataFrame, criteria: dict[str, dict], majority: flo
     vetoed = reduce(lambda x, y: x | y, [against[c] >= s["v"] for c, s in criteria.items() if s.get("v") is not None] or [F.lit(False)])
     pairs = a.crossJoin(broadcast_if_small(b)).where("a != b")
     return pairs.select("a", "b", concordance.alias("concordance"), vetoed.alias("vetoed"), ((concordance >= majority) & ~vetoed).alias("outranks"))
+
+
+def one_hot_baskets(rows: DataFrame, basket: str, item: str, items: list[str]) -> DataFrame:
+    """A row for each basket with a 0/1 column for each of ``items``."""
+    return rows.groupBy(basket).agg(*[F.max(F.when(F.col(item) == x, 1).otherwise(0)).alias(x) for x in items])
+
+
+def elbow(costs: DataFrame, k: str = "k", cost: str = "cost") -> DataFrame:
+    """``costs`` (a row for each k) with each point's distance from the line between the ends, and the second difference of costs."""
+    ends = costs.agg(F.min(F.struct(k, cost)).alias("a"), F.max(F.struct(k, cost)).alias("b"))
+    rows = costs.crossJoin(F.broadcast(ends))  # one row
+    run, rise = F.col("b")[k] - F.col("a")[k], F.col("b")[cost] - F.col("a")[cost]
+    distance = F.abs(rise * (F.col(k) - F.col("a")[k]) - run * (F.col(cost) - F.col("a")[cost])) / F.sqrt(rise * rise + run * run)
+    w = W.orderBy(k)  # over a row for each k
+    return rows.select(k, cost, distance.alias("distance"), (F.lead(cost).over(w) - 2 * F.col(cost) + F.lag(cost).over(w)).alias("second_difference"))
+
+
+def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Agreement of two clusterings beyond chance, from their contingency counts: ari, one row."""
+    pairs = lambda c: F.sum(c * (c - 1) / 2)
+    cells = df.groupBy(a, b).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    rows = cells.groupBy(a).agg(F.sum("n").alias("n")).agg(pairs(F.col("n")).alias("r"))
+    columns = cells.groupBy(b).agg(F.sum("n").alias("n")).agg(pairs(F.col("n")).alias("c"))
+    both = cells.agg(pairs(F.col("n")).alias("i"), F.sum("n").alias("t"))
+    one = both.crossJoin(rows).crossJoin(columns)  # one row each
+    chance = F.col("r") * F.col("c") / (F.col("t") * (F.col("t") - 1) / 2)
+    return one.select(F.try_divide(F.col("i") - chance, (F.col("r") + F.col("c")) / 2 - chance).alias("ari"))
+
+
+def davies_bouldin(df: DataFrame, columns: list[str], cluster: str) -> DataFrame:
+    """The mean over clusters of the worst ratio of spreads to the distance of centres: davies_bouldin, one row."""
+    centres = df.groupBy(cluster).agg(*[F.avg(c).alias(f"_{c}") for c in columns])
+    apart = lambda x, y: F.sqrt(reduce(lambda p, q: p + q, [F.pow(F.col(x(c)) - F.col(y(c)), 2) for c in columns]))
+    spread = df.join(broadcast_if_small(centres), cluster).groupBy(cluster).agg(F.avg(apart(lambda c: c, lambda c: f"_{c}")).alias("s"))
+    full = centres.join(spread, cluster)  # a row for each cluster
+    other = full.select(F.col(cluster).alias("_other"), F.col("s").alias("s2"), *[F.col(f"_{c}").alias(f"_o{c}") for c in columns])
+    pairs = full.join(other, F.col(cluster) != F.col("_other"))
+    worst = pairs.groupBy(cluster).agg(F.max((F.col("s") + F.col("s2")) / apart(lambda c: f"_{c}", lambda c: f"_o{c}")).alias("worst"))
+    return worst.agg(F.avg("worst").alias("davies_bouldin"))
+
+
+def clamped_bayes(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """Class priors and plain shares of 0/1 features, 0 and 1 clamped to .01 and .99: label, prior, p_<feature>."""
+    clamp = lambda p: F.when(p == 0, 0.01).when(p == 1, 0.99).otherwise(p)
+    total = df.agg(F.count(F.lit(1)).alias("_t"))
+    per = df.groupBy(F.col(target).alias("label")).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(f).alias(f"_{f}") for f in features])
+    return per.crossJoin(F.broadcast(total)).select("label", (F.col("_n") / F.col("_t")).alias("prior"), *[clamp(F.col(f"_{f}")).alias(f"p_{f}") for f in features])  # one row
+
+
+def gaussian_likelihoods(train: DataFrame, rows: DataFrame, key: str, features: list[str], target: str) -> DataFrame:
+    """key, label and joint: each class's prior times the normal densities of the features, not normalised.
+
+    Deviations are of the population; the model is a row for each class.
+    """
+    total = train.count()
+    model = train.groupBy(F.col(target).alias("label")).agg(F.count(F.lit(1)).alias("_n"), *[e.alias(f"{p}{f}") for f in features for p, e in (("_m", F.avg(f)), ("_s", F.stddev_pop(f)))])
+    log = lambda f: -F.log(F.col(f"_s{f}") * math.sqrt(2 * math.pi)) - F.pow((F.col(f) - F.col(f"_m{f}")) / F.col(f"_s{f}"), 2) / 2
+    joint = reduce(lambda a, b: a + b, [log(f) for f in features]) + F.log(F.col("_n") / total)
+    return rows.crossJoin(broadcast_if_small(model)).select(key, "label", F.exp(joint).alias("joint"))
+
+
+def full_covariance_posterior(train: DataFrame, rows: DataFrame, key: str, x: str, y: str, target: str) -> DataFrame:
+    """key, label and p: posteriors of two features under a normal distribution with full covariance for each class."""
+    total = train.count()
+    model = train.groupBy(F.col(target).alias("label")).agg(F.count(F.lit(1)).alias("_n"), F.avg(x).alias("_mx"), F.avg(y).alias("_my"), F.var_pop(x).alias("_vx"), F.var_pop(y).alias("_vy"), F.covar_pop(x, y).alias("_c"))
+    det = F.col("_vx") * F.col("_vy") - F.col("_c") * F.col("_c")
+    dx, dy = F.col(x) - F.col("_mx"), F.col(y) - F.col("_my")
+    form = (F.col("_vy") * dx * dx - 2 * F.col("_c") * dx * dy + F.col("_vx") * dy * dy) / det
+    joint = F.col("_n") / total * F.exp(-form / 2) / (2 * math.pi * F.sqrt(det))
+    scored = rows.crossJoin(broadcast_if_small(model)).select(key, "label", joint.alias("_j"))
+    sums = scored.groupBy(key).agg(F.sum("_j").alias("_all"))
+    return scored.join(sums, key).select(key, "label", F.try_divide("_j", "_all").alias("p"))
+
+
+def undersampled(df: DataFrame, target: str, key: str, seed: int = 1) -> DataFrame:
+    """As many rows of each class as the smallest has: those of the least hashes of key and seed."""
+    least = df.groupBy(target).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0] or 0
+    order = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    return running_rank(df.withColumn("_order", order), target, ["_order", key], "_rank").where(F.col("_rank") <= least).drop("_rank", "_order")
+
+
+def oversampled(df: DataFrame, target: str, key: str) -> DataFrame:
+    """Rows of each class repeated in order of ``key`` until it has as many as the largest; ``copy`` counts from 0."""
+    sizes = df.groupBy(target).agg(F.count(F.lit(1)).alias("_n"))
+    most = sizes.agg(F.max("_n")).first()[0] or 0
+    ranked = running_rank(df, target, [key], "_rank").join(broadcast_if_small(sizes), target)
+    copies = F.sequence(F.lit(0).cast("long"), F.floor((F.lit(most) - F.col("_rank")) / F.col("_n")))
+    return ranked.withColumn("copy", F.explode(copies)).drop("_rank", "_n")
+
+
+def running_rank(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """Numbers from 1 within each value of ``group`` (few values), by ranges of all rows, so a large group lies in many."""
+    numbered = running_total(df, [group, *order], F.lit(1).cast("long"), "_all")
+    first = numbered.groupBy(F.col(group).alias("_g")).agg(F.min("_all").alias("_first"))
+    return numbered.join(broadcast_if_small(first), F.col(group).eqNullSafe(F.col("_g"))).withColumn(name, F.col("_all") - F.col("_first") + 1).drop("_all", "_g", "_first")
+
+
+def uncorrelated(df: DataFrame, columns: list[str], most: float) -> list[str]:
+    """``columns`` without those that correlate over ``most``, either way, with one kept before."""
+    pairs = {(a, b): F.abs(F.corr(F.col(a).cast("double"), F.col(b).cast("double"))) for i, a in enumerate(columns) for b in columns[i + 1 :]}
+    found = df.agg(*[e.alias(f"{a}|{b}") for (a, b), e in pairs.items()]).first().asDict()
+    kept: list[str] = []
+    for c in columns:
+        if all((found[f"{k}|{c}"] or 0.0) <= most for k in kept):
+            kept.append(c)
+    return kept
+
+
+def mutual_information(df: DataFrame, target: str, features: list[str]) -> DataFrame:
+    """feature and gain in bits about the target, from grouped counts; a row for each feature."""
+    parts = [information_gain(df, target, f).select(F.lit(f).alias("feature"), "gain") for f in features]
+    return reduce(lambda a, b: a.unionByName(b), parts)

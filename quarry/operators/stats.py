@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+
+import numpy as np
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,7 +17,7 @@ EPSILON = 1e-9
 
 
 def classification_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """accuracy, and macro precision, recall, specificity, f1, g_mean, balanced_accuracy: one row, from the confusion counts."""
+    """accuracy, macro precision, recall, specificity, f1, g_mean, balanced_accuracy, and micro averages: one row, from the confusion counts."""
     cells = df.groupBy(F.col(actual).alias("a"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     total = cells.agg(F.sum("n").alias("total"))
     hit = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0.0))
@@ -27,6 +30,7 @@ def classification_metrics(df: DataFrame, actual: str, predicted: str) -> DataFr
     return per.agg(
         (F.sum("tp") / F.max("total")).alias("accuracy"), F.avg(precision).alias("precision"), F.avg(recall).alias("recall"), F.avg(specificity).alias("specificity"),
         F.avg(2 * precision * recall / (precision + recall + EPSILON)).alias("f1"), F.exp(F.avg(F.log(F.greatest(recall, F.lit(EPSILON))))).alias("g_mean"), F.avg((recall + specificity) / 2).alias("balanced_accuracy"),
+        (F.sum("tp") / (F.sum("tp") + F.sum("fp") + EPSILON)).alias("micro_precision"), (F.sum("tp") / (F.sum("tp") + F.sum("fn") + EPSILON)).alias("micro_recall"), (2 * F.sum("tp") / (2 * F.sum("tp") + F.sum("fp") + F.sum("fn") + EPSILON)).alias("micro_f1"),
     )
 
 
@@ -109,3 +113,83 @@ def roll_up_tree(rooms: DataFrame, building: str, floor: str, area: str, volume:
     """Rooms to floors to buildings: areas and volumes add up; a floor's light is by area and its energy by volume; a building's are the plain means of its floors'."""
     floors = rooms.groupBy(building, floor).agg(F.sum(area).alias("area"), F.sum(volume).alias("volume"), (F.sum(light) / F.sum(area)).alias("light"), (F.sum(energy) / F.sum(volume)).alias("energy"))
     return floors.groupBy(building).agg(F.sum("area").alias("area"), F.sum("volume").alias("volume"), F.avg("light").alias("light"), F.avg("energy").alias("energy"))
+
+
+def least_squares(df: DataFrame, y: str, xs: list[str]) -> tuple[list[float], np.ndarray, dict[str, float]]:
+    """Coefficients (intercept first), the inverse of X'X, and n, sse, ssr and sst, from one aggregation of cross products."""
+    terms = [F.lit(1.0), *[F.col(x).cast("double") for x in xs], F.col(y).cast("double")]
+    k = len(terms)
+    row = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*xs, y]])).agg(*[F.coalesce(F.sum(terms[i] * terms[j]), F.lit(0.0)).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+    s = np.array([[row[f"s{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+    inverse = np.linalg.inv(s[:-1, :-1])
+    b = inverse @ s[:-1, -1]
+    sst = s[-1, -1] - s[0, -1] ** 2 / s[0, 0]
+    sse = max(0.0, s[-1, -1] - float(b @ s[:-1, -1]))
+    return b.tolist(), inverse, {"n": float(s[0, 0]), "sse": sse, "ssr": float(sst - sse), "sst": float(sst)}
+
+
+def regression_table(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
+    """factor, coefficient, t, and the whole fit's r2, f, sse and ssr: a row for the intercept and each factor."""
+    b, inverse, fit = least_squares(df, y, xs)
+    free = fit["n"] - len(b)
+    s2 = fit["sse"] / free
+    f = fit["ssr"] / len(xs) / s2
+    rows = [(name, b[k], b[k] / math.sqrt(s2 * inverse[k, k]), fit["ssr"] / fit["sst"], f, fit["sse"], fit["ssr"]) for k, name in enumerate(["intercept", *xs])]
+    return df.sparkSession.createDataFrame([tuple(map(lambda v: float(v) if not isinstance(v, str) else v, r)) for r in rows], "factor string, coefficient double, t double, r2 double, f double, sse double, ssr double")
+
+
+def influence_of_many(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
+    """leverage, standardised residual, Cook's distance and DFFITS of each row of a regression on any number of factors."""
+    b, inverse, fit = least_squares(df, y, xs)
+    terms = [F.lit(1.0), *[F.col(x).cast("double") for x in xs]]
+    p, s2 = len(b), fit["sse"] / (fit["n"] - len(b))
+    h = reduce(lambda u, v: u + v, [terms[i] * terms[j] * float(inverse[i, j]) for i in range(p) for j in range(p)])
+    e = F.col(y) - reduce(lambda u, v: u + v, [t * float(c) for t, c in zip(terms, b, strict=True)])
+    out = df.withColumns({"leverage": h, "_e": e}).withColumn("residual", F.col("_e") / F.sqrt(s2 * (1 - F.col("leverage"))))
+    without = ((fit["n"] - p) * s2 - F.pow("_e", F.lit(2)) / (1 - F.col("leverage"))) / (fit["n"] - p - 1)
+    t = F.col("_e") / F.sqrt(without * (1 - F.col("leverage")))
+    return out.withColumns({"cooks_distance": F.pow("residual", F.lit(2)) / p * F.col("leverage") / (1 - F.col("leverage")), "dffits": t * F.sqrt(F.col("leverage") / (1 - F.col("leverage")))}).drop("_e")
+
+
+def stored_metrics(df: DataFrame, tp: str, fp: str, fn: str, tn: str) -> DataFrame:
+    """``df`` with accuracy, precision, recall, specificity and f1 from its columns of counts."""
+    precision, recall = F.col(tp) / (F.col(tp) + F.col(fp) + EPSILON), F.col(tp) / (F.col(tp) + F.col(fn) + EPSILON)
+    return df.withColumns({
+        "accuracy": (F.col(tp) + F.col(tn)) / (F.col(tp) + F.col(fp) + F.col(fn) + F.col(tn)), "precision": precision, "recall": recall,
+        "specificity": F.col(tn) / (F.col(tn) + F.col(fp) + EPSILON), "f1": 2 * precision * recall / (precision + recall + EPSILON),
+    })
+
+
+def cross_validated(df: DataFrame, y: str, x: str, fold: str) -> DataFrame:
+    """fold and mae: for each fold the error of the line that all other folds' sums give."""
+    sums = {"n": F.count(F.lit(1)), "x": F.sum(x), "y": F.sum(y), "xx": F.sum(F.col(x) * F.col(x)), "xy": F.sum(F.col(x) * F.col(y))}
+    per = df.groupBy(F.col(fold).alias("_f")).agg(*[e.cast("double").alias(f"_{k}") for k, e in sums.items()])  # a row for each fold
+    total = per.agg(*[F.sum(f"_{k}").alias(f"_t{k}") for k in sums])
+    rest = per.crossJoin(F.broadcast(total)).select("_f", *[(F.col(f"_t{k}") - F.col(f"_{k}")).alias(f"_{k}") for k in sums])
+    slope = (F.col("_n") * F.col("_xy") - F.col("_x") * F.col("_y")) / (F.col("_n") * F.col("_xx") - F.col("_x") * F.col("_x"))
+    lines = rest.select("_f", slope.alias("_b"), ((F.col("_y") - slope * F.col("_x")) / F.col("_n")).alias("_a"))
+    return df.join(F.broadcast(lines), F.col(fold) == F.col("_f")).groupBy(fold).agg(F.avg(F.abs(F.col(y) - F.col("_a") - F.col("_b") * F.col(x))).alias("mae"))
+
+
+def peaks(amplitudes: DataFrame, n: int, least: float = 0.0, k: str = "k", amplitude: str = "amplitude") -> DataFrame:
+    """The ``n`` greatest local maxima of a spectrum (a row a frequency) of at least ``least``."""
+    w = W.orderBy(k)
+    tops = amplitudes.withColumns({"_l": F.lag(amplitude).over(w), "_r": F.lead(amplitude).over(w)}).where((F.col(amplitude) >= least) & (F.col(amplitude) > F.coalesce("_l", F.lit(-1.0))) & (F.col(amplitude) > F.coalesce("_r", F.lit(-1.0))))
+    return tops.drop("_l", "_r").orderBy(F.desc(amplitude), k).limit(n)
+
+
+def notched(series: DataFrame, order: str, value: str, k: int) -> DataFrame:
+    """A short series without its frequency ``k`` (0 < k < half the points): order, value, filtered."""
+    points = series.select(order, F.col(value).cast("double").alias(value), (F.row_number().over(W.orderBy(order)) - 1).alias("_t"), F.count(F.lit(1)).over(W.partitionBy()).alias("_n"))
+    angle = 2 * math.pi * k * F.col("_t") / F.col("_n")
+    parts = points.agg((2 * F.avg(F.col(value) * F.cos(angle))).alias("_a"), (2 * F.avg(F.col(value) * F.sin(angle))).alias("_b"))
+    return points.crossJoin(F.broadcast(parts)).select(order, value, (F.col(value) - F.col("_a") * F.cos(angle) - F.col("_b") * F.sin(angle)).alias("filtered"))  # one row
+
+
+def harmonic_product(amplitudes: DataFrame, harmonics: int, k: str = "k", amplitude: str = "amplitude") -> DataFrame:
+    """k and product: amplitudes at k, 2 k and so on multiplied, where all are in the spectrum; k from 1."""
+    out = amplitudes.where(F.col(k) > 0).select(k, F.col(amplitude).alias("product"))
+    for h in range(2, harmonics + 1):
+        higher = amplitudes.where(F.col(k) % h == 0).select((F.col(k) / h).cast("int").alias(k), F.col(amplitude).alias("_a"))
+        out = out.join(higher, k).select(k, (F.col("product") * F.col("_a")).alias("product"))
+    return out

@@ -25,9 +25,9 @@ def describe(t: Tables):
     return d.select("column", "n", *[rounded(F.col(c), 4).alias(c) for c in ("mean", "std", "min", "q25", "median", "q75", "max")])
 
 
-@query("null_profile", "SELECT unnest(['c_mktsegment', 'c_nationkey']) AS \"column\", unnest([0, 0])::BIGINT AS nulls, unnest([(SELECT count(DISTINCT c_mktsegment) FROM customer), (SELECT count(DISTINCT c_nationkey) FROM customer)]) AS distinct_values")
+@query("null_profile", "WITH h AS (SELECT nullif(c_mktsegment, 'BUILDING') AS s, CASE WHEN c_nationkey <= 20 THEN c_nationkey END AS k FROM customer) SELECT 's' AS \"column\", count(*) - count(s) AS nulls, count(DISTINCT s) AS distinct_values FROM h UNION ALL SELECT 'k', count(*) - count(k), count(DISTINCT k) FROM h")
 def null_profile(t: Tables):
-    return E.null_profile(t.customer, ["c_mktsegment", "c_nationkey"])
+    return E.null_profile(t.customer.select(F.nullif("c_mktsegment", F.lit("BUILDING")).alias("s"), F.when(F.col("c_nationkey") <= 20, F.col("c_nationkey")).alias("k")), ["s", "k"])
 
 
 @query("value_counts_norm", "SELECT o_orderpriority, count(*) AS n, round(count(*) / (SELECT count(*) FROM orders), 6) AS share FROM orders GROUP BY 1")
@@ -205,15 +205,22 @@ def chunks(t: Tables):
     return t.documents.select("doc_id", F.posexplode(X.chunks(F.col("text"), 1000, 200)).alias("i", "chunk"))
 
 
-@query("extractive_summary")
+STOP_WORDS = ("and", "de", "der", "die", "el", "in", "is", "la", "le", "les", "of", "que", "the", "to", "und")
+
+
+SENTENCES = r"list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '')"
+
+
+@query("extractive_summary", rf"WITH p AS (SELECT doc_id, {SENTENCES} AS ss FROM documents), q AS (SELECT doc_id, unnest(ss) AS sentence, CAST(generate_subscripts(ss, 1) - 1 AS INTEGER) AS position FROM p), w AS (SELECT doc_id, position, unnest(regexp_extract_all(lower(sentence), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM q), k AS (SELECT * FROM w WHERE term NOT IN {STOP_WORDS}), f AS (SELECT doc_id, term, count(*) AS tf FROM k GROUP BY 1, 2), s AS (SELECT doc_id, position, CAST(sum(tf) AS BIGINT) AS score FROM k JOIN f USING (doc_id, term) GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, position) AS best FROM s) SELECT doc_id, position, score, md5(sentence) AS sentence_md5, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY best DESC) AS INTEGER) AS rank FROM b JOIN q USING (doc_id, position) WHERE best <= 2")
 def extractive_summary(t: Tables):
-    return T.summaries(t.documents, 2)
+    found = T.summaries(t.documents, 2, stop_words=list(STOP_WORDS))
+    return found.select("doc_id", "position", "score", F.md5("sentence").alias("sentence_md5"), "rank")
 
 
-@query("lzw_round_trip", "SELECT doc_id, true AS same FROM documents")
+@query("lzw_round_trip", "SELECT doc_id, md5(text) AS text_md5, octet_length(encode(text)) > 0 AS has_codes FROM documents")
 def lzw_round_trip(t: Tables):
-    packed = t.documents.select("doc_id", "text", X.lzw_compress("text").alias("codes"))
-    return packed.select("doc_id", (X.lzw_decompress("codes") == F.col("text")).alias("same"))
+    packed = t.documents.select("doc_id", X.lzw_compress("text").alias("codes"))
+    return packed.select("doc_id", F.md5(X.lzw_decompress("codes")).alias("text_md5"), (F.size("codes") > 0).alias("has_codes"))
 
 
 @query("huffman_size")
@@ -284,9 +291,9 @@ def information_gain(t: Tables):
     return g.select(rounded(F.col("gain"), 8).alias("gain"), rounded(F.col("gain_ratio"), 8).alias("gain_ratio"))
 
 
-@query("best_split")
+@query("best_split", "WITH v AS (SELECT n_chars AS v, count(*)::DOUBLE AS n, sum(quality)::DOUBLE AS ones FROM documents JOIN labels USING (doc_id) GROUP BY 1), s AS (SELECT v, lead(v) OVER (ORDER BY v) AS nx, sum(n) OVER (ORDER BY v) AS ln, sum(ones) OVER (ORDER BY v) AS l1, sum(n) OVER () AS tn, sum(ones) OVER () AS t1 FROM v), h AS (SELECT (v + nx) / 2 AS threshold, ln, tn, l1 / ln AS a, (t1 - l1) / (tn - ln) AS b FROM s WHERE nx IS NOT NULL), e AS (SELECT threshold, (ln * (CASE WHEN a > 0 AND a < 1 THEN -a * log2(a) - (1 - a) * log2(1 - a) ELSE 0 END) + (tn - ln) * (CASE WHEN b > 0 AND b < 1 THEN -b * log2(b) - (1 - b) * log2(1 - b) ELSE 0 END)) / tn AS entropy FROM h) SELECT threshold, round(entropy, 8) AS entropy FROM e ORDER BY entropy, threshold LIMIT 1")
 def best_split(t: Tables):
-    return M.best_split(t.documents.join(t.labels, "doc_id").select("n_chars", "quality"), "n_chars", "quality")
+    return M.best_split(t.documents.join(t.labels, "doc_id").select("n_chars", "quality"), "n_chars", "quality").withColumn("entropy", rounded(F.col("entropy"), 8))
 
 
 @query("nb_bernoulli", "SELECT y AS label, round(count(*) / (SELECT count(*) FROM customer), 6) AS prior, round((sum(a) + 1) / (count(*) + 2), 6) AS p_a, round((sum(b) + 1) / (count(*) + 2), 6) AS p_b FROM (SELECT c_mktsegment AS y, CAST(c_acctbal > 0 AS INTEGER) AS a, CAST(c_nationkey < 10 AS INTEGER) AS b FROM customer) GROUP BY 1")
@@ -300,11 +307,11 @@ def kfold_assign(t: Tables):
     return M.stratified_folds(t.labels, "quality", "doc_id", 5).select("doc_id", "fold")
 
 
-@query("outranking")
+@query("outranking", "WITH s AS (SELECT c_mktsegment AS name, count(*) AS n, avg(c_acctbal) AS m FROM customer GROUP BY 1), p AS (SELECT a.name AS a, b.name AS b, b.n - a.n AS dn, a.m - b.m AS dm FROM s a JOIN s b ON a.name <> b.name) SELECT a, b, round((2 * CASE WHEN dn <= 5 THEN 1.0 WHEN dn > 30 THEN 0.0 ELSE (30 - dn) / 25.0 END + CASE WHEN dm <= 100 THEN 1.0 WHEN dm > 800 THEN 0.0 ELSE (800 - dm) / 700.0 END) / 3, 8) AS concordance, dn >= 200 OR dm >= 3000 AS vetoed, (2 * CASE WHEN dn <= 5 THEN 1.0 WHEN dn > 30 THEN 0.0 ELSE (30 - dn) / 25.0 END + CASE WHEN dm <= 100 THEN 1.0 WHEN dm > 800 THEN 0.0 ELSE (800 - dm) / 700.0 END) / 3 >= 0.7 AND NOT (dn >= 200 OR dm >= 3000) AS outranks FROM p")
 def outranking(t: Tables):
     criteria = {"n": {"gain": True, "weight": 2.0, "q": 5, "p": 30, "v": 200}, "m": {"gain": False, "weight": 1.0, "q": 100.0, "p": 800.0, "v": 3000.0}}
     alternatives = t.customer.groupBy(F.col("c_mktsegment").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.avg("c_acctbal").alias("m"))
-    return M.outranking(alternatives, criteria, 0.7)
+    return M.outranking(alternatives, criteria, 0.7).withColumn("concordance", rounded(F.col("concordance"), 8))
 
 
 # --- statistics ----------------------------------------------------------------------------------
@@ -331,7 +338,7 @@ def anova_f(t: Tables):
     return S.anova(t.events, "event_type", "value").withColumn("f", rounded(F.col("f"), 5))
 
 
-@query("classification_metrics", "WITH r AS (SELECT quality AS a, CAST(n_chars > 500 AS INTEGER) AS p FROM labels JOIN documents USING (doc_id)), c AS (SELECT k, sum(CAST(a = k AND p = k AS INTEGER)) AS tp, sum(CAST(a <> k AND p = k AS INTEGER)) AS fp, sum(CAST(a = k AND p <> k AS INTEGER)) AS fn, sum(CAST(a <> k AND p <> k AS INTEGER)) AS tn FROM r, (SELECT unnest([0, 1]) AS k) GROUP BY k), m AS (SELECT tp / (tp + fp + 1e-9) AS pr, tp / (tp + fn + 1e-9) AS re, tn / (tn + fp + 1e-9) AS sp FROM c) SELECT (SELECT round(avg(CAST(a = p AS INTEGER)), 6) FROM r) AS accuracy, round(avg(pr), 6) AS precision, round(avg(re), 6) AS recall, round(avg(sp), 6) AS specificity, round(avg(2 * pr * re / (pr + re + 1e-9)), 6) AS f1, round(exp(avg(ln(greatest(re, 1e-9)))), 6) AS g_mean, round(avg((re + sp) / 2), 6) AS balanced_accuracy FROM m")
+@query("classification_metrics", "WITH r AS (SELECT quality AS a, CAST(n_chars > 500 AS INTEGER) AS p FROM labels JOIN documents USING (doc_id)), c AS (SELECT k, sum(CAST(a = k AND p = k AS INTEGER)) AS tp, sum(CAST(a <> k AND p = k AS INTEGER)) AS fp, sum(CAST(a = k AND p <> k AS INTEGER)) AS fn, sum(CAST(a <> k AND p <> k AS INTEGER)) AS tn FROM r, (SELECT unnest([0, 1]) AS k) GROUP BY k), m AS (SELECT tp, fp, fn, tp / (tp + fp + 1e-9) AS pr, tp / (tp + fn + 1e-9) AS re, tn / (tn + fp + 1e-9) AS sp FROM c) SELECT (SELECT round(avg(CAST(a = p AS INTEGER)), 6) FROM r) AS accuracy, round(avg(pr), 6) AS precision, round(avg(re), 6) AS recall, round(avg(sp), 6) AS specificity, round(avg(2 * pr * re / (pr + re + 1e-9)), 6) AS f1, round(exp(avg(ln(greatest(re, 1e-9)))), 6) AS g_mean, round(avg((re + sp) / 2), 6) AS balanced_accuracy, round(sum(tp) / (sum(tp) + sum(fp) + 1e-9), 6) AS micro_precision, round(sum(tp) / (sum(tp) + sum(fn) + 1e-9), 6) AS micro_recall, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn) + 1e-9), 6) AS micro_f1 FROM m")
 def classification_metrics(t: Tables):
     rows = t.labels.join(t.documents, "doc_id").select(F.col("quality").alias("a"), (F.col("n_chars") > 500).cast("int").alias("p"))
     m = S.classification_metrics(rows, "a", "p")
@@ -349,9 +356,16 @@ def regression_errors(t: Tables):
     return e.select(rounded(F.col("mae"), 4).alias("mae"), rounded(F.col("mse"), 1).alias("mse"))
 
 
-@query("influence")
+INFLUENCE = "round(h, 8) AS leverage, round(e / sqrt(s2 * (1 - h)), 6) AS residual, round(pow(e, 2) / (s2 * (1 - h)) / {p} * h / (1 - h), 8) AS cooks_distance, round(e / sqrt((((n - {p}) * s2 - pow(e, 2) / (1 - h)) / (n - {p} - 1)) * (1 - h)) * sqrt(h / (1 - h)), 6) AS dffits"
+
+
+def influence_digits(df):
+    return df.select("p_partkey", *[rounded(F.col(c), d).alias(c) for c, d in (("leverage", 8), ("residual", 6), ("cooks_distance", 8), ("dffits", 6))])
+
+
+@query("influence", f"WITH f AS (SELECT count(*) AS n, avg(p_size) AS mx, avg(p_retailprice) AS my, var_pop(p_size) * count(*) AS sxx, covar_pop(p_size, p_retailprice) * count(*) AS sxy, var_pop(p_retailprice) * count(*) AS syy FROM part), r AS (SELECT p_partkey, n, (syy - sxy * sxy / sxx) / (n - 2) AS s2, 1 / n + pow(p_size - mx, 2) / sxx AS h, p_retailprice - my - sxy / sxx * (p_size - mx) AS e FROM part, f) SELECT p_partkey, {INFLUENCE.format(p=2)} FROM r")
 def influence(t: Tables):
-    return S.influence(t.part.select("p_partkey", "p_size", "p_retailprice"), "p_retailprice", "p_size")
+    return influence_digits(S.influence(t.part.select("p_partkey", "p_size", "p_retailprice"), "p_retailprice", "p_size"))
 
 
 @query("dft_daily", "WITH d AS (SELECT row_number() OVER (ORDER BY d) - 1 AS t, n, count(*) OVER () AS m FROM (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1)) SELECT CAST(k AS INTEGER) AS k, round(sqrt(pow(sum(n * cos(2 * pi() * k * t / m)), 2) + pow(sum(n * sin(2 * pi() * k * t / m)), 2)), 4) AS amplitude FROM d, (SELECT unnest(range(0, (SELECT max(m) FROM d) // 2 + 1)) AS k) GROUP BY 1")
@@ -397,10 +411,10 @@ def gaussian_bayes(t: Tables):
     return per.crossJoin(F.broadcast(n)).select("label", rounded(F.col("n") / F.col("rows")).alias("prior"), rounded(F.col("mean")).alias("mean"), rounded(F.col("sd")).alias("sd"))  # a one-row side
 
 
-@query("cluster_profile", "SELECT label, count(*) AS n, round(avg(embedding[1]::DOUBLE), 6) AS mean, round(min(embedding[1]::DOUBLE), 6) AS lo, round(max(embedding[1]::DOUBLE), 6) AS hi FROM embeddings GROUP BY 1")
+@query("cluster_profile", "SELECT label, count(*) AS n, round(avg(embedding[1]::DOUBLE), 6) AS mean, round(stddev_samp(embedding[1]::DOUBLE), 6) AS sd, round(min(embedding[1]::DOUBLE), 6) AS lo, round(max(embedding[1]::DOUBLE), 6) AS hi FROM embeddings GROUP BY 1")
 def cluster_profile(t: Tables):
     x = F.col("embedding")[0].cast("double")
-    return t.embeddings.groupBy("label").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg(x)).alias("mean"), rounded(F.min(x)).alias("lo"), rounded(F.max(x)).alias("hi"))
+    return t.embeddings.groupBy("label").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg(x)).alias("mean"), rounded(F.stddev_samp(x)).alias("sd"), rounded(F.min(x)).alias("lo"), rounded(F.max(x)).alias("hi"))
 
 
 @query("seeded_numbers")

@@ -97,14 +97,17 @@ def majority_baseline(t: Tables):
     return counts.orderBy(F.desc("n"), "label").limit(1).crossJoin(F.broadcast(total)).select("label", rounded(F.col("n") / F.col("all_rows")).alias("accuracy"))  # one row each
 
 
-@query("undersampled", "SELECT toxic, count(*) >= 1 AS kept FROM labels GROUP BY 1")
+@query("undersampled", "SELECT doc_id, toxic FROM (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY md5(doc_id || ':1'), doc_id) AS k FROM labels) WHERE k <= (SELECT min(n) FROM (SELECT count(*) AS n FROM labels GROUP BY toxic))")
 def undersampled(t: Tables):
-    shares = {r["toxic"]: r["n"] for r in t.labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each class
-    least = min(shares.values())
-    return t.labels.sampleBy("toxic", {k: least / n for k, n in shares.items()}, seed=1).groupBy("toxic").agg((F.count(F.lit(1)) >= 1).alias("kept"))
+    return M.undersampled(t.labels.select("doc_id", "toxic"), "toxic", "doc_id")
 
 
-@query("low_variance_features", "SELECT 'l_discount' AS feature UNION ALL SELECT 'l_tax'")
+@query("oversampled", "WITH s AS (SELECT toxic, count(*) AS n FROM labels GROUP BY 1), r AS (SELECT doc_id, toxic, n, row_number() OVER (PARTITION BY toxic ORDER BY doc_id) AS k FROM labels JOIN s USING (toxic)) SELECT doc_id, toxic, CAST(unnest(range(0, 1 + ((SELECT max(n) FROM s) - k) // n)) AS BIGINT) AS copy FROM r")
+def oversampled(t: Tables):
+    return M.oversampled(t.labels.select("doc_id", "toxic"), "toxic", "doc_id")
+
+
+@query("low_variance_features", "SELECT feature FROM (SELECT 'l_quantity' AS feature, var_samp(l_quantity) AS v FROM lineitem UNION ALL SELECT 'l_extendedprice', var_samp(l_extendedprice) FROM lineitem UNION ALL SELECT 'l_discount', var_samp(l_discount) FROM lineitem UNION ALL SELECT 'l_tax', var_samp(l_tax) FROM lineitem) WHERE v < 0.01")
 def low_variance_features(t: Tables):
     columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     one = t.lineitem.agg(*[F.var_samp(c).alias(c) for c in columns])
