@@ -98,3 +98,22 @@ def huffman_codes(counts: dict[str, int]) -> dict[str, str]:
         else:
             codes[node] = code
     return codes
+
+
+def tokens_without(stop_words: list[str], least: int = 2, stem: bool = False):
+    """A tokenizer: word tokens apart from ``stop_words``; with ``stem``, common English endings are cut off."""
+
+    def tokenize(text: Column) -> Column:
+        kept = F.filter(word_tokens(text, least), lambda w: ~w.isin(*stop_words))
+        return F.transform(kept, stemmed) if stem else kept
+
+    return tokenize
+
+
+#: Endings that ``stemmed`` cuts off where three letters at least stay; the longest that fits goes.
+ENDINGS = "ations|ation|ingly|edly|ings|ing|ness|ment|ies|ed|es|ly|s"
+
+
+def stemmed(word: Column) -> Column:
+    """A word without one common English ending: a crude stem, the same for the forms of a regular word."""
+    return F.regexp_replace(word, rf"^(\w{{3,}}?)(?:{ENDINGS})$", "$1")

@@ -34,7 +34,7 @@ def percentiles(df: DataFrame, column: str, shares: list[float]) -> list[float |
     for b in sorted(counts):
         first[b], base = base, base + counts[b]
     homes = {k: max(b for b in first if first[b] <= k) for k in wanted}
-    chosen = df.where(bin_.isin(sorted(set(homes.values())))).groupBy(bin_.alias("b"), x.alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    chosen = df.where(x.isNotNull() & bin_.isin(sorted(set(homes.values())))).groupBy(bin_.alias("b"), x.alias("x")).agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(W.partitionBy("b").orderBy("x"))
     ranked = chosen.withColumn("upto", upto)
     at: dict[int, float] = {}

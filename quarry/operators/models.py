@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, CountVectorizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, PCA, CountVectorizer, StringIndexer, VectorAssembler
 from pyspark.ml.fpm import FPGrowth
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import char_ngrams
+from quarry.functions.text import char_ngrams, tokens_without
 from quarry.session import cut_lineage
 
 CLASSIFIERS = {
@@ -84,17 +86,18 @@ def identify_language(train: DataFrame, rows: DataFrame, text: str = "text", lab
     return model.transform(grams(rows)).withColumn("predicted", F.element_at(names, F.col("prediction").cast("int") + 1)).drop("_grams", "_label", "features", "rawPrediction", "probability", "prediction")
 
 
-def density_clusters(points: DataFrame, eps: float, least: int, x: str = "x", y: str = "y", key: str = "id") -> DataFrame:
-    """DBSCAN of points in the plane: key and cluster (the least core key; null for noise).
+def density_clusters(points: DataFrame, eps: float, least: int, x: str = "x", y: str = "y", key: str = "id", more: list[str] = ()) -> DataFrame:
+    """DBSCAN of points in the plane, or with ``more`` columns in more dimensions: key and cluster (the least core key; null for noise).
 
-    Points are dealt into cells of width ``eps``; neighbours lie in the nine cells around, found by an
-    equi-join. Core points are joined to components by least labels, and the labels of those, until none changes;
+    Points are dealt into cells of width ``eps`` of the first two columns; neighbours lie in the nine cells
+    around, found by an equi-join. Core points are joined to components by least labels, and the labels of those, until none changes;
     others take a core neighbour's.
     """
-    cells = points.select(key, x, y, F.floor(F.col(x) / eps).alias("cx"), F.floor(F.col(y) / eps).alias("cy"))
+    cells = points.select(key, x, y, *more, F.floor(F.col(x) / eps).alias("cx"), F.floor(F.col(y) / eps).alias("cy"))
     around = F.explode(F.flatten(F.array(*[F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for j in (-1, 0, 1)]) for i in (-1, 0, 1)])))
-    spread = cells.select(F.col(key).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"), around.alias("c")).select("a", "ax", "ay", "c.cx", "c.cy")
-    near = spread.join(cells, ["cx", "cy"]).where(F.pow(F.col("ax") - F.col(x), 2) + F.pow(F.col("ay") - F.col(y), 2) <= eps * eps).select("a", F.col(key).alias("b"))
+    spread = cells.select(F.col(key).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"), *[F.col(m).alias(f"a_{m}") for m in more], around.alias("c")).select("a", "ax", "ay", *[f"a_{m}" for m in more], "c.cx", "c.cy")
+    apart = reduce(lambda p, q: p + q, [F.pow(F.col(f"a_{m}") - F.col(m), 2) for m in more], F.pow(F.col("ax") - F.col(x), 2) + F.pow(F.col("ay") - F.col(y), 2))
+    near = spread.join(cells, ["cx", "cy"]).where(apart <= eps * eps).select("a", F.col(key).alias("b"))
     core = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("a")
     edges = cut_lineage(near.join(core, "a").join(core.toDF("b"), "b").select("a", "b"))
     labels = core.select("a", F.col("a").alias("label"))
@@ -108,3 +111,32 @@ def density_clusters(points: DataFrame, eps: float, least: int, x: str = "x", y:
     border = near.join(labels.toDF("b", "label"), "b").groupBy("a").agg(F.min("label").alias("near_label"))
     own = points.select(key).join(labels.toDF(key, "label"), key, "left").join(border.withColumnRenamed("a", key), key, "left")
     return own.select(key, F.coalesce("label", "near_label").alias("cluster"))
+
+
+def identify_text(train: DataFrame, rows: DataFrame, text: str, label: str, how: str = "bayes", features: int = 1000, max_df: float = 1.0, stop_words: list[str] = ()) -> DataFrame:
+    """``rows`` with a column predicted: tf-idf of the ``features`` most frequent words, then Bayes, logistic regression or a linear SVC."""
+    words = lambda df: df.withColumn("_words", tokens_without(list(stop_words))(F.col(text)))
+    index = StringIndexer(inputCol=label, outputCol="_label", handleInvalid="keep")
+    kinds = {"bayes": NaiveBayes(labelCol="_label"), "logistic": LogisticRegression(labelCol="_label", maxIter=20), "svm": OneVsRest(classifier=LinearSVC(maxIter=20), labelCol="_label")}
+    steps = [index, CountVectorizer(inputCol="_words", outputCol="_tf", vocabSize=features, maxDF=max_df), IDF(inputCol="_tf", outputCol="features"), kinds[how]]
+    model = Pipeline(stages=steps).fit(words(train))
+    names = F.array(*[F.lit(x) for x in [*model.stages[0].labels, "unknown"]])
+    return model.transform(words(rows)).withColumn("predicted", F.element_at(names, F.col("prediction").cast("int") + 1)).select(*rows.columns, "predicted")
+
+
+def classification_report(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """label, precision, recall, f1 and support of each class, from the confusion counts."""
+    cells = df.groupBy(F.col(actual).alias("a"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    each = cells.withColumn("label", F.explode(F.array_distinct(F.array("a", "p"))))
+    part = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0.0))
+    a, p = F.col("a") == F.col("label"), F.col("p") == F.col("label")
+    per = each.groupBy("label").agg(part(a & p).alias("tp"), part(~a & p).alias("fp"), part(a).alias("support"))
+    precision, recall = F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), F.lit(0.0)), F.coalesce(F.try_divide("tp", "support"), F.lit(0.0))
+    f1 = F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
+    return per.select("label", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), F.col("support").cast("long").alias("support"))
+
+
+def accuracies(train: DataFrame, rows: DataFrame, columns: list[str], label: str, hows: list[str]) -> DataFrame:
+    """how and accuracy of several classifiers fitted on ``train``."""
+    parts = [classify(train, rows, columns, label, how).agg(F.lit(how).alias("how"), F.avg((F.col("prediction") == F.col(label)).cast("int")).alias("accuracy")) for how in hows]
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -137,3 +137,70 @@ def huffman_size(docs: DataFrame, text: str = "text") -> DataFrame:
     codes = huffman_codes({r["char"]: r["n"] for r in counts.collect()})  # one row for each distinct character
     table = docs.sparkSession.createDataFrame(list(codes.items()) or [("", "")], "char string, code string")
     return counts.join(F.broadcast(table), "char")
+
+
+def term_counts_by(docs: DataFrame, tokenizer, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Bag of words by a tokenizer of one's own, a function from a text column to an array column: key, term, tf."""
+    return docs.select(key, F.explode(tokenizer(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def matrix_facts(tf: DataFrame, key: str = "doc_id") -> DataFrame:
+    """documents, terms, nonzero cells, tokens and sparsity of a bag of words (key, term, tf): one row."""
+    one = tf.agg(F.count_distinct(key).alias("documents"), F.count_distinct("term").alias("terms"), F.count(F.lit(1)).alias("nonzero"), F.sum("tf").alias("tokens"))
+    return one.withColumn("sparsity", 1 - F.try_divide(F.col("nonzero"), F.col("documents").cast("double") * F.col("terms")))
+
+
+def vocabulary(tf: DataFrame, documents: int, max_features: int | None = None, max_df: float = 1.0, min_df: int = 1, key: str = "doc_id") -> DataFrame:
+    """term, df and n of terms in at least ``min_df`` documents and at most a share ``max_df``; of these the ``max_features`` most frequent, ties by term."""
+    terms = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * documents))
+    return terms if max_features is None else terms.orderBy(F.desc("n"), "term").limit(max_features)
+
+
+def bounded_sentences(docs: DataFrame, n: int, keep: list[str] = (), text: str = "text", begin: str = "<BOS>", end: str = "<EOS>") -> DataFrame:
+    """n-grams of words between marks of begin and end: columns w0, w1 and so on."""
+    marked = F.concat_ws(" ", F.lit(begin), F.col(text), F.lit(end))
+    return exploded_ngrams(docs.withColumn(text, marked), n, keep, text)
+
+
+def generated(counts: DataFrame, start: str, length: int) -> DataFrame:
+    """Text that a character model makes: from ``start``, always the most frequent next character, ties by character.
+
+    ``counts``: context, next, n. Only the best next character of each context is kept; text, one row.
+    """
+    spark = counts.sparkSession
+    best = counts.groupBy("context").agg(F.min_by("next", F.struct((-F.col("n")).alias("n"), F.col("next"))).alias("next"))
+    cut_lineage(best).createOrReplaceTempView("_best_next")
+    size = len(start)
+    return spark.sql(
+        f"""WITH RECURSIVE made (text, k) MAX RECURSION LEVEL {length + 1} AS (
+            SELECT '{start}', 0 UNION ALL SELECT concat(m.text, b.next), m.k + 1 FROM made m JOIN _best_next b ON b.context = right(m.text, {size}) WHERE m.k < {length}
+        ) SELECT max_by(text, k) AS text FROM made"""
+    )
+
+
+def indicators(docs: DataFrame, label: str, n: int, top: int, text: str = "text") -> DataFrame:
+    """label, gram, lift and rank: the character n-grams whose share among a label's is most above their share among all."""
+    grams = docs.select(label, F.explode(char_ngrams(F.lower(text), n)).alias("gram")).groupBy(label, "gram").agg(F.count(F.lit(1)).alias("c"))
+    grams = cut_lineage(grams)
+    totals = grams.groupBy(label).agg(F.sum("c").alias("t"))
+    overall = grams.groupBy("gram").agg(F.sum("c").alias("g"))
+    all_ = grams.agg(F.sum("c").alias("a"))
+    joined = grams.join(broadcast_if_small(totals), label).join(broadcast_if_small(overall), "gram").crossJoin(F.broadcast(all_))  # one row
+    lift = F.col("c") / F.col("t") - F.col("g") / F.col("a")
+    rank = F.row_number().over(W.partitionBy(label).orderBy(F.desc("lift"), "gram"))
+    return joined.select(label, "gram", lift.alias("lift")).withColumn("rank", rank.cast("int")).where(F.col("rank") <= top)
+
+
+def mean_word_vectors(docs: DataFrame, vectors: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, vector and words: the mean of the vectors (word, vector) of a document's words that have one, each as often as it occurs."""
+    counts = term_counts(docs, key, text).withColumnRenamed("term", "word")
+    parts = counts.join(broadcast_if_small(vectors), "word").select(key, "tf", F.posexplode("vector").alias("i", "x"))
+    means = parts.groupBy(key, "i").agg((F.sum(F.col("tf") * F.col("x").cast("double")) / F.sum("tf")).alias("x"), F.sum("tf").alias("words"))
+    return means.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vector"), F.max("words").alias("words"))
+
+
+def huffman_totals(docs: DataFrame, text: str = "text") -> DataFrame:
+    """symbols, characters, bits of the text by its Huffman code and by one of fixed length: one row."""
+    coded = huffman_size(docs, text)
+    one = coded.agg(F.count(F.lit(1)).alias("symbols"), F.sum("n").alias("characters"), F.sum(F.col("n") * F.length("code")).alias("bits"))
+    return one.withColumn("fixed_bits", (F.col("characters") * F.greatest(F.lit(1), F.ceil(F.log2("symbols")))).cast("long"))

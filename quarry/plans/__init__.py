@@ -1,6 +1,6 @@
 """All registered queries; importing the modules registers them."""
 
-from quarry.plans import analytics, files, frames, learning, models, relational, surface
+from quarry.plans import analytics, corpus, files, frames, learning, models, relational, streams, surface
 from quarry.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "files", "frames", "learning", "models", "relational", "surface"]
+__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "corpus", "files", "frames", "learning", "models", "relational", "streams", "surface"]

@@ -119,10 +119,10 @@ def rollup_tree(t: Tables):
     return out.select("building", rounded(F.col("area"), 2).alias("area"), F.col("volume").cast("long").alias("volume"), rounded(F.col("light"), 8).alias("light"), rounded(F.col("energy"), 8).alias("energy"))
 
 
-@query("nested_details", "SELECT o_orderkey, CAST(count(l_orderkey) AS BIGINT) AS n, min(l_linenumber) AS first_line FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+@query("nested_details", "SELECT o_orderkey, CAST(count(l_orderkey) AS BIGINT) AS n, string_agg(l_linenumber || ':' || CAST(l_quantity AS INTEGER), ',' ORDER BY l_linenumber, l_quantity) AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def nested_details(t: Tables):
     nested = sinks.nested_details(t.orders.select("o_orderkey"), t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity"), "o_orderkey", "lines", "l_linenumber")
-    return nested.select("o_orderkey", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n"), F.try_element_at("lines", F.lit(1))["l_linenumber"].alias("first_line"))
+    return nested.select("o_orderkey", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n"), F.array_join(F.transform("lines", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_quantity"].cast("int").cast("string"))), ",").alias("lines"))
 
 
 @query("packed_codes", "SELECT o_orderkey, lower(lpad(printf('%x', o_orderkey), 8, '0') || '0000002a') AS packed, o_orderkey + 42 AS total FROM orders")
@@ -178,9 +178,9 @@ def avg_word_len(t: Tables):
     return t.documents.select("lang", F.explode(F.split("text", " ")).alias("w")).groupBy("lang").agg(rounded(F.avg(F.length("w"))).alias("m"))
 
 
-@query("html_strip", r"""SELECT page_id, CAST(length(regexp_replace(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')), 'x^', '')) AS BIGINT) AS n, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages""")
+@query("html_strip", r"""SELECT page_id, md5(regexp_replace(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')), 'x^', '')) AS text_md5, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages""")
 def html_strip(t: Tables):
-    return t.pages.select("page_id", F.length(html_text(F.col("html"))).cast("long").alias("n"), F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"))
+    return t.pages.select("page_id", F.md5(html_text(F.col("html"))).alias("text_md5"), F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"))
 
 
 @query("url_params", r"SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_extract(url, '[?&]page=(\d+)', 1) AS page, nullif(split_part(url, '#', 2), '') AS fragment FROM pages")

@@ -80,10 +80,10 @@ def join_as_of(t: Tables):
     return R.as_of_join(signups, buys.withColumnRenamed("ts", "at"), "user_id", "ts", "at", "last_purchase").select("event_id", "last_purchase")
 
 
-@query("lookup_array", "SELECT n_nationkey, CAST(count(s_suppkey) AS BIGINT) AS n, min(s_suppkey) AS first_key FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey")
+@query("lookup_array", "SELECT n_nationkey, CAST(count(s_suppkey) AS BIGINT) AS n, coalesce(string_agg(s_suppkey || ':' || s_name, ',' ORDER BY s_suppkey), '') AS suppliers FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey")
 def lookup_array(t: Tables):
     joined = R.lookup_array(t.nation, t.supplier.select("s_nationkey", "s_suppkey", "s_name"), "n_nationkey", "s_nationkey", "suppliers")
-    return joined.select("n_nationkey", F.size("suppliers").cast("long").alias("n"), F.try_element_at("suppliers", F.lit(1))["s_suppkey"].alias("first_key"))
+    return joined.select("n_nationkey", F.size("suppliers").cast("long").alias("n"), F.array_join(F.transform("suppliers", lambda s: F.concat(s["s_suppkey"].cast("string"), F.lit(":"), s["s_name"])), ",").alias("suppliers"))
 
 
 @query("rule_grandparents", "WITH e AS (SELECT c_custkey AS child, c_custkey // 4 AS parent FROM customer WHERE c_custkey > 0) SELECT a.child, b.parent AS grandparent FROM e a JOIN e b ON a.parent = b.child")

@@ -1,7 +1,11 @@
-"""Event-time operators, the same functions on batch and streaming DataFrames."""
+"""Event-time operators. Windows and rules are the same functions on batch and streaming DataFrames; pairing and
+sessions by gap look at neighbouring rows, so a stream has functions of its own, which keep state."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,3 +60,56 @@ def append_audit(stream: DataFrame, path: str, checkpoint: str):
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_table_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
+    """A stream of the parquet files called ``name`` in ``folder``, with event time."""
+    return with_event_time(spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder))
+
+
+def paired_stream(stream: DataFrame, enter: str, leave: str, key: str = "user_id", kind: str = "event_type") -> DataFrame:
+    """``enter_leave_pairs`` of a stream: key, event_id of the enter event, entered, left_at.
+
+    The state of a key is its last enter event that nothing followed; a micro-batch's events of a key are
+    taken in order of time. Events of a key are to arrive in order from batch to batch.
+    """
+
+    def pairs(k: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+        held = state.get if state.exists else None
+        out = []
+        for event, at, what in zip(rows["event_id"], rows["ts"], rows[kind], strict=True):
+            if what == enter:
+                held = (int(event), at.to_pydatetime())
+            else:
+                if held is not None:
+                    out.append((k[0], held[0], held[1], at))
+                held = None
+        if held is not None:
+            state.update(held)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=[key, "event_id", "entered", "left_at"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    schema = f"{key} {kinds[key]}, event_id bigint, entered timestamp, left_at timestamp"
+    wanted = stream.where(stream[kind].isin(enter, leave)).select(key, "event_id", "ts", kind)
+    return wanted.groupBy(key).applyInPandasWithState(pairs, schema, "event_id bigint, entered timestamp", "append", "NoTimeout")
+
+
+def kept_counts(stream: DataFrame, keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
+    """Counts that the stream's state keeps; in update mode a micro-batch gives those that it changed."""
+    return stream.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """All that a stream gives for what is there now, with the micro-batch's number as column batch, as a table at ``path``."""
+
+    def write(part: DataFrame, number: int) -> None:
+        part.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields)
+    return spark.read.schema(f"{fields}, batch int").option("basePath", path).parquet(f"{path}/batch=*")
