@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of an Arrow batch sent to a Python worker, so that one batch of very long texts stays small.
-BATCH_BYTES = "4m"
+BATCH_BYTES, BATCH_ROWS = "4m", 4096
 #: Bytes of rows up to which a side of a join is broadcast; beyond, it is shuffled.
 BROADCAST_BYTES = 8 << 20
 
@@ -50,15 +50,26 @@ def stored(df: DataFrame, path: str | None = None, codec: str = "none") -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """``df`` with columns c0, c1 and so on: names with dots or backticks can't go through ``mapInArrow``."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def if_small(df: DataFrame, rows: int) -> DataFrame:
     """``df``, of ``rows`` rows of fixed-width columns and fingerprints, to be broadcast if it is surely below ``BROADCAST_BYTES``."""
     return F.broadcast(df) if rows * (16 + 32 * len(df.columns)) <= BROADCAST_BYTES else df
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with batches bounded by bytes, not only by rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    """``mapInArrow`` with batches bounded by bytes, not only by rows.
+
+    The bounds are settings of the session, read when the plan runs, so they stay set; a session's own
+    smaller number of rows is kept.
+    """
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(partial(_trimmed, f), schema)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from quarry.llm.common import WordIds, if_small, map_arrow, stored, table, text_or_empty
+from quarry.llm.common import WordIds, if_small, map_arrow, plain_names, stored, table, text_or_empty
 
 NGRAM = 5
 #: Link if 100 * intersection >= PERCENT * union.
@@ -393,7 +393,8 @@ def fingerprints(docs: DataFrame, name: str) -> DataFrame:
             fps = [fingerprint(shingle_set(t or "", words)) for t in b.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.binary())], [*b.schema.names, name])
 
-    return map_arrow(docs, run, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
+    plain = plain_names(docs)
+    return map_arrow(plain, run, StructType([*plain.schema.fields, StructField(name, BinaryType())])).toDF(*docs.columns, name)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

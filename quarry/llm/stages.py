@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, ngram_join, packing, toxicity
-from quarry.llm.common import free_names, if_small, map_arrow, stored, table
+from quarry.llm.common import free_names, if_small, map_arrow, plain_names, stored, table
 
 
 def _filtered(docs: DataFrame, keep) -> DataFrame:
@@ -24,7 +24,8 @@ def _filtered(docs: DataFrame, keep) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(keep([t or "" for t in b.column(place).to_pylist()]), pa.bool_()))
 
-    return map_arrow(docs, run, docs.schema)
+    plain = plain_names(docs)
+    return map_arrow(plain, run, plain.schema).toDF(*docs.columns)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
