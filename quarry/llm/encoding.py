@@ -24,7 +24,7 @@ WORDS_A_ROW = 400
 #: Bytes of a group of texts; a text is cut into more groups, between words, if it is longer.
 GROUP_BYTES = 1 << 18
 #: Longer parts are encoded each time. Parts and ids that the table holds at most, after which it starts anew.
-PART_BYTES, PARTS, POOL_IDS = 64, 3 << 19, 1 << 24
+PART_BYTES, PARTS, POOL_IDS = 64, 1 << 20, 1 << 23
 
 
 def _flags(values: bytes) -> np.ndarray:

@@ -31,7 +31,8 @@ def _filtered(docs: DataFrame, keep) -> DataFrame:
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted on those of them that have labels, doesn't reject."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return _filtered(docs, lambda texts: [model.probability(model.passages(t)[1]) < 0.5 for t in texts])
+    held = spark.sparkContext.broadcast(model)
+    return _filtered(docs, lambda texts: [held.value.probability(held.value.passages(t)[1]) < 0.5 for t in texts])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,8 +36,8 @@ WORD = re.compile(r"\w+")
 START_LENGTHS = range(4, 9)
 #: The most labelled documents a model is fitted on, those with the smallest hashes of their ids, and the most rows of one id.
 MAX_LABELLED, ROWS_OF_AN_ID = 20_000, 4
-#: Units in fewer labelled documents have the odds of their starts.
-MIN_DOCUMENTS = 4
+#: Units in fewer labelled documents, or in no toxic one and fewer clean ones, have the odds of their starts.
+MIN_DOCUMENTS, MIN_CLEAN = 4, 24
 #: Standard errors that a unit's log-odds must be apart from its prior's, the log-odds of words without a known start.
 Z, UNKNOWN_LOG_ODDS = 3.0, -2.0
 #: The share of plain words in a passage, the greatest score, the expected count of a significant passage.
@@ -168,8 +168,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     texts = labelled_texts(docs, labels, max_labelled)
     counts = map_arrow(texts, _unit_counts, "unit string, clean long, toxic long").groupBy("unit").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # All this is bounded by the labelled sample.
-    rows = counts.where((F.col("clean") + F.col("toxic") >= MIN_DOCUMENTS) | F.col("unit").isin("", "*")).collect()
-    found = {r["unit"]: (float(r["clean"]), float(r["toxic"])) for r in rows}
+    often = (F.col("toxic") > 0) & (F.col("clean") + F.col("toxic") >= MIN_DOCUMENTS) | (F.col("clean") >= MIN_CLEAN)
+    rows = counts.where(often | F.col("unit").isin("", "*")).toArrow()
+    found = dict(zip(rows["unit"].to_pylist(), zip(*(rows[c].cast("double").to_pylist() for c in ("clean", "toxic")), strict=True), strict=True))
     if min(found.get("", (0, 0))) == 0:
         return Model()
     model = unit_scores(found)
@@ -254,7 +255,10 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     repeated or not; null doc_id stays null. Whole texts are scanned, however long.
     """
 
+    held = docs.sparkSession.sparkContext.broadcast(model)  # unpacked once a worker, with the words it has scored
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
         span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())])
         for b in batches:
             found = [model.passages(t) for t in b.column(1).to_pylist()]
