@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterator
 
@@ -80,6 +81,16 @@ def lzw_decompress(codes: Column | str) -> Column:
     return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)(codes)
 
 
+def sha3_256(text: Column | str) -> Column:
+    """The SHA3-256 digest in hexadecimal, which no built-in function gives; null stays null."""
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            yield s.map(lambda x: None if x is None else hashlib.sha3_256(x.encode()).hexdigest())
+
+    return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)(text)
+
+
 def huffman_codes(counts: dict[str, int]) -> dict[str, str]:
     """A prefix code of least total length; ties by the smallest symbol below a node. One symbol gets "0"."""
     heap = [(n, c, c) for c, n in sorted(counts.items())]

@@ -21,6 +21,11 @@ sql_query("agg_filtered_regex", "SELECT event_type, count(*) AS n FROM {events}
           "SELECT event_type, count(*) AS n FROM events WHERE regexp_matches(event_type, '^(cl|vi)') OR (event_type NOT IN ('error', 'signup') AND value > 90) GROUP BY event_type")
 
 
+@query("hash_digests")
+def hash_digests(t: Tables):
+    return t.nation.select("n_name", F.sha2("n_name", 512).alias("sha512"), F.sha1("n_name").alias("sha1"), X.sha3_256(F.col("n_name")).alias("sha3"))
+
+
 @query("dedup_keep_last", "SELECT c_nationkey, c_mktsegment, max(c_custkey) AS c_custkey FROM customer GROUP BY 1, 2")
 def dedup_keep_last(t: Tables):
     return E.deduplicated(t.customer.select("c_nationkey", "c_mktsegment", "c_custkey"), ["c_nationkey", "c_mktsegment"], ["c_custkey"], "last")

@@ -17,6 +17,26 @@ def basket_onehot(t: Tables):
     return M.one_hot_baskets(t.lineitem, "l_orderkey", "l_returnflag", ["A", "N", "R"])
 
 
+FLAGS = "SELECT l_orderkey, list_sort(list_concat(list(DISTINCT l_returnflag), list(DISTINCT l_linestatus))) AS has FROM lineitem GROUP BY 1"
+SUBSETS = f"WITH b AS ({FLAGS}), m AS (SELECT unnest(range(1, 32)) AS m), s AS (SELECT m, list_filter(['A', 'F', 'N', 'O', 'R'], lambda x, i: (m >> (i - 1)::INTEGER) & 1 = 1) AS items FROM m), f AS (SELECT m, items, count(*) AS n, count(*) / (SELECT count(*) FROM b) AS s FROM s JOIN b ON list_has_all(has, items) GROUP BY 1, 2 HAVING count(*) >= 0.05 * (SELECT count(*) FROM b))"
+
+
+def flag_baskets(t: Tables):
+    return t.lineitem.select(F.col("l_orderkey").alias("basket"), F.explode(F.array("l_returnflag", "l_linestatus")).alias("item"))
+
+
+@query("itemsets_all_sizes", f"{SUBSETS} SELECT array_to_string(items, ',') AS items, n, round(s, 6) AS support FROM f")
+def itemsets_all_sizes(t: Tables):
+    sets = M.frequent_itemsets(flag_baskets(t), 0.05)
+    return sets.select(F.array_join("items", ",").alias("items"), "n", rounded(F.col("support")).alias("support"))
+
+
+@query("rules_all_sizes", f"{SUBSETS} SELECT array_to_string(a.items, ',') AS antecedent, array_to_string(c.items, ',') AS consequent, round(w.s, 6) AS support, round(w.s / a.s, 6) AS confidence, round(w.s / a.s / c.s, 6) AS lift FROM f w JOIN f a ON (a.m & w.m) = a.m AND a.m <> w.m JOIN f c ON c.m = w.m - a.m WHERE w.s / a.s >= 0.3")
+def rules_all_sizes(t: Tables):
+    rules = M.association_rules(M.frequent_itemsets(flag_baskets(t), 0.05), 0.3)
+    return rules.select(F.array_join("antecedent", ",").alias("antecedent"), F.array_join("consequent", ",").alias("consequent"), *[rounded(F.col(c)).alias(c) for c in ("support", "confidence", "lift")])
+
+
 COSTS = "SELECT k, sum(n * v) AS cost FROM (SELECT k, least(floor((p_retailprice - lo) / (hi - lo) * k), k - 1) AS b, count(*) AS n, var_pop(p_retailprice) AS v FROM part, (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part), (SELECT unnest(range(1, 11)) AS k) GROUP BY 1, 2) GROUP BY 1"
 
 

@@ -28,6 +28,13 @@ def kept_counts_stream(t: Tables):
     return changes.groupBy("event_type").agg(F.max_by("n", "batch").alias("n"))
 
 
+@query("audit_stream", "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
+def audit_stream(t: Tables):
+    path = shared_folder(t.spark)
+    ST.append_audit(event_stream(t), path, shared_folder(t.spark)).awaitTermination()
+    return t.spark.read.parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("value"), 2).alias("total"))
+
+
 @query("alarm_stream", "SELECT event_id, value FROM events WHERE event_type = 'error' AND value > 90")
 def alarm_stream(t: Tables):
     return drained(t, ST.alarms(event_stream(t), "error", 90)).select("event_id", "value")

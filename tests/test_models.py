@@ -1,5 +1,6 @@
 """Properties of queries and operators that SQL can't check."""
 
+import hashlib
 import math
 from collections import Counter, defaultdict
 
@@ -140,3 +141,9 @@ def test_text_report(spark):
 
 def test_kernel_outranks_the_rest(spark):
     assert 1 <= len(rows_of(spark, "outranking_kernel")) <= 5
+
+
+def test_digests(spark):
+    for r in rows_of(spark, "hash_digests"):
+        for name, digest in (("sha1", hashlib.sha1), ("sha512", hashlib.sha512), ("sha3", hashlib.sha3_256)):
+            assert r[name] == digest(r.n_name.encode()).hexdigest()
