@@ -239,19 +239,18 @@ class Transducer:
         out_state[order], out_count[order] = st, count
         return out_state, out_count
 
-    def _counts(self, texts: list[str]) -> np.ndarray:
+    def _counts(self, marked: list[str]) -> np.ndarray:
         if self.rows * self.width > self.entries:
             self._reset()
-        marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
         sizes = np.fromiter(map(len, marked), np.int64, len(marked))
         cps = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
         if not len(cps):
-            return np.zeros(len(texts), np.int64)
+            return np.zeros(len(marked), np.int64)
         classes = self._classes(cps)
         doc_start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         # Chunks: begin, end, document; the first boundary in each that its state map starts anew from.
         per_doc = -(-sizes // self.chunk)
-        doc = np.repeat(np.arange(len(texts)), per_doc)
+        doc = np.repeat(np.arange(len(marked)), per_doc)
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
         begin = doc_start[doc] + nth * self.chunk
         end = np.minimum(begin + self.chunk, doc_start[doc] + sizes[doc])
@@ -273,19 +272,45 @@ class Transducer:
             count[now] += n
             exit_state[now] = np.where(fixed[now], exit_state[now], s)
             done[now] = ready[now] = True
-        return np.bincount(doc, count, minlength=len(texts)).astype(np.int64)
+        return np.bincount(doc, count, minlength=len(marked)).astype(np.int64)
 
-    def counts(self, texts: list[str], group: int = 1_000_000) -> np.ndarray:
-        """Tokens of each text, in groups of about ``group`` characters."""
-        out, k = [np.zeros(0, np.int64)], 0
-        while k < len(texts):
-            n, size = k, 0
-            while n < len(texts) and (n == k or size + len(texts[n]) <= group):
-                size += len(texts[n])
+    def _pieces(self, text: str, group: int) -> Iterator[str]:
+        """A text as the model sees it, in pieces of about ``group`` characters that end at synchronising boundaries.
+
+        After such a boundary the state is the start, so pieces' counts add up. Text without any is one piece.
+        """
+        marked = SPACE + text.replace(" ", SPACE) if text else ""
+        k = 0
+        while k < len(marked):
+            n = min(k + group, len(marked))
+            while n < len(marked) and marked[n - 1 : n + 1] in self.v.pairs:
                 n += 1
-            out.append(self._counts(texts[k:n]))
+            yield marked[k:n]
             k = n
-        return np.concatenate(out)
+
+    def counts(self, texts: list[str], group: int = 1_000_000) -> np.ndarray:
+        """Tokens of each text, in groups of about ``group`` characters; a longer text goes through several."""
+        out = np.zeros(len(texts), np.int64)
+        held: list[str] = []
+        owners: list[int] = []
+        size = 0
+
+        def flush() -> None:
+            np.add.at(out, owners, self._counts(held))
+            held.clear()
+            owners.clear()
+
+        for k, text in enumerate(texts):
+            for piece in self._pieces(text, group):
+                if held and size + len(piece) > group:
+                    flush()
+                    size = 0
+                held.append(piece)
+                owners.append(k)
+                size += len(piece)
+        if held:
+            flush()
+        return out
 
 
 _compiled: dict[str, Transducer] = {}
