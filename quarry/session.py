@@ -42,10 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the shared folder that ``spark.checkpoint.dir`` names; a local master without one gets a folder."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not _is_local(df.sparkSession):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
-    return df.checkpoint()
+    """``df`` computed once: written as a table to the shared folder and read again, which also prunes columns."""
+    path = shared_folder(df.sparkSession)
+    df.write.option("compression", "lz4").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
