@@ -32,9 +32,9 @@ def row_struct_function(t: Tables):
     return rows.select("n_nationkey", F.coalesce("out.n", F.lit(0)).cast("long").alias("n"), rounded(F.col("out.top"), 4).alias("top"))
 
 
-@query("catalog_columns", "SELECT 'region' AS table_name, 1 AS position, 'r_regionkey' AS column_name, 'int' AS data_type UNION ALL SELECT 'region', 2, 'r_name', 'string'")
+@query("catalog_columns", "SELECT table_name, CAST(ordinal_position AS INTEGER) AS position, column_name, CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE lower(replace(data_type, 'TIMESTAMP', 'timestamp_ntz')) END AS data_type FROM information_schema.columns WHERE table_name IN ('customer', 'lineitem')")
 def catalog_columns(t: Tables):
-    return S.catalog_columns(t.region, "region")
+    return S.catalog_columns(t.customer, "customer").union(S.catalog_columns(t.lineitem, "lineitem"))
 
 
 @query("name_and_number", "SELECT p_partkey, p_brand AS name, p_size AS number FROM part")
