@@ -341,6 +341,39 @@ def test_ngram_join_near_copies_and_common_passages(spark, monkeypatch, hot, sma
     assert {tuple(r) for r in ngram_join.near_duplicates(df).collect()} == components_by_hand(rows)
 
 
+def test_signatures_lose_no_link_of_any_size():
+    """Sets of 2 to 500 tokens with mostly frequent ones, against what is left of them with others added."""
+    rng = np.random.default_rng(10)
+    frequent = np.sort(rng.integers(0, 2**63, 3000, dtype=np.uint64))
+    linked = 0
+    for _ in range(1500):
+        n = int(rng.integers(2, 500))
+        k = int(n * rng.choice([0, 0.5, 0.8, 0.9, 0.95, 1.0]))
+        a = np.unique(np.concatenate([rng.choice(frequent, k, replace=False), rng.integers(0, 2**63, n - k, dtype=np.uint64)]))
+        lost, added = int(rng.integers(0, len(a) // 5 + 1)), int(rng.integers(0, len(a) // 4 + 1))
+        kept = a[lost:] if rng.random() < 0.5 else rng.permutation(a)[lost:]
+        b = np.unique(np.concatenate([kept, rng.choice(frequent, added // 2, replace=False), rng.integers(0, 2**63, added - added // 2, dtype=np.uint64)]))
+        if not np.array_equal(a, b) and ngram_join.links(a, b):
+            linked += 1
+            for small, large in [sorted((a, b), key=len)] + [(b, a)] * (len(a) == len(b)):
+                sigs, lead = ngram_join.signatures(small, frequent)
+                assert np.intersect1d(sigs[lead], ngram_join.signatures(large, frequent)[0]).size
+    assert linked > 500
+
+
+def test_passages_too_small_to_link_are_not_compared():
+    """Sets of a frequent passage of 85 tokens and 15 of their own can't link, and no signature leads two of them."""
+    rng = np.random.default_rng(11)
+    passage = np.sort(rng.integers(0, 2**63, 85, dtype=np.uint64))
+    seen = Counter()
+    leads = set()
+    for _ in range(50):
+        sigs, lead = ngram_join.signatures(np.unique(np.concatenate([passage, rng.integers(0, 2**63, 15, dtype=np.uint64)])), passage)
+        seen.update(sigs.tolist())
+        leads |= set(sigs[lead].tolist())
+    assert max(seen.values()) == 50 and not any(seen[s] > 1 for s in leads)
+
+
 def test_signatures_lose_no_link():
     rng = np.random.default_rng(9)
     frequent = np.sort(rng.integers(0, 2**63, 400, dtype=np.uint64))
@@ -351,7 +384,8 @@ def test_signatures_lose_no_link():
         b = rng.permutation(a)[: len(a) - int(rng.integers(0, len(a) // 6 + 1))]
         b = np.unique(np.concatenate([b, rng.choice(frequent, int(rng.integers(0, len(a) // 8 + 1)), replace=False)]))
         if ngram_join.links(a, b):
-            assert np.intersect1d(ngram_join.signatures(a, frequent), ngram_join.signatures(b, frequent)).size
+            (small, lead), (large, _) = (ngram_join.signatures(s, frequent) for s in sorted((a, b), key=len))
+            assert np.intersect1d(small[lead], large).size
             assert ngram_join.may_link(len(a), ngram_join.parity(a), len(b), ngram_join.parity(b))
 
 
