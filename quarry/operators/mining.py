@@ -20,10 +20,10 @@ def frequent_itemsets(baskets: DataFrame, least: float, basket: str = "basket",
     Level by level: sets of k - 1 items that share all but the last are joined to candidates, candidates
     with an infrequent subset are pruned, and the rest are counted on baskets that hold them.
     """
-    # Like baskets are counted as one, and written once: all levels read them.
-    whole = baskets.where(F.col(item).isNotNull()).groupBy(basket).agg(F.sort_array(F.collect_set(item)).alias("has"))
+    # Like baskets are counted as one, and written once: all levels read them. One of nulls alone is empty, but counts.
+    whole = baskets.groupBy(basket).agg(F.sort_array(F.collect_set(item)).alias("has"))
     has = cut_lineage(whole.groupBy("has").agg(F.count(F.lit(1)).alias("times")))
-    total = baskets.select(basket).distinct().count()
+    total = has.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
     level = cut_lineage(has.select("times", F.explode("has").alias(item)).groupBy(item).agg(F.sum("times").alias("n")).where(F.col("n") >= least * total).select(F.array(item).alias("items"), "n"))
     held = has.select("has", "times", F.explode(F.transform("has", lambda x: F.array(x))).alias("items")).join(broadcast_if_small(level.select("items")), "items")
     found = level

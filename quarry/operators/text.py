@@ -11,14 +11,20 @@ from quarry.operators.relational import broadcast_if_small
 from quarry.session import cut_lineage
 
 
+def spread_out(docs: DataFrame) -> DataFrame:
+    """``docs`` dealt evenly to all cores where its files give fewer splits than cores; work on words costs more than that shuffle."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() <= cores else docs
+
+
 def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Bag of words: key, term, tf."""
-    return docs.select(key, F.explode(word_tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return spread_out(docs.select(key, text)).select(key, F.explode(word_tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def top_terms(docs: DataFrame, group: str, n: int, text: str = "text") -> DataFrame:
     """The ``n`` most frequent terms of each group, ties by term."""
-    counts = docs.select(group, F.explode(word_tokens(F.col(text))).alias("term")).groupBy(group, "term").agg(F.count(F.lit(1)).alias("n"))
+    counts = spread_out(docs.select(group, text)).select(group, F.explode(word_tokens(F.col(text))).alias("term")).groupBy(group, "term").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(W.partitionBy(group).orderBy(F.desc("n"), "term"))
     return counts.withColumn("rank", rank.cast("int")).where(F.col("rank") <= n)
 
@@ -37,7 +43,7 @@ def tfidf(docs: DataFrame, key: str = "doc_id", text: str = "text", max_df: floa
 def exploded_ngrams(docs: DataFrame, n: int, keep: list[str] = (), text: str = "text", sep: str = " ") -> DataFrame:
     """A row for each run of ``n`` neighbouring words: columns w0, w1 and so on, words as they are, without joining them."""
     size = F.greatest(F.size("_w") - n + 1, F.lit(0))
-    words = docs.select(*keep, F.split(text, sep).alias("_w"))
+    words = spread_out(docs.select(*keep, text)).select(*keep, F.split(text, sep).alias("_w"))
     zipped = F.arrays_zip(*[F.slice("_w", k + 1, size).alias(f"w{k}") for k in range(n)])
     return words.select(*keep, F.explode(zipped).alias("_g")).select(*keep, *[F.col(f"_g.w{k}").alias(f"w{k}") for k in range(n)])
 
@@ -61,10 +67,14 @@ def sentence_log_probability(model: DataFrame, pairs: DataFrame, key: str) -> Da
 
     A word not seen after its context counts 1 / (total + 1); contexts never seen are passed over.
     """
+    model = cut_lineage(model)
     totals = model.groupBy("context").agg(F.sum("n").alias("total"))
-    scored = pairs.join(totals, "context").join(model, ["context", "next"], "left")
-    p = F.coalesce(F.col("n") / F.col("total"), 1 / (F.col("total") + 1))
-    return scored.groupBy(key).agg(F.sum(F.log(p)).alias("log_p"))
+    known = model.join(totals, "context").select("context", "next", F.log(F.col("n") / F.col("total")).alias("log_n"))
+    counted = pairs.groupBy(key, "context", "next").agg(F.count(F.lit(1)).alias("times"))
+    found = cut_lineage(counted.join(known, ["context", "next"], "left"))
+    seen = found.where("log_n is not null").select(key, (F.col("times") * F.col("log_n")).alias("log_p"))
+    unseen = found.where("log_n is null").join(totals, "context").select(key, (F.col("times") * F.log(1 / (F.col("total") + 1))).alias("log_p"))
+    return seen.union(unseen).groupBy(key).agg(F.sum("log_p").alias("log_p"))
 
 
 def conditional_entropy(docs: DataFrame, rank: int, text: str = "text") -> DataFrame:
