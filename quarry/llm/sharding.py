@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import free_names, if_small, stored, table, text_or_empty
 
+#: A text whose copies hold over this part of a shard is dealt row by row.
+COPIES = 64
 #: Ranges of a shard at least, records of a range on average at most, draws for a range, and times the mean from which a range is overfull.
 RANGES_A_SHARD, ROWS_A_RANGE, DRAWS, OVERFULL = 256, 500_000, 24, 2
 
@@ -47,8 +49,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, ranges: int | None = None
     """Puts every row of ``docs`` (doc_id, text; other columns are ignored) into shards of near equal bytes.
 
     Returns doc_id, size, text_crc32, shard, slot (gapless from 0 in its shard). Size is the bytes of
-    the text plus 16; a null text is empty. Equal texts share a shard, unless their copies hold over a
-    range's part of all bytes or rows; these are dealt row by row. Repeated rows are placed one by one;
+    the text plus 16; a null text is empty. Equal texts share a shard, unless their copies hold over
+    1/``COPIES`` of a shard's bytes or rows, or more rows than a range should; these are dealt row by row. Repeated rows are placed one by one;
     null doc_id is an ordinary key. ``ranges``: the number of ranges, which grows with the rows where
     it isn't given. An empty table gives no rows.
     """
@@ -64,8 +66,9 @@ def shard_documents(docs: DataFrame, shards: int = 40, ranges: int | None = None
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     total, count = max(total, 1), max(count, 1)
     ranges = ranges or max(shards * RANGES_A_SHARD, -(-count // ROWS_A_RANGE))
-    # At most 2 * ranges groups can hold over 1 / ranges of the bytes or rows.
-    parts = F.ceil(F.greatest(F.col("bytes") * ranges / total, F.col("n") * ranges / count)).cast("int")
+    # At most 2 * most groups can hold over 1 / most of the bytes or rows.
+    most = max(shards * COPIES, -(-count // ROWS_A_RANGE))
+    parts = F.ceil(F.greatest(F.col("bytes") * most / total, F.col("n") * most / count)).cast("int")
     large = rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", parts.alias("parts")).where("parts > 1")
     large = stored(large)
     dealt = F.xxhash64("key", F.pmod(F.xxhash64("row"), "parts"))
