@@ -372,11 +372,12 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = stored(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("fp"), F.least("a", "m").alias("label")))
+    n = labels.count()  # of all tables below
     while True:
-        near = both.join(labels.select(F.col("fp").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        least = labels.join(near.withColumnRenamed("a", "fp"), "fp").select("fp", F.least("label", "m").alias("label"), F.col("label").alias("old"))
+        near = both.join(if_small(labels.select(F.col("fp").alias("b"), "label"), n), "b").groupBy("a").agg(F.min("label").alias("m"))
+        least = labels.join(if_small(near.withColumnRenamed("a", "fp"), n), "fp").select("fp", F.least("label", "m").alias("label"), F.col("label").alias("old"))
         least = stored(least)
-        jumped = least.join(least.select(F.col("fp").alias("label"), F.col("label").alias("far")), "label").select("fp", F.least("label", "far").alias("label"), "old")
+        jumped = least.join(if_small(least.select(F.col("fp").alias("label"), F.col("label").alias("far")), n), "label").select("fp", F.least("label", "far").alias("label"), "old")
         jumped = stored(jumped)
         labels = jumped.select("fp", "label")
         if jumped.where("label != old").isEmpty():
