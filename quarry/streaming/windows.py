@@ -29,9 +29,11 @@ def session_counts(events: DataFrame, gap: str, key: str = "user_id", late: str
 
 
 def sessions_by_gap(events: DataFrame, seconds: int, key: str = "user_id") -> DataFrame:
-    """The batch twin of ``session_counts``: a session ends where the next event is ``seconds`` or more away."""
-    w = W.partitionBy(key).orderBy("ts", "event_id")
-    new = F.coalesce((F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lag("ts").over(w).cast("timestamp")) >= seconds).cast("int"), F.lit(1))
+    """The batch twin of ``session_counts``: a session ends where the next event is ``seconds`` or more away, to
+    the microsecond. Events without a time come last, each a session of its own."""
+    w = W.partitionBy(key).orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
+    micros = lambda ts: F.unix_micros(ts.cast("timestamp"))
+    new = F.coalesce((micros(F.col("ts")) - micros(F.lag("ts").over(w)) >= seconds * 1_000_000).cast("int"), F.lit(1))
     numbered = events.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     return numbered.groupBy(key, "session").agg(F.min("ts").alias("session_start"), F.max("ts").alias("last_event"), F.count(F.lit(1)).alias("n"))
 

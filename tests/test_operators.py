@@ -238,3 +238,11 @@ def test_kernel_of_a_cycle_ends(spark):
     assert {r.name for r in surface.kernel(edges, names).collect()} == {"a"}
     chain = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(6)], "a string, b string")
     assert {r.name for r in surface.kernel(chain, spark.createDataFrame([(f"n{k}",) for k in range(7)], "name string")).collect()} == {"n0", "n2", "n4", "n6"}
+
+
+def test_sessions_by_gap_to_the_microsecond(spark):
+    at = lambda s, micros: datetime(2024, 1, 1, 10, 0, s, micros)
+    rows = [(1, 1, at(0, 900_000)), (2, 1, at(10, 100_000)), (3, 1, at(20, 100_000)), (4, 1, None)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz")
+    # 9.2 seconds go on, though whole seconds are 10 apart; 10.0 seconds don't; an event without a time comes last.
+    assert [(r.session, r.n) for r in windows.sessions_by_gap(events, 10).orderBy("session").collect()] == [(1, 2), (2, 1), (3, 1)]
