@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from quarry.llm.common import WordIds, if_small, map_arrow, plain_names, stored, table, text_or_empty
+from quarry.llm.common import WordIds, discard, if_small, map_arrow, plain_names, stored, table, text_or_empty
 
 NGRAM = 5
 #: Link if 100 * intersection >= PERCENT * union.
@@ -42,6 +42,8 @@ COUNT_TOKENS = 2 * MAX_FREQUENT
 HOT, HOT_SHARE, MAX_HOT = 64, 16, 200_000
 #: Pairs of one hub that one task verifies; parts that joins deal a hub's group to; sets of a block of a hub's group.
 HUB_PAIRS, SALTS, GROUP_BLOCK = 512, 32, 512
+#: Steps of sizes that a large group is ordered by, to each doubling.
+SIZE_STEPS = 16
 
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -106,8 +108,8 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def parity(tokens: np.ndarray) -> bytes:
-    """A bitmap of about two bits a token; a bit tells if an odd number of tokens falls on it."""
-    bits = max(64, 1 << (2 * len(tokens) - 1).bit_length())
+    """A bitmap of one to two bits a token; a bit tells if an odd number of tokens falls on it."""
+    bits = max(64, 1 << (len(tokens) - 1).bit_length()) if len(tokens) else 64
     at, n = np.unique(_mixed(tokens ^ _M[2]) % np.uint64(bits), return_counts=True)
     odd = np.zeros(bits, np.uint8)
     odd[at[n % 2 == 1].astype(np.int64)] = 1
@@ -257,9 +259,9 @@ class Join:
         once = self._signed(texts, hot).repartition(*keys).dropDuplicates([*keys, "fp"])
         members = F.count(F.lit(1)).over(W.partitionBy(*keys))
         kept = once.withColumn("members", members).where("members > 1 or salt > 0")
+        kept = self.shared_files = stored(kept)
         if not len(hot):
-            return stored(kept)
-        kept = stored(kept)
+            return kept
         counts = kept.where("salt > 0").groupBy("sig").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") > 1)  # at most MAX_HOT rows
         dealt = kept.where("salt > 0").drop("members").join(F.broadcast(counts), "sig").select("sig", "salt", "fp", F.col("all").alias("members"))
         return kept.where("salt = 0").select("sig", "salt", "fp", "members").union(dealt)
@@ -309,7 +311,10 @@ class Join:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
         together = lists[0].union(lists[1]).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).select("a", "b", "tokens")
-        return stored(map_arrow(together, compare, "a binary, b binary"))
+        out = stored(map_arrow(together, compare, "a binary, b binary"))
+        for done in (sets, salted, needed):
+            discard(done)
+        return out
 
     def hub_groups(self) -> DataFrame:
         """hub and fp: for each set the hubs of its signatures, a hub the set of most shared signatures (itself included)."""
@@ -324,18 +329,39 @@ class Join:
     def apart(self, groups: DataFrame, labels: DataFrame) -> DataFrame:
         """a, b: all pairs of a hub's group that ``labels`` doesn't join yet and whose bitmaps don't rule a link out.
 
-        A group is dealt into blocks of about ``GROUP_BLOCK`` sets, and each pair of blocks is a cell of its own
-        that one task tests, so a group of any size is spread and a cell's rows are bounded; only pairs that pass
-        leave the task. Joins by hub are salted.
+        A group is dealt by its sets' sizes into blocks of about ``GROUP_BLOCK`` sets, and each pair of blocks whose sizes
+        allow a link is a cell of its own that one task tests, so a group of any size is spread, a cell's rows are bounded
+        and no set is sent to a cell where all others are too large or small; only pairs that pass leave the task. Joins
+        by hub are salted.
         """
         salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).alias("salt")
         named = groups.join(labels, "fp", "left").select("hub", "fp", F.coalesce("label", "fp").alias("label"), salt)
         open_ = named.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi")
-        blocks = F.ceil(F.col("m") / GROUP_BLOCK).cast("int")
         every_salt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
-        dealt = named.join(open_.select("hub", blocks.alias("blocks"), every_salt), ["hub", "salt"]).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
-        cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cells = cells.select("hub", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "fp", "label")
+        open_ = stored(open_.select("hub", "m"))
+        dealt = named.join(open_.select("hub", "m", every_salt), ["hub", "salt"]).drop("salt")
+        cells = dealt.where(F.col("m") <= GROUP_BLOCK).select("hub", *[F.lit(0).alias(c) for c in ("x", "y", "own")], "fp", "label")
+        if open_.where(F.col("m") > GROUP_BLOCK).isEmpty():
+            return self._tested(cells)
+        large = stored(dealt.where(F.col("m") > GROUP_BLOCK).join(self.classes.select("fp", "n"), "fp").select("hub", "fp", "label", "n", F.floor(F.log2("n") * SIZE_STEPS).cast("int").alias("step")))
+        # Steps of sizes are put together to blocks in order; a step of many sets is several blocks, its sets dealt by hash.
+        steps = large.groupBy("hub", "step").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+        upto = F.sum("k").over(W.partitionBy("hub").orderBy("step").rowsBetween(W.unboundedPreceding, -1))
+        steps = steps.withColumn("first", F.floor(F.coalesce(upto, F.lit(0)) / GROUP_BLOCK).cast("int")).withColumn("parts", F.ceil(F.col("k") / GROUP_BLOCK).cast("int"))
+        steps = stored(steps)
+        parts = steps.select("hub", "lo", "hi", F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1)).alias("block"))
+        blocks = parts.groupBy("hub", "block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        other = blocks.toDF("hub", "other", "other_lo", "other_hi")
+        # Sizes of two blocks allow a link if the larger block's least size is within reach of the smaller's greatest.
+        reach = (F.col("other_hi") * 100 >= F.col("lo") * PERCENT) & (F.col("hi") * 100 >= F.col("other_lo") * PERCENT)
+        partners = blocks.join(other, "hub").where(reach).groupBy("hub", "block").agg(F.collect_list("other").alias("others"))
+        placed = large.join(if_small(steps.select("hub", "step", "first", "parts"), steps.count()), ["hub", "step"])
+        placed = placed.select("hub", "fp", "label", (F.col("first") + F.pmod(F.xxhash64("fp"), "parts").cast("int")).alias("own"))
+        spread_out = placed.join(partners.withColumnRenamed("block", "own"), ["hub", "own"]).withColumn("other", F.explode("others"))
+        return self._tested(cells.union(spread_out.select("hub", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "fp", "label")))
+
+    def _tested(self, cells: DataFrame) -> DataFrame:
+        """a, b: the pairs within ``cells`` (hub, x, y, own, fp, label) that ``cell_pairs`` leaves."""
         cells = cells.join(self.classes.select("fp", "n", "bits"), "fp")
 
         def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,6 +383,7 @@ class Join:
     def labels(self) -> DataFrame:
         """fp and label (the smallest fingerprint of its component) of every set that links with another."""
         groups = self.hub_groups()
+        discard(self.shared_files)
         near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * PERCENT
         sizes = self.classes.select("fp", "n")
         starred = groups.where("hub != fp").join(sizes, "fp").join(sizes.toDF("hub", "hub_n"), "hub").where(near)

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import chat, decontaminate, ngram_join, packing, sharding, sstable, topk, toxicity, transducer, urls
-from quarry.llm.common import shared_dir
+from quarry.llm.common import discard, shared_dir, stored
 from quarry.llm.encoding import Encoder, Parts
 
 WORDS = "the of and to in alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi pi rho".split()
@@ -341,6 +341,17 @@ def test_ngram_join_near_copies_and_common_passages(spark, monkeypatch, hot, sma
     assert {tuple(r) for r in ngram_join.near_duplicates(df).collect()} == components_by_hand(rows)
 
 
+def test_stored_leaves_no_shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in files.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before = shuffled()
+    table = stored(spark.range(1000).repartition(3, "id"))
+    assert not shuffled() - before and table.count() == 1000
+    discard(table)
+    with pytest.raises(Exception, match="not exist|FileNotFound"):
+        table.collect()
+
+
 def test_signatures_lose_no_link():
     rng = np.random.default_rng(9)
     frequent = np.sort(rng.integers(0, 2**63, 400, dtype=np.uint64))
