@@ -117,11 +117,12 @@ def batch_insert(t: Tables):
 
 @query("binary_codes_file", "SELECT o_orderkey % 16 AS part, count(*) AS codes, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders GROUP BY 1")
 def binary_codes_file(t: Tables):
-    packed = t.orders.groupBy((F.col("o_orderkey") % 16).alias("part")).agg(sinks.pack_codes(F.collect_list("o_orderkey")).alias("packed"))
+    packed = sinks.packed_records(t.orders, F.col("o_orderkey") % 16, "o_orderkey")
     path = shared_folder(t.spark)
     sinks.save_parquet(packed, path)
     codes = F.col("unpacked")
-    return t.spark.read.parquet(path).withColumn("unpacked", sinks.unpack_codes(F.col("packed"))).select("part", F.size(codes).cast("long").alias("codes"), F.aggregate(codes, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+    records = t.spark.read.parquet(path).withColumn("unpacked", sinks.unpack_codes(F.col("packed"))).select("part", F.size(codes).cast("long").alias("codes"), F.aggregate(codes, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+    return records.groupBy("part").agg(F.sum("codes").alias("codes"), F.sum("total").alias("total"))
 
 
 @query("catalog_views", "SELECT table_name, CAST(ordinal_position AS INTEGER) AS position, column_name FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events')")

@@ -30,7 +30,13 @@ def pack_codes(codes: Column) -> Column:
 
 
 def unpack_codes(packed: Column) -> Column:
-    """Binary of big-endian unsigned 32-bit values as array<bigint>."""
-    text = F.hex(packed)
-    count = (F.length(text) / 8).cast("int")
-    return F.when(count == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.conv(F.substring(text, (i - 1) * 8 + 1, F.lit(8)), 16, 10).cast("long")))
+    """Binary of big-endian unsigned 32-bit values as array<bigint>; each is cut from the bytes where it lies."""
+    count = (F.octet_length(packed) / 4).cast("int")
+    code = lambda i: F.conv(F.hex(F.substring(packed, (i - 1) * 4 + 1, F.lit(4))), 16, 10).cast("long")
+    return F.when(count == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), code))
+
+
+def packed_records(df: DataFrame, part: Column, code: str, most: int = 65_536) -> DataFrame:
+    """part and packed: the codes of each part in records of at most ``most`` codes, so no row grows with the table."""
+    numbered = df.select(part.alias("part"), code, F.floor(F.monotonically_increasing_id() / most).alias("_record"))
+    return numbered.groupBy("part", "_record").agg(pack_codes(F.collect_list(code)).alias("packed")).drop("_record")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import huffman_codes, lzw_codes, lzw_text, stemmed
 from quarry.operators import frame, mining, models, relational, stats, text, vector
 from quarry.plans import QUERIES, surface
-from quarry.sources import tables
+from quarry.sources import sinks, tables
 from quarry.streaming import windows
 
 #: Ten baskets of own making: apple in 6, pear in 5, plum in 4, fig in 3; apple with pear in 4, apple with plum in 2.
@@ -246,3 +246,10 @@ def test_sessions_by_gap_to_the_microsecond(spark):
     events = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz")
     # 9.2 seconds go on, though whole seconds are 10 apart; 10.0 seconds don't; an event without a time comes last.
     assert [(r.session, r.n) for r in windows.sessions_by_gap(events, 10).orderBy("session").collect()] == [(1, 2), (2, 1), (3, 1)]
+
+
+def test_packed_records_are_bounded(spark):
+    rows = spark.range(0, 1000, numPartitions=3).select((F.col("id") * 7).alias("code"))
+    records = sinks.packed_records(rows, F.col("code") % 2, "code", most=50)
+    assert records.count() >= 40 and records.agg(F.max(F.octet_length("packed"))).first()[0] <= 4 * 50
+    assert sorted(r.c for r in records.select(F.explode(sinks.unpack_codes(F.col("packed"))).alias("c")).collect()) == [7 * k for k in range(1000)]
