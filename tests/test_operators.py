@@ -253,3 +253,18 @@ def test_packed_records_are_bounded(spark):
     records = sinks.packed_records(rows, F.col("code") % 2, "code", most=50)
     assert records.count() >= 40 and records.agg(F.max(F.octet_length("packed"))).first()[0] <= 4 * 50
     assert sorted(r.c for r in records.select(F.explode(sinks.unpack_codes(F.col("packed"))).alias("c")).collect()) == [7 * k for k in range(1000)]
+
+
+def test_nearest_of_all_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 60)
+    rows = [(k, [float((k * 7 + j * j) % 5) for j in range(6)], "ab"[k % 2]) for k in range(200)]  # many ties
+    rows += [(k, [1e-4 * k + j * 1e3 for j in range(6)], "c") for k in range(200, 260)] + [(260, None, "d"), (261, [1e25] * 6, "e")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").repartition(5)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.label, r.value) for r in vector.nearest_of_all(df, df, 4, "label").collect()}
+    near = vector.nearest(df.where("vec_id < 260"), df.where("embedding is not null"), 4, "euclidean").collect()
+    assert len(near) == 260 * 4 and all(got[r.query_id, r["rank"]] == (r.vec_id, r.label, r.value) for r in near)
+    assert [got[260, k] for k in (1, 2)] == [(0, "a", None), (1, "b", None)] and len(got) == 262 * 4
+    folds = df.where("vec_id < 260").withColumn("fold", F.col("vec_id") % 3)
+    other = vector.nearest(folds.where("fold = 0"), folds.where("fold != 0"), 4, "euclidean").collect()
+    got = {(r.query_id, r["rank"]): r.vec_id for r in vector.nearest_of_all(folds, folds, 4, "label", "fold").collect()}
+    assert all(got[r.query_id, r["rank"]] == r.vec_id for r in other) and len(got) == 260 * 4
