@@ -89,28 +89,66 @@ def identify_language(train: DataFrame, rows: DataFrame, text: str = "text", lab
 def density_clusters(points: DataFrame, eps: float, least: int, x: str = "x", y: str = "y", key: str = "id", more: list[str] = ()) -> DataFrame:
     """DBSCAN of points in the plane, or with ``more`` columns in more dimensions: key and cluster (the least core key; null for noise).
 
-    Points are dealt into cells of width ``eps`` of the first two columns; neighbours lie in the nine cells
-    around, found by an equi-join. Core points are joined to components by least labels, and the labels of those, until none changes;
-    others take a core neighbour's.
+    Equal points are one, with a weight. Cells are so small that all points of one are neighbours: where a cell has
+    ``least`` points all are core, and only points of other cells, fewer than ``least`` in each, are compared with the
+    cells around, so no crowded place is paired with itself. Cells of core points are joined by their outermost points;
+    all core points of two cells are compared only where those leave the cells in different components. Components are
+    least cells, and the labels of those, until none changes. Points with a coordinate that is no finite number are noise.
     """
-    cells = points.select(key, x, y, *more, F.floor(F.col(x) / eps).alias("cx"), F.floor(F.col(y) / eps).alias("cy"))
-    around = F.explode(F.flatten(F.array(*[F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for j in (-1, 0, 1)]) for i in (-1, 0, 1)])))
-    spread = cells.select(F.col(key).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"), *[F.col(m).alias(f"a_{m}") for m in more], around.alias("c")).select("a", "ax", "ay", *[f"a_{m}" for m in more], "c.cx", "c.cy")
-    apart = reduce(lambda p, q: p + q, [F.pow(F.col(f"a_{m}") - F.col(m), 2) for m in more], F.pow(F.col("ax") - F.col(x), 2) + F.pow(F.col("ay") - F.col(y), 2))
-    near = spread.join(cells, ["cx", "cy"]).where(apart <= eps * eps).select("a", F.col(key).alias("b"))
-    core = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("a")
-    edges = cut_lineage(near.join(core, "a").join(core.toDF("b"), "b").select("a", "b"))
-    labels = core.select("a", F.col("a").alias("label"))
+    axes = [x, y, *more]
+    side = eps / len(axes) ** 0.5 * (1 - 1e-6)
+    reach = int(eps / side) + 1
+    at = [f"_{i}" for i in range(len(axes))]
+    finite = reduce(lambda p, q: p & q, [F.abs(F.col(c).cast("double")) < float("inf") for c in axes])
+    named = points.select(key, *[(F.col(c).cast("double") + F.lit(0.0)).alias(n) for c, n in zip(axes, at, strict=True)], finite.alias("_finite"))
+    cell = F.array(*[F.floor(F.col(n) / side) for n in at])
+    each = cut_lineage(named.where("_finite").groupBy(*at).agg(F.count(F.lit(1)).alias("w"), F.min(key).alias("k")).withColumn("cell", cell))
+    cells = each.groupBy("cell").agg(F.sum("w").alias("held"))
+    steps = F.sequence(F.lit(-reach), F.lit(reach))
+    offsets = reduce(lambda p, _: F.flatten(F.transform(p, lambda o: F.transform(steps, lambda d: F.concat(o, F.array(d))))), axes, F.array(F.array().cast("array<int>")))
+    moved = cells.select(F.col("cell").alias("c"), "held", F.explode(offsets).alias("o")).select("c", "held", F.zip_with("c", "o", lambda p, q: p + q).alias("cell"))
+    around = cut_lineage(moved.join(cells.select("cell"), "cell"))  # pairs of cells that have points
+    apart = lambda p, q: reduce(lambda u, v: u + v, [(F.col(f"{p}{n}") - F.col(f"{q}{n}")) * (F.col(f"{p}{n}") - F.col(f"{q}{n}")) for n in at])
+    prefixed = lambda df, p: df.select(*[F.col(c).alias(f"{p}{c}") for c in df.columns])
+    few = prefixed(each, "a").join(around.where(F.col("held") < least).select(F.col("c").alias("acell"), F.col("cell").alias("bcell")), "acell")
+    near = cut_lineage(few.join(prefixed(each, "b"), "bcell").where(apart("a", "b") <= eps * eps).select(*[f"a{n}" for n in at], *[f"b{n}" for n in at], "bw", "bcell"))
+    same = [f"a{n}" for n in at]
+    lone = near.groupBy(*same).agg(F.sum("bw").alias("n")).where(F.col("n") >= least).select(*[F.col(f"a{n}").alias(n) for n in at])
+    crowded = each.join(cells.where(F.col("held") >= least), "cell").select(*each.columns)
+    core = cut_lineage(crowded.union(each.join(lone, at).select(*each.columns)))
+
+    ends = [f(F.struct(F.col(n), *[m for m in at if m != n])).alias(f"{w}{n}") for n in at for w, f in (("l", F.min), ("h", F.max))]
+    outer = core.groupBy("cell").agg(*ends)
+    outer = outer.select("cell", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{w}{n}")[m].alias(m) for m in at]) for n in at for w in "lh"]))).alias("e")).select("cell", "e.*")
+    beside = around.select(F.col("c").alias("acell"), F.col("cell").alias("bcell"))
+
+    def linked(points_a: DataFrame, pairs: DataFrame) -> DataFrame:
+        p = points_a.select("cell", *at)
+        return cut_lineage(prefixed(p, "a").join(pairs, "acell").join(prefixed(p, "b"), "bcell").where(apart("a", "b") <= eps * eps).select("acell", "bcell").distinct())
+
+    edges = linked(outer, beside)
+    labels = _cell_components(edges)
+    far = beside.where("acell < bcell").join(labels.toDF("acell", "la"), "acell").join(labels.toDF("bcell", "lb"), "bcell").where("la != lb").select("acell", "bcell")
+    more_edges = linked(core, far)
+    if not more_edges.isEmpty():
+        labels = _cell_components(edges.union(more_edges).union(more_edges.select(F.col("bcell"), F.col("acell"))))
+    inside = cut_lineage(core.join(labels, "cell"))
+    clusters_ = inside.groupBy("label").agg(F.min("k").alias("cluster"))
+    own = cut_lineage(inside.join(clusters_, "label").select(*at, "cluster"))
+    border = near.join(prefixed(own, "b"), [f"b{n}" for n in at]).groupBy(*same).agg(F.min("bcluster").alias("near_cluster")).select(*[F.col(f"a{n}").alias(n) for n in at], "near_cluster")
+    return named.join(own, at, "left").join(border, at, "left").select(key, F.coalesce("cluster", "near_cluster").alias("cluster"))
+
+
+def _cell_components(edges: DataFrame) -> DataFrame:
+    """cell and label, the least cell of its component, of ``edges`` (acell, bcell: both ways, and each cell with itself)."""
+    labels = cut_lineage(edges.groupBy(F.col("acell").alias("cell")).agg(F.min("bcell").alias("label")))
     while True:
-        least_near = edges.join(labels.toDF("b", "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        merged = cut_lineage(labels.join(least_near, "a").select("a", F.least("label", "m").alias("label"), F.col("label").alias("old")))
-        jumped = cut_lineage(merged.join(merged.select(F.col("a").alias("label"), F.col("label").alias("far")), "label").select("a", F.least("label", "far").alias("label"), "old"))
-        labels = jumped.select("a", "label")
+        least_near = edges.join(labels.toDF("bcell", "label"), "bcell").groupBy(F.col("acell").alias("cell")).agg(F.min("label").alias("m"))
+        merged = cut_lineage(labels.join(least_near, "cell").select("cell", F.least("label", "m").alias("label"), F.col("label").alias("old")))
+        jumped = cut_lineage(merged.join(merged.select(F.col("cell").alias("label"), F.col("label").alias("far")), "label").select("cell", F.least("label", "far").alias("label"), "old"))
+        labels = jumped.select("cell", "label")
         if jumped.where("label != old").isEmpty():
-            break
-    border = near.join(labels.toDF("b", "label"), "b").groupBy("a").agg(F.min("label").alias("near_label"))
-    own = points.select(key).join(labels.toDF(key, "label"), key, "left").join(border.withColumnRenamed("a", key), key, "left")
-    return own.select(key, F.coalesce("label", "near_label").alias("cluster"))
+            return labels
 
 
 def identify_text(train: DataFrame, rows: DataFrame, text: str, label: str, how: str = "bayes", features: int = 1000, max_df: float = 1.0, stop_words: list[str] = ()) -> DataFrame:

@@ -268,3 +268,11 @@ def test_nearest_of_all_is_exact(spark, monkeypatch):
     other = vector.nearest(folds.where("fold = 0"), folds.where("fold != 0"), 4, "euclidean").collect()
     got = {(r.query_id, r["rank"]): r.vec_id for r in vector.nearest_of_all(folds, folds, 4, "label", "fold").collect()}
     assert all(got[r.query_id, r["rank"]] == r.vec_id for r in other) and len(got) == 260 * 4
+
+
+def test_density_clusters_of_crowded_cells(spark):
+    """Many points in two places: pairs of all with all would be 1,600,000,000."""
+    place = F.when(F.col("id") % 2 == 0, 0.0).otherwise(5.0)
+    points = spark.range(40_000).select("id", (place + F.col("id") / 400_000).alias("x"), F.lit(0.0).alias("y")).union(spark.sql("select 40000L, 2.5D, 0D union all select 40001L, double('NaN'), 0D"))
+    got = {(r.cluster, r.n) for r in models.density_clusters(points, 1.0, 3).groupBy("cluster").agg(F.count("*").alias("n")).collect()}
+    assert got == {(0, 20_000), (1, 20_000), (None, 2)}
